@@ -59,7 +59,8 @@ def permuted(i: Column, n: Column, *key: Column) -> Column:
                 right = F.pmod(right + F.pmod(F.xxhash64(F.lit(turn), *key, left), b), b)
         return right * a + left
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), step(i), lambda x, _: F.when(x < n, x).otherwise(step(x)))
+    once = step(i)
+    return F.when(once < n, once).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(63)), once, lambda x, _: F.when(x < n, x).otherwise(step(x))))
 
 
 def target_table(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -137,7 +138,7 @@ def slot_table(plan: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SH
     """Every slot: source, ``shard``, ``slot`` (in the source), ``epoch``, ``block``, ``take`` (words from the block's start)."""
     dealt = plan.select(*_SOURCE, "slots").mapInPandas(_deal(shards, seed), "none boolean, src string, shard long, first long, count long").filter("count > 0")
     runs = dealt.select(*_SOURCE, "shard", (F.col("first") + F.col("count")).alias("end"), F.explode(F.sequence("first", F.col("first") + F.col("count") - 1, F.lit(_SLOT_RUN))).alias("at"))
-    runs = runs.repartition("none", "src", "shard", "at")
+    runs = runs.repartition(shards, "none", "src", "shard", "at")  # a number, so that small runs aren't put back together
     slots = runs.select(*_SOURCE, "shard", F.explode(F.sequence("at", F.least(F.col("at") + _SLOT_RUN, F.col("end")) - 1)).alias("slot")).join(F.broadcast(plan) if plan.count() <= 100_000 else plan, _SOURCE)
     slots = slots.withColumns({"epoch": F.floor(F.col("slot") / F.col("blocks")).cast("long"), "i": F.col("slot") % F.col("blocks")})
     mixed = permuted(F.col("i"), F.col("full"), F.lit(seed), F.col("none"), F.col("src"), F.col("epoch"))
