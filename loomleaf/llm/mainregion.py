@@ -217,10 +217,19 @@ def learn_page(page: str, words: Counter, tags: Counter) -> None:
 def learn_weights(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> RegionWeights:
     """Weights from the labelled pages of the bounded sample; without any, the priors alone."""
     labelled = pages.select(F.col(page_id).alias("id"), F.col(html).alias("html")).filter(F.col("html").contains("<article") & (F.length("html") <= sample_chars))
+    order = F.xxhash64("id", "html")
+    # Few more rows than are asked for reach the sort: those with the lowest hashes, of ever more if labels are rare.
+    share = 4 * sample_pages / max(1, pages.count())
+    while True:
+        near = labelled.filter(order < int(-(1 << 63) + min(share, 1) * ((1 << 64) - 1))) if share < 1 else labelled
+        sample = [r["html"] for r in near.orderBy(order, "id").limit(sample_pages).select("html").collect()]
+        if share >= 1 or 8 * len(sample) >= sample_pages:
+            break
+        share *= 16
     words: Counter = Counter()
     tags: Counter = Counter()
-    for row in labelled.orderBy(F.xxhash64("id"), "id").limit(sample_pages).select("html").toLocalIterator():
-        learn_page(row["html"], words, tags)
+    for page in sample:
+        learn_page(page, words, tags)
     pair = lambda counts: {f: (counts[f, True], counts[f, False]) for f, _ in counts}
     return RegionWeights(pair(words), pair(tags))
 
