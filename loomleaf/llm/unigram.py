@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from ._common import free_name, slices
 
-MARK, KEPT_SEGMENTS, SHORT = "▁", 200_000, 48
+MARK, KEPT_SEGMENTS, SHORT, TOGETHER = "▁", 200_000, 64, 1 << 15
 # Kinds of piece and of model in the public model format.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM_KIND = 1
@@ -163,98 +163,109 @@ class UnigramModel:
             self._as_lists = tuple(a.tolist() for a in self.trie)
         return self._as_lists
 
-    def encode_segments(self, segments: list[str]) -> list[list[int]]:
-        """The pieces of each segment; short ones go through the trie side by side."""
+    def encode_segments(self, segments: list[str]) -> list[bytes]:
+        """The pieces of each segment as 32-bit numbers; short segments go through the trie side by side."""
         out: list = [None] * len(segments)
         data = [s.encode() for s in segments]
-        short = sorted((i for i in range(len(data)) if len(data[i]) <= SHORT), key=lambda i: len(data[i]))
-        for i in range(len(data)):
-            if len(data[i]) > SHORT:
-                out[i] = self._one(segments[i])
-        for at in range(0, len(short), 8192):
-            some = short[at : at + 8192]
+        short = [i for i, d in enumerate(data) if len(d) <= SHORT and b"\0" not in d]
+        for at in range(0, len(short), TOGETHER):
+            some = short[at : at + TOGETHER]
             for i, ids in zip(some, self._together([data[i] for i in some]), strict=True):
                 out[i] = ids
+        for i, ids in enumerate(out):
+            if ids is None:
+                out[i] = np.array(self._one(segments[i]), dtype=np.int32).tobytes()
         return out
 
-    def _together(self, data: list[bytes]) -> list[list[int]]:
+    def _together(self, data: list[bytes]) -> list[bytes]:
+        """All segments laid end to end, each with a zero byte behind it: matches first, then the best sums."""
         base, check, value = self.trie
         lengths = np.array([len(d) for d in data])
-        wide = int(lengths.max())
-        text = np.frombuffer(b"".join(d.ljust(wide + 1, b"\0") for d in data), dtype=np.uint8).reshape(len(data), wide + 1).astype(np.int32)
-        best = np.full((len(data), wide + 1), -np.inf, dtype=np.float32)
-        best[:, 0] = 0
-        start = np.zeros((len(data), wide + 1), dtype=np.int32)
-        piece = np.full((len(data), wide + 1), -1, dtype=np.int32)
-        lead = (text & 0xC0) != 0x80
-        size = 1 + (text >= 0xC0) + (text >= 0xE0) + (text >= 0xF0)
-        every = np.arange(len(data))
-        for i in range(wide):
-            rows = every[(lengths > i) & lead[:, i]]
+        text = np.frombuffer(b"\0".join(data) + b"\0", dtype=np.uint8).astype(np.int32)
+        first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+        place = (np.arange(len(text)) - np.repeat(first, lengths + 1)).astype(np.int16)
+        lead = np.flatnonzero(((text & 0xC0) != 0x80) & (text != 0))
+        size = np.zeros(len(text), dtype=np.int32)
+        size[lead] = 1 + (text[lead] >= 0xC0) + (text[lead] >= 0xE0) + (text[lead] >= 0xF0)
+        # Every match of a piece, one step of the trie for all starts at a time.
+        live, state, depth = lead, np.zeros(len(lead), dtype=np.int32), 0
+        starts, ends, pieces = [], [], []
+        single = np.zeros(len(text), dtype=bool)
+        while len(live):
+            child = base[state] + text[live + depth]
+            ok = check[child] == state
+            live, state, depth = live[ok], child[ok], depth + 1
+            index = value[state]
+            hit = index >= 0
+            if hit.any():
+                at = live[hit]
+                starts.append(at)
+                ends.append(at + depth)
+                pieces.append(self.match_ids[index[hit]])
+                single[at[size[at] == depth]] = True
+        lone = lead[~single[lead]]
+        starts.append(lone)
+        ends.append(lone + size[lone])
+        pieces.append(np.full(len(lone), -1, dtype=np.int32))
+        start, end, piece = np.concatenate(starts), np.concatenate(ends), np.concatenate(pieces)
+        score = np.where(piece >= 0, self.scores[piece], self.unknown_score).astype(np.float32)
+        order = np.argsort(place[start], kind="stable")
+        start, end, piece, score = start[order], end[order], piece[order], score[order]
+        cuts = np.searchsorted(place[start], np.arange(int(lengths.max()) + 1))
+        best = np.full(len(text), -np.inf, dtype=np.float32)
+        best[first] = 0
+        taken = np.full(len(text), -1, dtype=np.int64)
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):  # from every first place, then every second place, ...
+            e, total = end[lo:hi], best[start[lo:hi]] + score[lo:hi]
+            better = np.flatnonzero(total > best[e])
+            best[e[better]] = total[better]
+            taken[e[better]] = lo + better
+        # Back from every end at once; step t of a segment is its t-th piece from the end.
+        rows, node, trail = np.arange(len(data)), first + lengths, []
+        while True:
+            open_ = node > first[rows]
+            rows, node = rows[open_], node[open_]
             if not len(rows):
-                continue
-            single = np.zeros(len(data), dtype=bool)
-            char, here = size[:, i], best[:, i]
-            state, live = np.zeros(len(rows), dtype=np.int32), rows
-            for j in range(i, wide):
-                child = base[state] + text[live, j]
-                ok = (check[child] == state) & (j < lengths[live])
-                live, state = live[ok], child[ok]
-                if not len(live):
-                    break
-                hit = value[state] >= 0
-                if hit.any():
-                    r, p = live[hit], self.match_ids[value[state[hit]]]
-                    total = here[r] + self.scores[p]
-                    single[r[char[r] == j + 1 - i]] = True
-                    better = total > best[r, j + 1]
-                    r = r[better]
-                    best[r, j + 1], start[r, j + 1], piece[r, j + 1] = total[better], i, p[better]
-            r = rows[~single[rows]]
-            if len(r):
-                end = i + char[r]
-                total = here[r] + self.unknown_score
-                better = total > best[r, end]
-                r, end = r[better], end[better]
-                best[r, end], start[r, end], piece[r, end] = total[better], i, -1
-        starts, pieces = start.tolist(), piece.tolist()
-        out = []
-        for d, s, p in zip(data, starts, pieces, strict=True):
-            n, ids = len(d), []
-            while n:
-                ids += [p[n]] if p[n] >= 0 else self._spell(d[s[n] : n].decode())[::-1]
-                n = s[n]
-            out.append(ids[::-1])
+                break
+            edge = taken[node]
+            trail.append((rows, piece[edge], edge))
+            node = start[edge]
+        row = np.concatenate([t[0] for t in trail])
+        step = np.repeat(np.arange(len(trail)), [len(t[0]) for t in trail])
+        order = np.lexsort((-step, row))
+        flat, edges = np.concatenate([t[1] for t in trail])[order].astype(np.int32), np.concatenate([t[2] for t in trail])[order]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(data)))]).tolist()
+        raw = flat.tobytes()
+        out = [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for r in np.unique(row[order][flat < 0]).tolist():  # unknown characters are spelled
+            ids: list[int] = []
+            for n in range(bounds[r], bounds[r + 1]):
+                one = edges[n]
+                ids += [int(flat[n])] if flat[n] >= 0 else self._spell(text[start[one] : end[one]].astype(np.uint8).tobytes().decode())
+            out[r] = np.array(ids, dtype=np.int32).tobytes()
         return out
 
     def encoder(self, kept: int = KEPT_SEGMENTS):
-        """A function from texts to lists of pieces that remembers between ``kept`` and twice as many segments."""
-        known: dict[str, tuple[int, ...]] = {}
-        older: dict[str, tuple[int, ...]] = {}
-        marker = self._spell(MARK)
+        """A function from texts to arrays of pieces that remembers between ``kept`` and twice as many segments."""
+        known: dict[str, bytes] = {}
+        older: dict[str, bytes] = {}
+        marker = np.array(self._spell(MARK), dtype=np.int32).tobytes()
+        cut = self.segments.findall
 
         def encode(texts: list[str]) -> list[np.ndarray]:
-            parts = [self.segments.findall(MARK + piece.replace(" ", MARK) if k == 0 else piece.replace(" ", MARK)) if piece or k == 0 else [] for t in texts for k, piece in enumerate(t.split(MARK) if t else ())]
             nonlocal known, older
-            every = set().union(*parts)
+            # A text is cut at markers of its own; only its first part gets one put in front.
+            parts = [[cut((MARK if k == 0 else "") + p.replace(" ", MARK)) for k, p in enumerate(t.split(MARK))] if t else [] for t in texts]
+            every: set[str] = set().union(*(segments for text in parts for segments in text))
             if len(known) + len(every.difference(known)) > kept:  # those in use move over, the rest go with the next change
                 known, older = {}, known
             need = every.difference(known)
             seen = need.intersection(older)
             known.update((x, older[x]) for x in seen)
             new = list(need.difference(seen))
-            known.update(zip(new, map(tuple, self.encode_segments(new)), strict=True))
-            at, out = 0, []
-            for t in texts:
-                ids: list[int] = []
-                for k in range(t.count(MARK) + 1 if t else 0):
-                    if k:
-                        ids += marker
-                    for segment in parts[at]:
-                        ids += known[segment]
-                    at += 1
-                out.append(np.array(ids, dtype=np.int32))
-            return out
+            known.update(zip(new, self.encode_segments(new), strict=True))
+            get = known.__getitem__
+            return [np.frombuffer(marker.join([b"".join(map(get, segments)) for segments in text]), dtype=np.int32) for text in parts]
 
         return encode
 
@@ -331,7 +342,9 @@ def decode_pieces(df: DataFrame, model: UnigramModel, pieces: str = "pieces", ke
 
     def run(batches):
         for batch in slices(batches, 512):
-            texts = [None if x is None else shared.value.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            lists = batch.column(batch.num_columns - 1)
+            values, bounds = lists.values.to_numpy(), lists.offsets.to_pylist()
+            texts = [shared.value.decode(values[a:b].tolist()) if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 
     return source.mapInArrow(run, schema)
