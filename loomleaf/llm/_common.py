@@ -74,3 +74,23 @@ def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def hash128(*cols) -> list:
     """Two independent 64-bit hashes as columns."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)]
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Spark hand at most ``rows`` rows at a time to Python; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
+_BROADCASTS: dict = {}
+
+
+def shared_value(spark: SparkSession, value):
+    """``value`` as a broadcast, made once for an object that is used again (the last two are kept)."""
+    key = (spark.sparkContext.applicationId, id(value))
+    if key not in _BROADCASTS:
+        while len(_BROADCASTS) > 1:
+            _BROADCASTS.pop(next(iter(_BROADCASTS)))
+        _BROADCASTS[key] = (value, spark.sparkContext.broadcast(value))
+    return _BROADCASTS[key][1]

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import free_name, slices
+from ._common import bounded_batches, free_name, slices
 
 DICTIONARY_BYTES, SAMPLE_TEXTS, SAMPLE_CHARS, MAX_LANGUAGES = 262_144, 256, 4096, 200
 LEVEL, PIECE, MIN_MARGIN, UNKNOWN = 6, 2048, 1e-6, "und"
@@ -109,6 +109,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep: tupl
     """``keep`` columns with the language, the score and whether the margin is too narrow."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     inner = free_name(keep, "judged_text")
+    bounded_batches(df.sparkSession)
     source = df.select(*keep, F.col(text).cast("string").alias(inner))
     out = [free_name(keep, n) for n in names]
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType()), T.StructField(out[2], T.BooleanType())])

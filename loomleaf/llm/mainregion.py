@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import free_name, slices
+from ._common import bounded_batches, free_name, slices
 
 SAMPLE_PAGES, SAMPLE_CHARS = 512, 65_536
 #: Tags with no count at all weigh this; a word scores one.
@@ -238,6 +238,7 @@ def extract_main_text(df: DataFrame, weights: RegionWeights, html: str = "html",
     """``keep`` columns with the main text of each page."""
     shared = df.sparkSession.sparkContext.broadcast(weights)
     inner = free_name(keep, "page_html")
+    bounded_batches(df.sparkSession)
     source = df.select(*keep, F.col(html).cast("string").alias(inner))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(free_name(keep, name), T.StringType())])
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import free_name, materialise, slices, small
+from ._common import bounded_batches, free_name, materialise, slices, small
 from .graph import components
 
 SEED, SHINGLE_WORDS, DISTANCE, CROWD = 42, 3, 3, 8192
@@ -57,6 +57,7 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 def fingerprints(df: DataFrame, text: str = "text", keep: tuple = (), out: str = "fp", words: int = SHINGLE_WORDS) -> DataFrame:
     """``keep`` columns and the fingerprint as a signed 64-bit number."""
     inner = free_name(keep, "hashed_text")
+    bounded_batches(df.sparkSession)
     source = df.select(*keep, F.col(text).cast("string").alias(inner))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(out, T.LongType())])
 

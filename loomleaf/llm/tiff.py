@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import free_name, slices
+from ._common import bounded_batches, free_name, slices
 
 # Field types (struct code, bytes) and tag numbers of TIFF 6.0 and of its 64-bit form.
 FIELD_TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
@@ -367,6 +367,7 @@ def store_texts(df: DataFrame, text: str = "text", keep: tuple = (), width: int
     """Each text (null: empty) as a one-page TIFF: ``keep`` columns, ``n_bytes`` (unpadded) and ``media``."""
     size, media = free_name(keep, "n_bytes"), free_name(keep, "media")
     inner = free_name(keep, "stored_text")
+    bounded_batches(df.sparkSession)
     source = df.select(*keep, F.col(text).cast("string").alias(inner))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(size, T.LongType()), T.StructField(media, T.BinaryType())])
 
@@ -389,6 +390,7 @@ def tiff_pages(df: DataFrame, media: str = "media", keep: tuple = (), most: int
     """
     names = [free_name(keep, n) for n, _ in PAGE_FIELDS]
     inner = free_name(keep, "tiff_bytes")
+    bounded_batches(df.sparkSession)
     source = df.select(*keep, F.col(media).alias(inner))
     schema = T.StructType([*source.schema.fields[:-1], *T._parse_datatype_string(", ".join(f"`{n}` {kind}" for n, (_, kind) in zip(names, PAGE_FIELDS, strict=True))).fields])
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string(), pa.string()]

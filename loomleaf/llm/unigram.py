@@ -26,6 +26,7 @@ rows repeat; the result is whole however long the text is.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 
@@ -35,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import free_name, slices
+from ._common import bounded_batches, free_name, shared_value, slices
 
-MARK, KEPT_SEGMENTS, SHORT, TOGETHER = "▁", 200_000, 64, 1 << 15
+MARK, KEPT_SEGMENTS, SHORT, TOGETHER = "▁", 100_000, 64, 1 << 14
 # Kinds of piece and of model in the public model format.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM_KIND = 1
+_ENCODER: dict = {}
 #: What an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -103,6 +105,7 @@ class UnigramModel:
 
     def __post_init__(self):
         self.scores = np.asarray(self.scores, dtype=np.float32)
+        self.key = hashlib.sha256(repr((self.pieces, self.kinds)).encode() + self.scores.tobytes()).hexdigest()
         match = sorted((p.encode(), i) for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER) and p)
         self.trie = double_array([k for k, _ in match])
         self.match_ids = np.array([i for _, i in match], dtype=np.int32)
@@ -260,7 +263,7 @@ class UnigramModel:
             if len(known) + len(every.difference(known)) > kept:  # those in use move over, the rest go with the next change
                 known, older = {}, known
             need = every.difference(known)
-            seen = need.intersection(older)
+            seen = {x for x in need if x in older}
             known.update((x, older[x]) for x in seen)
             new = list(need.difference(seen))
             known.update(zip(new, self.encode_segments(new), strict=True))
@@ -270,13 +273,10 @@ class UnigramModel:
         return encode
 
     def shared_encoder(self):
-        """The encoder of this process, which keeps its segments from task to task."""
-        if "_encoder" not in self.__dict__:
-            self._encoder = self.encoder()
-        return self._encoder
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_encoder"}
+        """The encoder of this process, which keeps its segments from task to task; one model's at a time."""
+        if _ENCODER.get("key") != self.key:
+            _ENCODER.update(key=self.key, encode=self.encoder())
+        return _ENCODER["encode"]
 
     def encode(self, text: str) -> list[int]:
         return self.shared_encoder()([text])[0].tolist()
@@ -310,7 +310,8 @@ def zipf_scores(kinds: list[int]) -> np.ndarray:
 
 def encode_texts(df: DataFrame, model: UnigramModel, text: str = "text", keep: tuple = (), names: tuple = ("pieces", "n_pieces")) -> DataFrame:
     """``keep`` columns with the array of piece ids and their number.  The model, of fixed size, is broadcast."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(df.sparkSession)
+    shared = shared_value(df.sparkSession, model)
     inner = free_name(keep, "encoded_text")
     source = df.select(*keep, F.col(text).cast("string").alias(inner))
     out = [free_name(keep, n) for n in names]
@@ -318,7 +319,7 @@ def encode_texts(df: DataFrame, model: UnigramModel, text: str = "text", keep: t
 
     def run(batches):
         encode = shared.value.shared_encoder()
-        for batch in slices(batches, 512):
+        for batch in slices(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             found = encode([t for t in texts if t is not None])
             it = iter(found)
@@ -334,14 +335,15 @@ def encode_texts(df: DataFrame, model: UnigramModel, text: str = "text", keep: t
 
 def decode_pieces(df: DataFrame, model: UnigramModel, pieces: str = "pieces", keep: tuple = (), name: str = "decoded") -> DataFrame:
     """``keep`` columns with the text of the pieces (null for null)."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(df.sparkSession)
+    shared = shared_value(df.sparkSession, model)
     inner = free_name(keep, "decoded_pieces")
     source = df.select(*keep, F.col(pieces).alias(inner))
     out = free_name(keep, name)
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(out, T.StringType())])
 
     def run(batches):
-        for batch in slices(batches, 512):
+        for batch in slices(batches):
             lists = batch.column(batch.num_columns - 1)
             values, bounds = lists.values.to_numpy(), lists.offsets.to_pylist()
             texts = [shared.value.decode(values[a:b].tolist()) if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], lists.is_valid().to_pylist(), strict=True)]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import free_name, slices
+from ._common import bounded_batches, free_name, slices
 
 ALLOW, BLOCK = "allow", "block"
 _URL = re.compile(r".*?://([^/?#]*)([^?#]*)", re.DOTALL)
@@ -86,6 +86,7 @@ def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]], url: str =
         raise ValueError(f"{len(rules)} rules exceed max_rules={max_rules}; use judge_urls_by_join")
     trie = df.sparkSession.sparkContext.broadcast(UrlTrie(rules, default))
     inner = free_name(keep, "judged_url")
+    bounded_batches(df.sparkSession)
     source = df.select(*keep, F.col(url).cast("string").alias(inner))
     names = [free_name(keep, n) for n in ("host", "path", "rule", "verdict")]
     schema = T.StructType([*source.schema.fields[:-1], *(T.StructField(n, T.StringType()) for n in names)])
