@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import vocab as V
 
@@ -185,14 +186,14 @@ def resolve_path(source, target) -> Column:
 # -- Arrow UDFs: what SQL has no function for ---------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc_thai(texts: pd.Series) -> pd.Series:
     """NFC within Thai stretches only."""
     stretch = re.compile("[\u0e00-\u0e7f]+")
     return texts.map(lambda t: stretch.sub(lambda m: unicodedata.normalize("NFC", m[0]), t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def uri(links: pd.Series) -> pd.Series:
     """Percent-encoding of all that a URI may not carry as it is; "%" stays."""
     kept = frozenset(V.URI_AS_IS)
@@ -216,6 +217,6 @@ def unescape_text(t: str) -> str:
     return _ESCAPED.sub(lambda m: m[1] or decode_reference(m[2], m[3], m[4]) or m[0], t)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(unescape_text, na_action="ignore")

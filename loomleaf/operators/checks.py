@@ -7,6 +7,7 @@ to entries, part roles, the rules, and counts.
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 from functools import reduce
 
@@ -36,6 +37,16 @@ def _row(df: DataFrame, code: str, message, stage: int, seq: int = 0, part="part
     return df.select("doc", F.lit(code).alias("code"), X.quoted(part).alias("part"), text.alias("message"), F.lit(stage).alias("stage"), (F.col(part_ord) if isinstance(part_ord, str) else part_ord).cast("int").alias("part_ord"), (F.col(node) if isinstance(node, str) else node).cast("int").alias("node"), F.lit(seq).alias("seq"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder: many rules read it, and their plans stay small."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomleaf-"))
+    return df.checkpoint()
+
+
 @dataclass
 class Checked:
     """The tables of a check."""
@@ -118,15 +129,15 @@ def _twins(nodes: DataFrame, props: DataFrame, stage: int, seq: int) -> tuple[Da
 def check_packages(packages: DataFrame) -> Checked:
     """The whole check of packages (doc, content)."""
     spark = packages.sparkSession
-    every = package_parts(packages).cache()
+    every = cut(package_parts(packages))
     refused = every.filter("code is not null")
     parts = every.filter("code is null")
     markup = parts.filter(F.lower("name").endswith(".xml") | F.lower("name").endswith(".rels"))
-    nodes_all = xml_nodes(markup).cache()
+    nodes_all = cut(xml_nodes(markup))
     nodes = nodes_all.filter("fault is null")
     ranks = rank_table(spark)
     rels = relationships(nodes, parts)
-    roles = part_roles(rels, parts).cache()
+    roles = cut(part_roles(rels, parts))
     nothing = F.lit(0)
     found = [refused.select("doc", "code", X.quoted("part").alias("part"), "message", *(F.lit(0).alias(c) for c in _PLACE))]
     found.append(_row(nodes_all.filter("fault is not null"), "package", F.col("fault"), 1, node=nothing))
@@ -138,8 +149,8 @@ def check_packages(packages: DataFrame) -> Checked:
     strict = F.col("ns") == V.STRICT_W
     found.append(_row(foreign, "package", F.when(strict, "Strict Open XML (ISO/IEC 29500 Strict) is not read: every element would be missed; save it from Word as Word Document (.docx)").otherwise("the main document is not a WordprocessingML document"), 3))
     readable = tops.join(foreign, ["doc", "part"], "left_anti").select("doc").distinct()
-    word = nodes.filter(F.col("ns") == V.W).join(readable, "doc", "left_semi")
-    roles = roles.join(readable, "doc", "left_semi")
+    word = cut(nodes.filter(F.col("ns") == V.W).join(readable, "doc", "left_semi"))
+    roles = cut(roles.join(readable, "doc", "left_semi"))
 
     # What a run holds.
     text_nodes = _of_role(word, roles, "text")
@@ -154,7 +165,8 @@ def check_packages(packages: DataFrame) -> Checked:
         F.max(F.when(F.col("local") == "lang", w_attr("bidi"))).alias("bidi"),
     )
     of_run = of_run.join(switched, ["doc", "part", "rpr"], "left").fillna({"has_text": False, "complex": False, "thai": False, "cs": False, "rtl": False})
-    own = _runs_of_text(of_run, roles).cache()
+    of_run = cut(of_run)
+    own = cut(_runs_of_text(of_run, roles))
 
     # 3: proofing switched off, but on runs of code.
     code = of_run.filter("rpr is not null and not complex").select("doc", "part", "rpr")
@@ -180,7 +192,7 @@ def check_packages(packages: DataFrame) -> Checked:
     # Relationship ids that a text part's own relationships don't hold: the first of a document ends its check.
     refs = _of_role(nodes.join(readable, "doc", "left_semi"), roles, "text").select("doc", "part", "part_ord", "node", F.explode("attrs").alias("k", "v")).filter(F.col("k").isin(*(f"{{{V.R}}}{x}" for x in ("id", "embed", "link"))))
     ids = nodes.filter("local = 'Relationship'").select("doc", F.regexp_replace("part", "(?i)^(.*?)_rels/([^/]*)\\.rels$", "$1$2").alias("part"), F.element_at("attrs", "Id").alias("v"))
-    broken = refs.join(ids, ["doc", "part", "v"], "left_anti").groupBy("doc").agg(F.min(F.struct("part_ord", "node", "part", "v")).alias("m")).select("doc", "m.*")
+    broken = cut(refs.join(ids, ["doc", "part", "v"], "left_anti").groupBy("doc").agg(F.min(F.struct("part_ord", "node", "part", "v")).alias("m")).select("doc", "m.*"))
     found.append(_row(broken, "package", F.concat(F.lit("refers to relationship "), X.quoted("v"), F.lit(", which its own relationships do not hold")), 6))
     on = lambda df: df.join(broken.select("doc"), "doc", "left_anti")
 
@@ -224,7 +236,8 @@ def check_packages(packages: DataFrame) -> Checked:
 
     counts = _counts(own, text_nodes, roles, readable)
     kinds = numbering_kind(word, roles)
-    return Checked(parts, nodes, roles, reduce(DataFrame.unionByName, [f.select(*_OUT) for f in found]), _once(reduce(DataFrame.unionByName, warned)), counts, kinds)
+    findings = cut(reduce(DataFrame.unionByName, [f.select(*_OUT) for f in found]))
+    return Checked(parts, nodes, roles, findings, _once(reduce(DataFrame.unionByName, warned)), counts, kinds)
 
 
 def _runs_of_text(of_run: DataFrame, roles: DataFrame) -> DataFrame:

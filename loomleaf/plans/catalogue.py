@@ -11,6 +11,9 @@ from ..functions import text as X
 from ..functions import vocab as V
 from ..operators import ordered as O
 from ..operators import sets as S
+from ..operators.build import build_packages
+from ..operators.checks import check_packages
+from ..sources.markdown import markdown_blocks, markdown_inlines
 from . import fixtures as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -453,3 +456,34 @@ def hidden_characters(spark, sf_dir):
     """Recorded results: the hidden character reported in text, and the first one that input refuses."""
     rows = L.frame(spark, *L.HIDDEN).select("id", X.unseen_in("t").alias("seen"), X.forbidden_label("t").alias("first_label"))
     return rows.select("id", F.coalesce("seen", "first_label").alias("label"), "first_label").filter("label is not null")
+
+
+# -- rows only: parsing and building ------------------------------------------------------
+
+
+@query()
+def md_blocks(spark, sf_dir):
+    """The Markdown blocks of every document, by type, and the refusals."""
+    blocks = markdown_blocks(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return blocks.groupBy("doc", F.coalesce("type", F.lit("refusal")).alias("type")).agg(F.count("*").alias("blocks"))
+
+
+@query()
+def md_inlines(spark, sf_dir):
+    """The inline nodes of every document, by kind and formatting."""
+    nodes = markdown_inlines(markdown_blocks(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return nodes.groupBy("t", "b", "i", "code", F.col("link").isNotNull().alias("linked")).agg(F.count("*").alias("nodes"), F.sum(F.length("s")).alias("chars"))
+
+
+@query()
+def docx_build(spark, sf_dir):
+    """Every document built into a package, and whether its text reads back the same."""
+    return build_packages(table(spark, sf_dir, "documents"), "doc_id", "text").drop("content")
+
+
+@query()
+def docx_check(spark, sf_dir):
+    """The findings of the packages built from every conversation's turns."""
+    turns = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    built = build_packages(turns, "id", "text").filter("content is not null").select("doc", "content")
+    return check_packages(built).findings.groupBy("code", "message").agg(F.countDistinct("doc").alias("documents"))
