@@ -164,7 +164,7 @@ def taken_words(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     slots = slot_table(plan, block_words, shards, seed)
     pieces = _pieces(placed_documents(df, doc_id, text, source), buckets, block_words)
     joined = pieces.join(slots.select(*_SOURCE, "block", "take"), [*_SOURCE, "block"], "left")
-    words = F.greatest(F.least("hi", "take") - F.col("lo"), F.lit(0))
+    words = F.greatest(F.least("hi", F.coalesce("take", F.lit(0))) - F.col("lo"), F.lit(0))  # no slot draws the block: none of it
     sums = joined.groupBy(*_SOURCE, "bucket", "row_no", "doc_id", "size").agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"))
     named = F.broadcast(plan) if plan.count() <= 100_000 else plan
     return sums.join(named.select(*_SOURCE, "source_size", "target"), _SOURCE).select("doc_id", "size", "source_size", "target", "taken")
