@@ -138,7 +138,7 @@ class _Stack:
             if name == "header" and article:  # the heading of an article, not of the page
                 own = own[1:]
             least = min([least, *(w for w in own if w < 0)])
-        self.open.append((name, least, article or name in ("article", "main")))
+        self.open.append((name, least, article or name in ("article", "main") and least > -1))
         self.names[name] += 1
 
     def leave(self, name: str) -> None:
@@ -162,15 +162,17 @@ def main_text(page: str | None, weights: RegionWeights) -> str:
         if kind == "text":
             text = entities.unescape(what)
             n = len(text.split())
-            level = stack.open[-1][1]
-            scores.append(n * (WORD_SCORE if level > -1 else level))
+            _, level, article = stack.open[-1]
+            # Boilerplate in an element that says it is the article is left out, but doesn't end the region.
+            scores.append(n * (WORD_SCORE if level > -1 else 0.0 if article else level))
             shown.append(text if level > -1 else "")
             continue
+        inside = stack.open[-1][2]
         if kind == "open":
             stack.enter(what, attrs)
         else:
             stack.leave(what)
-        scores.append(weigh_tag(what))
+        scores.append(0.0 if inside and stack.open[-1][2] else weigh_tag(what))
         shown.append(None if what in BLOCKS else " " if what == "br" else "")
     best, best_at, now, start = 0.0, (0, 0), 0.0, 0
     for i, s in enumerate(scores):
