@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,9 @@ from ..operators import ordered as O
 from ..operators import sets as S
 from ..operators.build import build_packages
 from ..operators.checks import check_packages
+from ..operators.repair import repair_packages
 from ..sources.markdown import markdown_blocks, markdown_inlines
+from ..sources.packages import admit, rewrite_package
 from . import fixtures as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -487,3 +490,24 @@ def docx_check(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
     built = build_packages(turns, "id", "text").filter("content is not null").select("doc", "content")
     return check_packages(built).findings.groupBy("code", "message").agg(F.countDistinct("doc").alias("documents"))
+
+
+@F.pandas_udf("binary")
+def _spoiled(contents: pd.Series) -> pd.Series:
+    """Packages with an old compatibility mode, proofing off in a style and a twin missing."""
+
+    def one(data):
+        parts = {e.name: d for e, d in admit(data)[0]}
+        settings = parts["word/settings.xml"].replace(b'w:val="15"', b'w:val="14"')
+        styles = parts["word/styles.xml"].replace(b"<w:b/><w:bCs/>", b"<w:b/><w:noProof/>")
+        return rewrite_package(data, {"word/settings.xml": settings, "word/styles.xml": styles})
+
+    return contents.map(one)
+
+
+@query()
+def docx_repair(spark, sf_dir):
+    """Packages built from every benchmark passage, spoiled and repaired."""
+    built = build_packages(table(spark, sf_dir, "benchmark"), "item_id", "text").filter("content is not null")
+    repaired = repair_packages(built.select("doc", _spoiled("content").alias("content")))
+    return repaired.outcomes.select("doc", "ok", "exit_code", F.array_join(F.array_sort(F.transform(F.map_entries("repaired"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))), ",").alias("repaired"), "error", "bytes")
