@@ -166,6 +166,25 @@ def message_mode(c, most: int = 20_000) -> Column:
     return F.when(said(F.left(_c(c), F.lit(most))) | said(F.right(_c(c), F.lit(most))), "grill").otherwise("build")
 
 
+#: The words that may follow the phrase, as regex alternatives: from, save to, only.
+CLAUSES = {"from": ("from", "จาก"), "save_to": ("save to", "บันทึกเป็น"), "only": ("only", "เฉพาะ")}
+_EN, _TH = ("|".join(pair[i] for pair in CLAUSES.values()) for i in (0, 1))
+CLAUSE_RUN = f"(?i)thai[-_ ]docx grill((?: (?:(?:{_EN}) [^ ]+|(?:{_TH}) ?[^ ]+))*)"
+LATER_CLAUSE = f"(?i) ((?:{_EN})(?: [^ ]+)?|(?:{_TH})(?: ?[^ ]+)?)(?: |$)"
+
+
+def message_clauses(c) -> Column:
+    """from, save_to, only: the words after a clause word that directly follows the phrase; unread: such a clause later on.
+
+    Null where a message has none (or no phrase); of a repeated clause the first counts.
+    """
+    single = F.btrim(F.regexp_replace(_c(c), f"[{_SPACES}]+", " "))
+    run = F.regexp_extract(single, CLAUSE_RUN, 1)
+    after = F.regexp_extract(single, CLAUSE_RUN + "(.*)", 2)
+    found = [F.nullif(F.regexp_extract(run, f"(?i) (?:{en} |{th} ?)([^ ]+)", 1), F.lit("")).alias(name) for name, (en, th) in CLAUSES.items()]
+    return F.struct(*found, F.nullif(F.regexp_extract(after, LATER_CLAUSE, 1), F.lit("")).alias("unread"))
+
+
 def message_language(c) -> Column:
     """The language most words of a message are in, the phrase aside; Thai on a tie."""
     words = F.split(F.regexp_replace(plain_message(c), "thai[- ]docx grill", ""), " ")

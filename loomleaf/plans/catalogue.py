@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import vocab as V
@@ -461,6 +462,17 @@ def hidden_characters(spark, sf_dir):
     return rows.select("id", F.coalesce("seen", "first_label").alias("label"), "first_label").filter("label is not null")
 
 
+_CLAUSE_SQL = ", ".join(f"nullif(regexp_extract(run, '(?i) (?:{en} |{th} ?)([^ ]+)', 1), '') AS {'from_' if name == 'from' else name}" for name, (en, th) in X.CLAUSES.items())
+
+
+@query(f"""SELECT id, {_CLAUSE_SQL}, nullif(regexp_extract(rest, '{X.LATER_CLAUSE}', 1), '') AS unread FROM (
+  SELECT id, regexp_extract(s, '{X.CLAUSE_RUN}', 1) AS run, regexp_extract(s, '{X.CLAUSE_RUN}(.*)', 2) AS rest FROM (SELECT id, trim(regexp_replace(t, '[ \t\n]+', ' ', 'g')) AS s FROM {L.values(*L.CLAUSES)}))""")
+def message_clauses(spark, sf_dir):
+    """What a message says after the phrase, and what it says too late."""
+    said = L.frame(spark, *L.CLAUSES).select("id", X.message_clauses("t").alias("c"))
+    return said.select("id", F.col("c")["from"].alias("from_"), "c.save_to", "c.only", "c.unread")
+
+
 # -- rows only: parsing and building ------------------------------------------------------
 
 
@@ -492,7 +504,7 @@ def docx_check(spark, sf_dir):
     return check_packages(built).findings.groupBy("code", "message").agg(F.countDistinct("doc").alias("documents"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _spoiled(contents: pd.Series) -> pd.Series:
     """Packages with an old compatibility mode, proofing off in a style and a twin missing."""
 

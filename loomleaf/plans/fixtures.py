@@ -66,3 +66,4 @@ HALVES = ("x double", [(v,) for v in (0.5, 1.5, 2.5, -0.5, -1.5, 2.4999, 1440.0
 MESSAGES = ("id int, t string", [(1, "Thai-Docx grill make a report"), (2, "ช่วยทำรายงาน thai docx grill"), (3, "make a report called รายงาน"), (4, "thai_docx\n grill"), (5, "ทำ report"), (6, "thaidocx grill")])
 MARKUP = ("id int, t string", [(1, 'a < b & c > "d"'), (2, "&amp;"), (3, "tab\tand 'quote'"), (4, "plain")])
 HIDDEN = ("id int, t string", [(1, "a​b"), (2, "ไทย‍ไทย"), (3, "क‍ष"), (4, "soft­hyphen"), (5, "plain"), (6, "﻿start⁠"), (7, "bell\u0007"), (8, "﷐"), (9, "a‍b")])
+CLAUSES = ("id int, t string", [(1, "Thai-Docx grill from thesis save to my-own only size,toc write it"), (2, "ช่วย thai docx grill จากเดิม บันทึกเป็น v2"), (3, "thai_docx  GRILL Save To x then from y"), (4, "from thesis thai docx grill"), (5, "build only this"), (6, "thai-docx grill"), (7, "thai docx grill only"), (8, "thai docx grill รายงาน เฉพาะsize")])
