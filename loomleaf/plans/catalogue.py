@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..functions import vocab as V
 from ..operators import ordered as O
 from ..operators import sets as S
+from ..operators import settings as C
 from ..operators.build import build_packages
 from ..operators.checks import check_packages
 from ..operators.repair import repair_packages
@@ -523,3 +524,21 @@ def docx_repair(spark, sf_dir):
     built = build_packages(table(spark, sf_dir, "benchmark"), "item_id", "text").filter("content is not null")
     repaired = repair_packages(built.select("doc", _spoiled("content").alias("content")))
     return repaired.outcomes.select("doc", "ok", "exit_code", F.array_join(F.array_sort(F.transform(F.map_entries("repaired"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))), ",").alias("repaired"), "error", "bytes")
+
+
+_ARGV = ("doc int, argv array<string>, profile string", [
+    (1, ["--toc", "--table-widths", "auto", "--size", "14"], None), (2, [], '{"schema": 1, "settings": {"align": "thai", "indent": 0.5, "size": 15}}'), (3, ["--size", "15", "--default", "align"], '{"schema": 1, "settings": {"align": "thai", "indent": 0.5}}'),
+    (4, ["--no-page-number-first"], None), (5, ["--margins", "1,1,1,8"], None), (6, [], '{"schema": 2}'),
+])
+
+
+@query()
+def settings_resolved(spark, sf_dir):
+    """Flags over profiles over defaults: the shortest flags that say the same, or the refusal."""
+    return C.resolve(L.frame(spark, *_ARGV), "argv", "profile").select("doc", F.array_join("flags", " ").alias("flags"), "refused")
+
+
+@query()
+def interview_choices(spark, sf_dir):
+    """The choice of every question that holds for the settings in force."""
+    return C.questions(C.resolve(L.frame(spark, *_ARGV), "argv", "profile")).filter("current").select("doc", "number", "question", "letter")
