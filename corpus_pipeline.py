@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomleaf.llm import langid, linetree, mixing, simhash, unigram
+from loomleaf.llm import langid, linetree, mixing, nearcopies, unigram
 from loomleaf.llm._common import free_name, materialise
 from loomleaf.llm.queries import piece_model
 
@@ -30,8 +30,8 @@ def recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.near_dedup(docs)
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return nearcopies.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -231,14 +231,19 @@ def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", distan
     fp = free_name(df.columns, "print_of_row")
     rows = materialise(fingerprints(df, text, tuple(df.columns), fp))
     found = materialise(near_components(rows.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp")), distance, crowd))
+    return one_each(rows, found, df.columns, doc_id, fp)
+
+
+def one_each(rows: DataFrame, found: DataFrame, columns: list[str], doc_id: str, fp: str) -> DataFrame:
+    """``columns`` of one row per ``node``; ``found`` has ``doc_id``, ``fp`` and ``node`` of every row."""
     keeper = found.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k"), F.count("*").alias("n"))
     keeper = materialise(keeper.filter("n > 1").select("node", F.col("k.doc_id").alias("kept_id"), F.col("k.fp").alias("kept_fp")))
     mine = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp"))
     flags = found.join(small(keeper), "node").groupBy("doc_id", "fp").agg(F.max(mine).alias("stays"), F.count("*").alias("rows"))
-    d, f, stays = (free_name([*df.columns, fp], n) for n in ("drop_id", "drop_fp", "stays"))
+    d, f, stays = (free_name(rows.columns, n) for n in ("drop_id", "drop_fp", "stays"))
     drops = materialise(flags.filter("not stays or rows > 1").select(F.col("doc_id").alias(d), F.col("fp").alias(f), F.col("stays").alias(stays)))
     both = rows.join(small(drops), rows[doc_id].eqNullSafe(F.col(d)) & (F.col(fp) == F.col(f)), "left")
     once = both.filter(F.col(stays).isNull())
     if not drops.filter(F.col(stays)).isEmpty():
         once = once.union(both.filter(F.col(stays)).dropDuplicates([doc_id, fp]))
-    return once.select(*df.columns)
+    return once.select(*columns)
