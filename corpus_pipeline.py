@@ -16,7 +16,7 @@ from loomleaf.llm.queries import piece_model
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; what it rejects goes (no letters, or languages that tie)."""
+    """Documents whose language is told; what it rejects goes (no letters, or a narrow margin, as noise and other languages have)."""
     model = langid.learn_languages(docs.filter(~langid.held_out()))
     rejected = free_name(docs.columns, "rejected")
     names = (free_name(docs.columns, "lang_pred"), free_name(docs.columns, "score"), rejected)

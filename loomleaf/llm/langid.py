@@ -9,8 +9,9 @@ marker that ends every dictionary opens every piece, so that short pieces are
 compressed blocks too and their sizes tell languages apart.
 
 The score is how much smaller the best result is than the second, as a share of
-the second.  A text is rejected when that margin is narrower than ``min_margin``;
-the default rejects ties.  Equal sizes go to the language with more labelled rows.
+the second.  A text is rejected when that margin is narrower than ``min_margin``.
+Noise and languages not learned lie below the default, labelled texts above it; sizes
+are whole bytes, so below 50 of them a lead of one byte passes.  Equal sizes go to the language with more labelled rows.
 
 Bounded parameters: dictionaries hold ``dictionary_bytes`` per language, taken
 from at most ``sample_texts`` distinct labelled texts of at most ``sample_chars``
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 from ._common import bounded_batches, free_name, slices
 
 DICTIONARY_BYTES, SAMPLE_TEXTS, SAMPLE_CHARS, MAX_LANGUAGES = 262_144, 256, 4096, 200
-LEVEL, PIECE, MIN_MARGIN, UNKNOWN = 6, 2048, 1e-6, "und"
+LEVEL, PIECE, MIN_MARGIN, UNKNOWN = 6, 2048, 0.02, "und"
 SALTS = 16
 _MARK = bytes(range(1, 32)) * 3
 _OTHER = re.compile(r"[\W\d_]+")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomleaf.llm import nearcopies
+from loomleaf.llm import langid, nearcopies
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -57,3 +57,22 @@ def test_near_dedup_stage(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (3, "x"), (None, "x"), (4, "y z")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in nearcopies.drop_near_copies(odd).collect()) == [1, 3, 4]
     assert nearcopies.drop_near_copies(odd.limit(0)).count() == 0
+
+
+UNLEARNED = (
+    "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä",
+    "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa",
+    "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства",
+)
+
+
+def test_noise_and_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.learn_languages(docs.filter(~langid.held_out()))
+    known, rng = model.compressors(), random.Random(13)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (20, 60, 300) for _ in range(100)]
+    assert all(model.judge(x, known)[2] for x in (*noise, *UNLEARNED))
+    held = docs.filter(langid.held_out() & (F.size(F.split("text", " ")) > 20)).select("text").limit(600).collect()
+    assert sum(model.judge(r["text"], known)[2] for r in held) <= 2
+    short = docs.filter(langid.held_out() & F.size(F.split("text", " ")).between(6, 20)).select("text").collect()
+    assert sum(model.judge(r["text"], known)[2] for r in short) <= 0.05 * len(short)
