@@ -23,15 +23,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=tuple(docs.columns), names=names).filter(~F.col(rejected)).select(*docs.columns)
 
 
+def _counted(left: DataFrame, docs: DataFrame) -> DataFrame:
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
+
+
 def recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines whose template recurs; ``n_chars`` counts what is left."""
-    left = linetree.drop_recurring_lines(docs)
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
+    return _counted(linetree.drop_recurring_lines(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return nearcopies.drop_near_copies(docs)
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    Long lines that two of the documents left still share then stay in the first only.
+    """
+    kept = materialise(nearcopies.drop_near_copies(docs))
+    return _counted(linetree.drop_repeated_lines(kept), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,10 @@ functions run.  A leaf with fewer than ``min_docs`` texts can't hold a recurring
 template; that prunes the lines before their tokens are looked at.  What the
 line pass is joined with is broadcast only below a row count, else shuffled.
 
+Lines in fewer texts mostly belong to near copies, which a later stage drops whole
+and wouldn't know without them; ``drop_repeated_lines`` then finds those of
+``LONG_WORDS`` words or more that two texts still share word for word.
+
 Defined cases: a null text stays null; lines without tokens are never dropped; a
 document all of whose lines go keeps an empty text; documents without id rank
 last as "smallest id"; repeated rows get equal results; all columns pass through.
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._common import WORD, free_name, hash128, materialise, small
 
-MIN_DOCS, DEPTH = 10, 4
+MIN_DOCS, DEPTH, LONG_WORDS = 10, 4, 8
 _GAP = r"[\x20\x09-\x0D]+"
 #: A whole token with a digit; it starts only where a token starts, so it takes linear time.
 _FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
@@ -82,9 +86,30 @@ def recurring_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     return materialise(drop.groupBy(*_TEXT_KEY).agg(F.array_distinct(F.flatten(F.collect_set("line_nos"))).alias("line_nos")))
 
 
+def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 2, min_words: int = LONG_WORDS) -> DataFrame:
+    """As ``recurring_lines`` for lines of ``min_words`` or more that stand word for word in ``min_docs`` texts."""
+    own = ["k0", "k1"]
+    lines = tree_lines(df, doc_id, text).filter(F.col("n") >= min_words)
+    placed = materialise(lines.select(*_named(hash128(F.btrim(F.regexp_replace("line", _GAP, " "))), own), *_TEXT_KEY, "doc_id", "line_no"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *_TEXT_KEY)).alias("first")
+    texts = placed.groupBy(*own, *_TEXT_KEY).agg(F.min("doc_id").alias("doc_id"))
+    repeated = materialise(texts.groupBy(*own).agg(F.count("*").alias("texts"), first).filter(F.col("texts") >= min_docs).select(*own, F.col("first.t0").alias("f0"), F.col("first.t1").alias("f1")))
+    drop = placed.join(small(repeated), own).filter("t0 != f0 or t1 != f1")
+    return materialise(drop.groupBy(*_TEXT_KEY).agg(F.collect_set("line_no").alias("line_nos")))
+
+
+def drop_repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 2, min_words: int = LONG_WORDS) -> DataFrame:
+    """``df`` with repeated long lines cut out of ``text``, for texts of which near copies are gone."""
+    return _without(df, repeated_lines(df, doc_id, text, min_docs, min_words), text)
+
+
 def drop_recurring_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, counts: bool = False) -> DataFrame:
     """``df`` with the recurring lines cut out of ``text``; with ``counts`` also ``n_lines`` and ``n_dropped``."""
-    drops = recurring_lines(df, doc_id, text, min_docs, depth)
+    return _without(df, recurring_lines(df, doc_id, text, min_docs, depth), text, counts)
+
+
+def _without(df: DataFrame, drops: DataFrame, text: str, counts: bool = False) -> DataFrame:
+    """``df`` without the lines of ``drops``."""
     names = [free_name([*df.columns, "n_lines", "n_dropped"], n) for n in ("key0", "key1", "gone0", "gone1", "gone")]
     table = small(drops.select(*_named([F.col("t0"), F.col("t1"), F.col("line_nos")], names[2:])))
     rows = df.select("*", *_named(hash128(F.col(text)), names[:2]))

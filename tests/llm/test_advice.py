@@ -76,3 +76,14 @@ def test_noise_and_unlearned_languages_are_rejected(spark):
     assert sum(model.judge(r["text"], known)[2] for r in held) <= 2
     short = docs.filter(langid.held_out() & F.size(F.split("text", " ")).between(6, 20)).select("text").collect()
     assert sum(model.judge(r["text"], known)[2] for r in short) <= 0.05 * len(short)
+
+
+def test_long_lines_of_few_texts_stay_once(spark):
+    rng = random.Random(14)
+    own = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(9)]
+    line, passage = "this very line stands word for word in three texts", " ".join(f"p{i}" for i in range(60))
+    texts = [f"{x}\n{line if i < 3 else 'a short line'}\n{passage if i > 6 else ''}" for i, x in enumerate(own)]
+    rows = {r["doc_id"]: r for r in corpus_pipeline.near_duplicates(spark, corpus_pipeline.recurring_lines(spark, documents(spark, texts), SF), SF).collect()}
+    assert sorted(rows) == list(range(9)) and all(len(r["text"]) == r["n_chars"] for r in rows.values())
+    assert [i for i, r in rows.items() if line in r["text"]] == [0] and [i for i, r in rows.items() if passage in r["text"]] == [7]
+    assert all(own[i] in r["text"] for i, r in rows.items()) and sum("a short line" in r["text"] for r in rows.values()) == 6
