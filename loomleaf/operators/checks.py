@@ -7,7 +7,6 @@ to entries, part roles, the rules, and counts.
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,6 +17,7 @@ from ..functions import text as X
 from ..functions import vocab as V
 from ..sources.packages import package_parts
 from ..sources.xmlnodes import xml_nodes
+from ..workspace import shared_dir
 from .ordered import cap_per_code, omitted_per_code, rank_table
 
 _PLACE = ["stage", "part_ord", "node", "seq"]
@@ -39,11 +39,7 @@ def _row(df: DataFrame, code: str, message, stage: int, seq: int = 0, part="part
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder: many rules read it, and their plans stay small."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomleaf-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
