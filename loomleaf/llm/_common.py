@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..workspace import shared_dir
 
 #: A word is a run of anything but these; the same class for Java and RE2.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows up to which a materialised table of short fixed-width rows is broadcast.
-BROADCAST_ROWS = 400_000
+#: Bytes up to which a materialised table is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def free_name(taken, base: str) -> str:
@@ -30,45 +34,80 @@ def slices(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share.
+class _Written(threading.local):
+    """Folders of working tables that this thread wrote and has not released."""
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only a local master may do
-    without: then a temporary folder is set once for the session.
-    """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomleaf-"))
-    return sc.getCheckpointDir()
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_WRITTEN = _Written()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, which cuts its lineage."""
+    """``df`` written to the shared folder and read back, which cuts its lineage.
+
+    The folder goes with :func:`release`, at the end of a :func:`scratch` block, or at the
+    latest when the driver's process ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _WRITTEN.paths.append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._loomleaf_path = path
     return back
 
 
-def release(df: DataFrame) -> None:
-    """Delete a table of :func:`materialise` that nothing will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._loomleaf_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _WRITTEN.paths:
+        _WRITTEN.paths.remove(path)
+
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialise` that nothing will read again."""
+    for df in tables:
+        _delete(df.sparkSession, df._loomleaf_path)
 
-def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A materialised table with a broadcast hint if its row count allows it, else as it is.
 
-    Without the hint the join is a plain shuffle of both sides, which adaptive
-    execution can split where a key is skewed.
+@contextlib.contextmanager
+def scratch(spark: SparkSession, *kept: DataFrame):
+    """Working tables written inside the block go at its end, but those appended to the list it yields."""
+    before, stay = set(_WRITTEN.paths), list(kept)
+    try:
+        yield stay
+    finally:
+        paths = {getattr(t, "_loomleaf_path", None) for t in stay}
+        for path in [p for p in _WRITTEN.paths if p not in before and p not in paths]:
+            _delete(spark, path)
+
+
+def _held(column: str, kind: T.DataType) -> Column:
+    """About how many bytes a value takes beyond its slot in the row."""
+    c = F.col(f"`{column}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + 16 + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long") * 8
+    return F.lit(0).cast("long")
+
+
+def small(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A materialised table with a broadcast hint if its rows take at most ``most`` bytes, else as it is.
+
+    Bytes are counted, not estimated from files: a slot for every column and the lengths
+    of strings and arrays.  Without the hint the join is a plain shuffle of both sides,
+    which adaptive execution can split where a key is skewed.
     """
-    return F.broadcast(table) if table.count() <= rows else table
+    beyond = sum((_held(f.name, f.dataType) for f in table.schema.fields), F.lit(0).cast("long"))
+    rows, more = table.agg(F.count("*"), F.coalesce(F.sum(beyond), F.lit(0))).first()
+    return F.broadcast(table) if rows * (24 + 8 * len(table.columns)) + more <= most else table
 
 
 def hash128(*cols) -> list:
@@ -76,6 +115,11 @@ def hash128(*cols) -> list:
     return [F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)]
 
 
+def hash_bound(share: float) -> int:
+    """The signed 64-bit hash that ``share`` of all hashes do not exceed."""
+    return (1 << 63) - 1 if share >= 1 else int(-(1 << 63) + share * ((1 << 64) - 1))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Have Spark hand at most ``rows`` rows at a time to Python; a smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -18,7 +18,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` for every node that isn't the smallest of its component.
 
     ``edges`` holds pairs in either direction, repeats and loops allowed, nulls
-    ignored.  The result is a materialised table.
+    ignored.  The result is a materialised table; an empty one gives an empty one.
     """
     big, low = F.greatest(a, b), F.least(a, b)
     pairs = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -26,7 +26,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == before:
-            return now.select(F.col("x").alias("node"), F.col("y").alias("root"))
+            out = now.select(F.col("x").alias("node"), F.col("y").alias("root"))
+            out._loomleaf_path = now._loomleaf_path
+            return out
         before = state
         # Small star: the smaller neighbours of x, and x, go to the smallest of them.
         least = materialise(now.groupBy("x").agg(F.min("y").alias("m")))
