@@ -3,39 +3,52 @@
 Every source's documents are laid end to end and cut into blocks of
 ``block_words`` words.  Targets share ``share`` times all words out by weight; a
 source stops at ``most`` times its own size and the excess goes to the others.
-A source's quota is a number of slots: whole epochs of its blocks and a part of
-one, cut short in its last slot so that the words taken meet the target.  A
-multinomial draw deals each source's slots to the output shards (so a shard's
-source counts are random while a source's total is exact), each slot is mapped to
-a block by the source's own pseudorandom permutation of block indices, a fresh one
-in each epoch, and slots meet blocks in an equality join on the index.
+
+The mix is a run of output shards of fixed length (in slots).  For each shard a
+multinomial draw says how many slots each source gets, by the weights of what its
+target still lacks, so that chance deviations of early shards are made up by later ones;
+what a source can't give (``most`` times its blocks are drawn) is drawn again among
+the others.  Each source's counts run on from shard to shard: they say which of its
+slots exist, so the draw decides how many words are taken, near the target but not
+equal to it.  A slot is mapped to a block by the source's own pseudorandom permutation
+of block indices, a fresh one in each epoch, and slots meet blocks in an equality join
+on the index.  :func:`packed_blocks` emits the mix so, by shard; :func:`taken_words`
+counts it by document; :func:`mixed_documents` puts the drawn words of each document
+and epoch back together.
 
 A block is ``block_words`` words but for the tail of a source, which stands last
 in each epoch.  Documents are placed in a source by hash buckets: running sums by
-bucket plus bucket offsets, so a source that holds most rows is many groups.  The
-permutation is a generalised Feistel network with cycle walking, in SQL functions.
+bucket plus bucket offsets, so a source that holds most rows is many groups; a table has
+the more buckets, the more rows it has.  The permutation is a generalised Feistel network
+with cycle walking, in SQL functions.  The draw itself runs over one row a source.
 
 Defined cases: a null text has size 0 and is never drawn; a null source is a
 source of its own, last in order; repeated rows are separate documents; sources
-of size 0 have target 0; an empty table gives an empty one.  Results depend on the
-rows and ``seed`` alone, not on partitions, so reruns agree.
+of size 0 have target 0; a source smaller than a block is one block; an empty table gives
+an empty one; further columns pass through :func:`mixed_documents` whatever their names,
+and are not read by the others.  Results depend on the rows and parameters alone, not on
+partitions, so reruns agree.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, materialise
+from ._common import WORD, materialise, small
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2
-BLOCK_WORDS, SHARDS, BUCKETS, SEED = 128, 64, 1024, 20
-_SLOT_RUN = 4096
-_SOURCE = ["none", "src"]
+#: Words a block; shards at least; slots a shard at most; buckets a source at least, and rows of the table a bucket stands for; seed.
+BLOCK_WORDS, SHARDS, SHARD_SLOTS, BUCKETS, BUCKET_ROWS, SEED = 128, 256, 1 << 20, 1024, 1 << 14, 20
+_SLOT_RUN, _TASK_SLOTS, _TASKS = 4096, 1 << 17, 64
+_SOURCE, _ROW = ["none", "src"], ["k0", "k1"]
+
+
+def _row_key(doc_id: str, tie: Column) -> list[Column]:
+    """128 bits that tell rows of different id or text apart."""
+    return [F.xxhash64(F.col(doc_id), tie), F.xxhash64(F.lit("row"), F.col(doc_id), tie)]
 
 
 def permuted(i: Column, n: Column, *key: Column) -> Column:
@@ -84,62 +97,94 @@ def target_table(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most:
     return rows.select("none", "src", "source_size", target.alias("target"))
 
 
-def _columns(doc_id: str, text: str, source: str) -> list[Column]:
+def bucket_count(df: DataFrame) -> int:
+    """Buckets a source: a power of two times BUCKETS that keeps a bucket of the whole table near BUCKET_ROWS rows."""
+    return BUCKETS << max(0, (df.count() // (BUCKETS * BUCKET_ROWS)).bit_length())
+
+
+def _columns(doc_id: str, text: str, source: str, n_buckets: int) -> list[Column]:
     """Whether the source is null, the source, the size and the bucket of a row."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    bucket = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(BUCKETS))
+    bucket = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n_buckets))
     return [F.col(source).isNull().alias("none"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("src"), size.alias("size"), bucket.alias("bucket")]
 
 
-def placed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple = ()) -> DataFrame:
+def placed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple = (), n_buckets: int = BUCKETS) -> DataFrame:
     """``keep`` columns with each row's source, ``size``, bucket, number in it and first word's place in the bucket."""
-    rows = df.select(*[F.col(c).alias(f"in_{c}") for c in keep], F.col(doc_id).alias("doc_id"), *_columns(doc_id, text, source), F.xxhash64(F.col(text)).alias("tie"))
+    rows = df.select(*[F.col(c).alias(f"in_{c}") for c in keep], F.col(doc_id).alias("doc_id"), *_columns(doc_id, text, source, n_buckets), F.xxhash64(F.col(text)).alias("tie"))
     here = Window.partitionBy("none", "src", "bucket").orderBy("doc_id", "tie")
-    return rows.select("*", F.row_number().over(here).alias("row_no"), (F.sum("size").over(here.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("place")).drop("tie")
+    return rows.select("*", F.row_number().over(here).alias("row_no"), (F.sum("size").over(here.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("place"))
 
 
-def bucket_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def bucket_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_buckets: int = BUCKETS) -> DataFrame:
     """Words of each source and bucket, and the words before it in the source; materialised."""
-    sums = df.select(*_columns(doc_id, text, source))
+    sums = df.select(*_columns(doc_id, text, source, n_buckets))
     sums = sums.groupBy(*_SOURCE, "bucket").agg(F.sum("size").alias("words"))
     along = Window.partitionBy(*_SOURCE).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     return materialise(sums.select(*_SOURCE, "bucket", "words", F.coalesce(F.sum("words").over(along), F.lit(0)).alias("before")))
 
 
 def source_plan(buckets: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per source: size, target, blocks, epochs and slots; materialised."""
+    """One row per source: size, target, blocks, and the slots it can give (``epochs`` whole ones and ``rest`` words); materialised."""
     sizes = buckets.groupBy(*_SOURCE).agg(F.sum("words").cast("long").alias("source_size"))
     rows = target_table(sizes, weights, share, most)
     size = F.greatest(F.col("source_size"), F.lit(1))
-    quota = F.least(F.round("target").cast("long"), F.floor(F.col("source_size") * F.lit(float(most))).cast("long"))
-    rows = rows.withColumns({"full": F.floor(F.col("source_size") / block_words).cast("long"), "tail": F.col("source_size") % block_words, "epochs": F.floor(quota / size).cast("long"), "rest": quota % size})
+    room = F.floor(F.col("source_size") * F.lit(float(most))).cast("long")
+    rows = rows.withColumns({"full": F.floor(F.col("source_size") / block_words).cast("long"), "tail": F.col("source_size") % block_words, "epochs": F.floor(room / size).cast("long"), "rest": room % size})
     blocks = F.col("full") + (F.col("tail") > 0).cast("long")
     part = F.when(F.col("rest") > F.col("full") * block_words, F.col("full") + 1).otherwise(F.ceil(F.col("rest") / block_words)).cast("long")
     return materialise(rows.withColumns({"blocks": blocks, "slots": F.col("epochs") * blocks + part}))
 
 
-def _deal(shards: int, seed: int):
-    """For each source the slots of each shard: a multinomial draw, seeded by the source."""
+def draw_counts(sources: pd.DataFrame, shards: int, shard_slots: int, block_words: int, seed: int):
+    """(shard, slots of each source) for one shard after another; ``sources`` has source_size, target, blocks and slots."""
+    size, target, blocks, room = (sources[c].to_numpy(np.int64 if c != "target" else np.float64) for c in ("source_size", "target", "blocks", "slots"))
+    alive = blocks > 0
+    per = np.where(alive, size / np.maximum(blocks, 1), 1.0)
+    words = lambda n: n // np.maximum(blocks, 1) * size + np.minimum(n % np.maximum(blocks, 1) * block_words, size)
+    every = int(round(float((target[alive] / per[alive]).sum())))
+    parts = max(1, min(shards, every), -(-every // shard_slots))
+    length, drawn = -(-every // parts), np.zeros(len(size), dtype=np.int64)
+    for shard in range(parts):
+        rng, before = np.random.default_rng([seed, shard]), drawn.copy()
+        left = min(length, every - shard * length)
+        while left > 0:
+            space = alive & (drawn < room)
+            weight = np.where(space, np.maximum(target - words(drawn), 0.0) / per, 0.0)
+            if not weight.sum():
+                weight = np.where(space, target / per, 0.0)
+            if not weight.sum():
+                return
+            more = np.minimum(rng.multinomial(left, weight / weight.sum()), room - drawn)
+            drawn = drawn + more
+            left -= int(more.sum())
+        yield shard, before, drawn - before
+
+
+def _draws(shards: int, shard_slots: int, block_words: int, seed: int):
+    """Arrow-side form of :func:`draw_counts`: source, shard, first slot and count, where there are any."""
 
     def run(frames):
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                if row.slots:
-                    rng = np.random.default_rng([seed, int(row.none), zlib.crc32(row.src.encode())])
-                    counts = rng.multinomial(int(row.slots), np.full(shards, 1 / shards))
-                    out.append(pd.DataFrame({"none": row.none, "src": row.src, "shard": np.arange(shards, dtype=np.int64), "first": np.cumsum(counts) - counts, "count": counts}))
-            yield pd.concat(out) if out else pd.DataFrame({"none": pd.Series(dtype=bool), "src": pd.Series(dtype=str), "shard": pd.Series(dtype="int64"), "first": pd.Series(dtype="int64"), "count": pd.Series(dtype="int64")})
+        frames = list(frames)
+        rows = pd.concat(frames) if frames else None
+        if rows is None or not len(rows):
+            return
+        rows = rows.sort_values(["none", "src"], ignore_index=True)
+        for shard, first, count in draw_counts(rows, shards, shard_slots, block_words, seed):
+            some = np.flatnonzero(count)
+            yield pd.DataFrame({"none": rows["none"].to_numpy()[some], "src": rows["src"].to_numpy()[some], "shard": np.int64(shard), "first": first[some], "count": count[some]})
 
     return run
 
 
-def slot_table(plan: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Every slot: source, ``shard``, ``slot`` (in the source), ``epoch``, ``block``, ``take`` (words from the block's start)."""
-    dealt = plan.select(*_SOURCE, "slots").mapInPandas(_deal(shards, seed), "none boolean, src string, shard long, first long, count long").filter("count > 0")
+def slot_table(plan: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """Every drawn slot: source, ``shard``, ``slot`` (in the source), ``epoch``, ``block``, ``take`` (words from the block's start)."""
+    dealt = plan.select(*_SOURCE, "source_size", "target", "blocks", "slots").repartition(1).mapInPandas(_draws(shards, shard_slots, block_words, seed), "none boolean, src string, shard long, first long, count long")
+    dealt = materialise(dealt)
+    every = dealt.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     runs = dealt.select(*_SOURCE, "shard", (F.col("first") + F.col("count")).alias("end"), F.explode(F.sequence("first", F.col("first") + F.col("count") - 1, F.lit(_SLOT_RUN))).alias("at"))
-    runs = runs.repartition(shards, "none", "src", "shard", "at")  # a number, so that small runs aren't put back together
-    slots = runs.select(*_SOURCE, "shard", F.explode(F.sequence("at", F.least(F.col("at") + _SLOT_RUN, F.col("end")) - 1)).alias("slot")).join(F.broadcast(plan) if plan.count() <= 100_000 else plan, _SOURCE)
+    runs = runs.repartition(max(_TASKS, -(-every // _TASK_SLOTS)), "none", "src", "shard", "at")  # a number, so that small runs aren't put back together
+    slots = runs.select(*_SOURCE, "shard", F.explode(F.sequence("at", F.least(F.col("at") + _SLOT_RUN, F.col("end")) - 1)).alias("slot")).join(small(plan), _SOURCE)
     slots = slots.withColumns({"epoch": F.floor(F.col("slot") / F.col("blocks")).cast("long"), "i": F.col("slot") % F.col("blocks")})
     mixed = permuted(F.col("i"), F.col("full"), F.lit(seed), F.col("none"), F.col("src"), F.col("epoch"))
     long = F.when(F.col("i") == F.col("full"), F.col("tail")).otherwise(F.lit(block_words).cast("long"))
@@ -159,15 +204,15 @@ def _pieces(placed: DataFrame, buckets: DataFrame, block_words: int) -> DataFram
 
 def taken_words(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """A row per document: ``doc_id``, ``size``, ``source_size``, ``target`` (its source's) and ``taken`` (repeats counted)."""
-    buckets = bucket_table(df, doc_id, text, source)
+    n_buckets = bucket_count(df)
+    buckets = bucket_table(df, doc_id, text, source, n_buckets)
     plan = source_plan(buckets, weights, share, most, block_words)
     slots = slot_table(plan, block_words, shards, seed)
-    pieces = _pieces(placed_documents(df, doc_id, text, source), buckets, block_words)
+    pieces = _pieces(placed_documents(df, doc_id, text, source, n_buckets=n_buckets), buckets, block_words)
     joined = pieces.join(slots.select(*_SOURCE, "block", "take"), [*_SOURCE, "block"], "left")
     words = F.greatest(F.least("hi", F.coalesce("take", F.lit(0))) - F.col("lo"), F.lit(0))  # no slot draws the block: none of it
     sums = joined.groupBy(*_SOURCE, "bucket", "row_no", "doc_id", "size").agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"))
-    named = F.broadcast(plan) if plan.count() <= 100_000 else plan
-    return sums.join(named.select(*_SOURCE, "source_size", "target"), _SOURCE).select("doc_id", "size", "source_size", "target", "taken")
+    return sums.join(small(plan).select(*_SOURCE, "source_size", "target"), _SOURCE).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED, length: str | None = "n_chars") -> DataFrame:
@@ -177,17 +222,28 @@ def mixed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     drew every word, else its drawn words with the white space after them.
     ``length``, if a column, is set to the new text's code points.
     """
-    buckets = bucket_table(df, doc_id, text, source)
+    n_buckets = bucket_count(df)
+    buckets = bucket_table(df, doc_id, text, source, n_buckets)
     plan = source_plan(buckets, weights, share, most, block_words)
     slots = slot_table(plan, block_words, shards, seed)
-    placed = placed_documents(df, doc_id, text, source, tuple(df.columns))
-    own = [*_SOURCE, "bucket", "row_no"]
-    slim = placed_documents(df, doc_id, text, source)
+    slim = placed_documents(df, doc_id, text, source, n_buckets=n_buckets).withColumns(dict(zip(_ROW, _row_key("doc_id", F.col("tie")), strict=True)))
+    # Rows of equal id, text and source are told apart by a number; which of them gets which draw makes no difference.
+    slim = slim.withColumn("copy", F.row_number().over(Window.partitionBy(*_SOURCE, "bucket", *_ROW).orderBy("row_no")))
+    own = [*_SOURCE, *_ROW, "copy"]
     joined = _pieces(slim, buckets, block_words).join(slots.select(*_SOURCE, "block", "epoch", "take"), [*_SOURCE, "block"])
     n = F.least("hi", "take") - F.col("lo")
-    drawn = joined.filter(n > 0).groupBy(*own, "epoch").agg(F.array_sort(F.collect_list(F.struct("from_word", n.alias("n")))).alias("drawn"), F.sum(n).alias("words"))
-    drawn = drawn.groupBy(*own).agg(F.collect_list(F.struct("epoch", "words", "drawn")).alias("draws"))
-    rows = placed.join(drawn, own).withColumn("draw", F.explode("draws"))
+    drawn = joined.filter(n > 0).groupBy(*own, "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("from_word", n.alias("n")))).alias("drawn"), F.sum(n).alias("words"))
+    drawn = drawn.groupBy(*own, "size").agg(F.collect_list(F.struct("epoch", "words", "drawn")).alias("draws"))
+    many = materialise(slim.groupBy(*_SOURCE, *_ROW).agg(F.count("*").alias("n")).filter("n > 1").select(*_SOURCE, *_ROW))
+    none, src = F.col(source).isNull().alias("none"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("src")
+    full = df.select(*[F.col(c).alias(f"in_{c}") for c in df.columns], none, src, *(c.alias(name) for name, c in zip(_ROW, _row_key(doc_id, F.xxhash64(F.col(text))), strict=True)))
+    if many.isEmpty():
+        rows = full.withColumn("copy", F.lit(1))
+    else:
+        key = [*_SOURCE, *_ROW]
+        numbered = full.join(small(many), key, "left_semi").withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy("k0")))
+        rows = full.join(small(many), key, "left_anti").withColumn("copy", F.lit(1)).unionByName(numbered)
+    rows = rows.join(drawn, own).withColumn("draw", F.explode("draws"))
     words = F.regexp_extract_all(F.col(f"in_{text}"), F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.aggregate("draw.drawn", F.lit(""), lambda out, d: F.concat(out, F.array_join(F.slice(F.col("words"), (d["from_word"] + 1).cast("int"), d["n"].cast("int")), "")))
     whole = F.col("draw.words") == F.col("size")
@@ -196,3 +252,26 @@ def mixed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     if length in df.columns:
         out[length] = F.length("mixed_text").cast(df.schema[length].dataType)
     return rows.select(*(c.alias(name) for name, c in out.items()))
+
+
+def packed_blocks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The mix as packed blocks: a row per slot with ``shard``, ``place`` (order it by this in the shard), ``source``, ``slot``, ``epoch``, ``block``, ``n_words``, ``text``.
+
+    A block's words are joined by single spaces.
+    """
+    n_buckets = bucket_count(df)
+    buckets = bucket_table(df, doc_id, text, source, n_buckets)
+    slots = slot_table(source_plan(buckets, weights, share, most, block_words), block_words, shards, seed)
+    rows = placed_documents(df, doc_id, text, source, (text,), n_buckets).filter("size > 0").join(buckets.select(*_SOURCE, "bucket", "before"), [*_SOURCE, "bucket"])
+    start, end = F.col("before") + F.col("place"), F.col("before") + F.col("place") + F.col("size")
+    lo, hi = lambda b: F.greatest(start, b * block_words), lambda b: F.least(end, (b + 1) * block_words)
+    spans = F.sequence(F.floor(start / block_words).cast("long"), F.floor((end - 1) / block_words).cast("long"))
+    piece = lambda words, b: F.struct(b.alias("block"), (lo(b) - b * block_words).alias("lo"), F.slice(words, (lo(b) - start + 1).cast("int"), (hi(b) - lo(b)).cast("int")).alias("words"))
+    # One array around the words binds them, so that a text is split once for all of its blocks.
+    bound = F.array(F.regexp_extract_all(F.col(f"in_{text}"), F.lit(WORD), F.lit(0)))
+    pieces = rows.select(*_SOURCE, F.explode(F.transform(bound, lambda words: F.transform(spans, lambda b: piece(words, b)))[0]).alias("p")).select(*_SOURCE, "p.*")
+    blocks = pieces.groupBy(*_SOURCE, "block").agg(F.array_sort(F.collect_list(F.struct("lo", "words"))).alias("pieces"))
+    blocks = blocks.select(*_SOURCE, "block", F.flatten("pieces.words").alias("words"))
+    rows = slots.join(blocks, [*_SOURCE, "block"])
+    named = F.when(~F.col("none"), F.col("src")).alias("source")
+    return rows.select("shard", F.xxhash64(F.lit(seed), *_SOURCE, "slot").alias("place"), named, "slot", "epoch", "block", F.col("take").alias("n_words"), F.array_join(F.slice("words", F.lit(1), F.col("take").cast("int")), " ").alias("text"))
