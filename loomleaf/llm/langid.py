@@ -14,33 +14,39 @@ Noise and languages not learned lie below the default, labelled texts above it;
 are whole bytes, so below 50 of them a lead of one byte passes.  Equal sizes go to the language with more labelled rows.
 
 Bounded parameters: dictionaries hold ``dictionary_bytes`` per language, taken
-from at most ``sample_texts`` distinct labelled texts of at most ``sample_chars``
-characters, chosen by hash; counts of labels cover all rows.  The model is
-broadcast; more than ``max_languages`` languages are refused.
+from at most ``sample_texts`` distinct labelled texts chosen by hash, of each a passage
+of at most ``sample_chars`` characters that starts at a place chosen by hash; counts of
+labels cover all rows.  At most ``max_languages`` dictionaries are broadcast and loaded at
+a time: a longer list is judged group after group, each pass carrying the two smallest
+sizes so far, with the same result.
 
 Defined cases: text null or without a letter gives "und", score 0, rejected; with
 one language the score is 1; with none learned everything is "und"; only text
-decides, so repeated rows get equal results; unlabelled rows teach nothing.
+decides, so repeated rows get equal results; unlabelled rows teach nothing, nor do
+labelled texts without a letter; an empty table gives an empty one, and one without labelled
+rows a model of no language; texts are compressed whole, whatever their length; columns
+kept may have any names: new ones are underscored until they clash with none.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded_batches, free_name, slices
+from ._common import bounded_batches, free_name, hash_bound, slices
 
 DICTIONARY_BYTES, SAMPLE_TEXTS, SAMPLE_CHARS, MAX_LANGUAGES = 262_144, 256, 4096, 200
 LEVEL, PIECE, MIN_MARGIN, UNKNOWN = 6, 2048, 0.02, "und"
-SALTS = 16
 _MARK = bytes(range(1, 32)) * 3
-_OTHER = re.compile(r"[\W\d_]+")
+#: All but letters and the marks that combine with them, as the vowel signs of many scripts do.
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_NO_SIZE = 1 << 62
 
 
 def plain_letters(text: str) -> str:
@@ -68,64 +74,103 @@ class LanguageModel:
             out.append(zstandard.ZstdCompressor(dict_data=known, compression_params=shape))
         return out
 
+    def groups(self, most: int = MAX_LANGUAGES) -> list[LanguageModel]:
+        """The model in parts of at most ``most`` languages, in order."""
+        cut = lambda x: [x[at : at + most] for at in range(0, len(x), most)]
+        return [LanguageModel(names, contents, self.level, self.piece, self.min_margin) for names, contents in zip(cut(self.languages), cut(self.dictionaries), strict=True)]
+
+    def sizes(self, text: str | None, compressors: list) -> list[int]:
+        """The compressed size under every language; none for a text without a letter."""
+        data = plain_letters(text or "").encode()
+        if not data:
+            return []
+        pieces = [_MARK + data[at : at + self.piece] for at in range(0, len(data), self.piece)]
+        return [sum(len(c.compress(p)) for p in pieces) for c in compressors]
+
     def judge(self, text: str | None, compressors: list) -> tuple[str, float, bool]:
         """Language, score, rejected."""
-        data = plain_letters(text or "").encode()
-        if not data or not compressors:
+        return self.verdict(*leading(self.sizes(text, compressors), self.languages))
+
+    def verdict(self, language: str | None, best: int, second: int) -> tuple[str, float, bool]:
+        """Language, score and rejected from the smallest size, its language and the next size."""
+        if language is None:
             return UNKNOWN, 0.0, True
-        pieces = [_MARK + data[at : at + self.piece] for at in range(0, len(data), self.piece)]
-        sizes = [sum(len(c.compress(p)) for p in pieces) for c in compressors]
-        best = min(range(len(sizes)), key=sizes.__getitem__)
-        if len(sizes) == 1:
-            return self.languages[0], 1.0, False
-        second = min(sizes[:best] + sizes[best + 1 :])
-        score = (second - sizes[best]) / second
-        return self.languages[best], score, score < self.min_margin
+        if second == _NO_SIZE:
+            return language, 1.0, False
+        score = (second - best) / second
+        return language, score, score < self.min_margin
+
+
+def leading(sizes: list[int], languages: list[str], so_far: tuple = (None, _NO_SIZE, _NO_SIZE)) -> tuple[str | None, int, int]:
+    """The language of the smallest size (the first of equal ones), that size and the next, also counting ``so_far``."""
+    name, best, second = so_far
+    for language, size in zip(languages, sizes, strict=False):
+        if size < best:
+            name, best, second = language, size, best
+        else:
+            second = min(second, size)
+    return name, best, second
 
 
-def learn_languages(df: DataFrame, text: str = "text", lang: str = "lang", dictionary_bytes: int = DICTIONARY_BYTES, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS, max_languages: int = MAX_LANGUAGES, **model) -> LanguageModel:
+def learn_languages(df: DataFrame, text: str = "text", lang: str = "lang", dictionary_bytes: int = DICTIONARY_BYTES, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS, **model) -> LanguageModel:
     """Learn from the rows of ``df`` whose ``lang`` isn't null.
 
     Copies of one text count once in the sample: it takes the distinct texts with
-    the smallest hashes, found without moving texts.
+    the smallest hashes.  Only hashes below a bound leave a task, by a share of a language's rows
+    that is raised until there are enough texts.
     """
-    rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
-    if len(counts) > max_languages:
-        raise ValueError(f"more than max_languages={max_languages} languages")
-    fit = rows.filter(F.length("text").between(1, sample_chars))
-    least = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("rank") <= sample_texts)
-    dealt = fit.select("lang", F.pmod("h", F.lit(SALTS)).alias("salt"), "h").distinct()
-    lowest = least(least(dealt, "lang", "salt"), "lang")  # the second sees sample_texts * SALTS rows a language at most
-    bounds = {r["lang"]: r["h"] for r in lowest.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    texts: dict[str, list] = {}
-    if bounds:
-        upto = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair))
-        for r in fit.filter(F.col("h") <= upto[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect():
-            texts.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    names = sorted((x for x in texts if x != UNKNOWN), key=lambda x: (-counts[x], x))
-    contents = ["".join(plain_letters(t) for _, t in sorted(texts[x])).encode()[:dictionary_bytes] for x in names]
-    kept = [(n, c) for n, c in zip(names, contents, strict=True) if len(c) >= 8]
-    return LanguageModel([n for n, _ in kept], [c for _, c in kept], **model)
-
-
-def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple = (), names: tuple = ("lang_pred", "score", "rejected")) -> DataFrame:
+    known = F.col(lang).isNotNull() & F.col(text).isNotNull()
+    rows = df.filter(known).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h")).filter(F.col("text").rlike(r"\p{L}"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect() if r["lang"] != UNKNOWN}
+    share, texts = {x: min(1.0, 4 * sample_texts / n) for x, n in counts.items()}, {}
+    spare = F.greatest(F.length("text") - sample_chars, F.lit(0))
+    passage = F.substring(F.col("text"), F.pmod(F.xxhash64(F.lit("place"), "h"), spare + 1).cast("int") + 1, F.lit(sample_chars))
+    while open_ := [x for x in counts if x not in texts]:
+        upto = F.create_map(*(F.lit(v) for x in open_ for v in (x, hash_bound(share[x]))))
+        low = rows.filter(F.col("lang").isin(open_) & (F.col("h") <= upto[F.col("lang")])).groupBy("lang", "h").agg(F.count("*").alias("copies"))
+        bounds = {r["lang"]: (r["n"], r["hs"]) for r in low.groupBy("lang").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("h")).alias("hs")).select("lang", "n", F.slice("hs", 1, sample_texts).alias("hs")).collect()}
+        done = [x for x in open_ if share[x] >= 1 or bounds.get(x, (0, []))[0] >= sample_texts]
+        for x in set(open_) - set(done):
+            share[x] = min(1.0, share[x] * 16)
+        if not done:
+            continue
+        last = F.create_map(*(F.lit(v) for x in done for v in (x, bounds[x][1][-1])))
+        for x in done:
+            texts[x] = {}
+        for r in rows.filter(F.col("lang").isin(done) & (F.col("h") <= last[F.col("lang")])).groupBy("lang", "h").agg(F.min(passage).alias("text")).collect():
+            texts[r["lang"]][r["h"]] = r["text"]
+    names = sorted(texts, key=lambda x: (-counts[x], x))
+    contents = {x: "".join(plain_letters(t) for _, t in sorted(texts[x].items())).encode()[:dictionary_bytes] for x in names}
+    names = [x for x in names if contents[x]]
+    return LanguageModel(names, [contents[x] for x in names], **model)
+
+
+def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple = (), names: tuple = ("lang_pred", "score", "rejected"), max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """``keep`` columns with the language, the score and whether the margin is too narrow."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    spark, parts = df.sparkSession, model.groups(max_languages) or [model]
     inner = free_name(keep, "judged_text")
-    bounded_batches(df.sparkSession)
-    source = df.select(*keep, F.col(text).cast("string").alias(inner))
+    bounded_batches(spark)
     out = [free_name(keep, n) for n in names]
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType()), T.StructField(out[2], T.BooleanType())])
-
-    def run(batches):
-        known = shared.value.compressors()
-        for batch in slices(batches):
-            found = [shared.value.judge(x.as_py(), known) for x in batch.column(batch.num_columns - 1)]
-            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
-
-    return source.mapInArrow(run, schema)
+    state = [T.StructField(n, k) for n, k in zip(out, (T.StringType(), T.LongType(), T.LongType()), strict=True)]
+    final = [T.StructField(n, k) for n, k in zip(out, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
+    rows = df.select(*keep, F.col(text).cast("string").alias(inner))
+    width = len(rows.columns)
+    for i, part in enumerate(parts):
+        shared, first, last = spark.sparkContext.broadcast(part), i == 0, i == len(parts) - 1
+        schema = T.StructType([*rows.schema.fields[: width - last], *(final if last else state)])
+
+        def run(batches, shared=shared, first=first, last=last, schema=schema):
+            known = shared.value.compressors()
+            kinds = (pa.string(), pa.float64(), pa.bool_()) if last else (pa.string(), pa.int64(), pa.int64())
+            for batch in slices(batches):
+                before = [(None, _NO_SIZE, _NO_SIZE)] * batch.num_rows if first else zip(*(batch.column(width + j).to_pylist() for j in range(3)), strict=True)
+                found = [leading(shared.value.sizes(x.as_py(), known), shared.value.languages, b) for x, b in zip(batch.column(width - 1), before, strict=True)]
+                found = [shared.value.verdict(*f) for f in found] if last else found
+                columns = [pa.array([f[j] for f in found], kind) for j, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: width - last], *columns], names=schema.names)
+
+        rows = rows.mapInArrow(run, schema)
+    return rows
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
