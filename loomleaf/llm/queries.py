@@ -73,8 +73,10 @@ def op7_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best partners of every fiftieth vector."""
     rows = _table(spark, sf_dir, "embeddings").filter(covertree.usable("embedding"))
-    whole = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("bigint"))
-    return covertree.top_k(rows.select("vec_id", whole.alias("vector")), F.col("vec_id") % 50 == 0, k=5)
+    scaled = lambda x: F.lit(256.0) * x.cast("double")
+    # Doubles from 2**53 up are whole as they are, and may not fit a long.
+    whole = F.transform("embedding", lambda x: F.when(F.abs(scaled(x)) < float(1 << 53), F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
+    return covertree.top_k(rows.select("vec_id", whole.alias("vector")), F.col("vec_id") % 50 == 0, k=5).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,17 +97,14 @@ QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_snapshot_collapse, op3_te
 #: The turns of every conversation as a list, and all its proper prefixes, are compared as values, not as hashes.
 _CHAT_SQL = r"""
 WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
-         CASE WHEN turn IS NULL THEN -1 ELSE CAST(floor(turn / 256.0) AS BIGINT) END AS block FROM turns),
-whole AS (SELECT conv_id, count(*) AS n, list({'r': role, 'x': text} ORDER BY pos) AS told FROM placed GROUP BY conv_id),
+named AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER (ORDER BY turn, role, text) ELSE 0 END AS lone FROM turns),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lone ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM named),
+whole AS (SELECT conv_id, lone, count(*) AS n, list({'r': role, 'x': text} ORDER BY pos) AS told,
+                 string_agg('<|im_start|>' || replace(coalesce(role, 'unknown'), '<|', '< |') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS chat
+          FROM placed GROUP BY conv_id, lone),
 proper AS (SELECT DISTINCT k, told[1:k] AS told FROM (SELECT told, unnest(range(1, n)) AS k FROM whole)),
-classes AS (SELECT n, told, min(conv_id) AS conv_id, count(*) AS copies FROM whole GROUP BY n, told),
-kept AS (SELECT c.* FROM classes c WHERE NOT EXISTS (SELECT 1 FROM proper p WHERE p.k = c.n AND p.told = c.told))
-SELECT conv_id, dense_rank() OVER (PARTITION BY conv_id ORDER BY block) - 1 AS segment, n_turns, copies, chat FROM (
-  SELECT k.conv_id, p.block, any_value(k.n) AS n_turns, any_value(k.copies) AS copies,
-         string_agg('<|im_start|>' || replace(coalesce(p.role, 'unknown'), '<|', '< |') || chr(10) || replace(coalesce(p.text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY p.pos) AS chat
-  FROM kept k JOIN placed p ON p.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY k.conv_id, p.block)
+classes AS (SELECT n, told, min(conv_id) AS conv_id, count(*) AS copies, min(chat) AS chat FROM whole GROUP BY n, told)
+SELECT c.conv_id, c.n AS n_turns, c.copies, c.chat FROM classes c WHERE NOT EXISTS (SELECT 1 FROM proper p WHERE p.k = c.n AND p.told = c.told)
 """
 
 _LINE_SQL = r"""
