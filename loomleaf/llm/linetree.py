@@ -12,9 +12,13 @@ smallest document id that has it, so nothing leaves the corpus altogether.
 
 Documents with equal text are one text here: they count once and get equal
 results, so exact copies stay copies for a later document dedup.  Only SQL
-functions run.  A leaf with fewer than ``min_docs`` texts can't hold a recurring
-template; that prunes the lines before their tokens are looked at.  What the
-line pass is joined with is broadcast only below a row count, else shuffled.
+functions run.  The corpus is parsed once, into a working table of lines.  A leaf with fewer
+than ``min_docs`` texts can't hold a recurring template; that prunes the lines before their
+tokens are looked at.  What the line pass is joined with is broadcast only if it takes
+few bytes, else shuffled.
+
+``min_docs`` is a number of texts, or below 1 a share of the distinct texts (but 2 at least): in
+a corpus that grows, a fixed number makes ever more short lines recurring by chance.
 
 Lines in fewer texts mostly belong to near copies, which a later stage drops whole
 and wouldn't know without them; ``drop_repeated_lines`` then finds those of
@@ -22,15 +26,19 @@ and wouldn't know without them; ``drop_repeated_lines`` then finds those of
 
 Defined cases: a null text stays null; lines without tokens are never dropped; a
 document all of whose lines go keeps an empty text; documents without id rank
-last as "smallest id"; repeated rows get equal results; all columns pass through.
+last as "smallest id"; repeated rows get equal results; an empty table gives an empty one; a
+text may have any number of lines, which are dropped in time linear in it; all columns pass
+through, whatever their names (working columns are underscored until they clash with none).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, free_name, hash128, materialise, small
+from ._common import WORD, free_name, hash128, materialise, release, scratch, small
 
 MIN_DOCS, DEPTH, LONG_WORDS = 10, 4, 8
 _GAP = r"[\x20\x09-\x0D]+"
@@ -53,9 +61,23 @@ def tree_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", depth:
     return lines.select("*", *_named(hash128(F.col("n"), lead), ["leaf0", "leaf1"]))
 
 
-def recurring_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
+def least_texts(df: DataFrame, min_docs: float, text: str = "text") -> int:
+    """``min_docs`` as a number of texts: itself, or below 1 that share of the distinct texts."""
+    if min_docs >= 1:
+        return int(min_docs)
+    return max(2, math.ceil(min_docs * df.filter(F.col(text).isNotNull()).select(*hash128(F.col(text))).distinct().count()))
+
+
+def recurring_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: float = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
     """For each text that loses lines: its key and the array of their numbers; materialised."""
-    lines, leaf, key, own = tree_lines(df, doc_id, text, depth), ["leaf0", "leaf1"], ["m0", "m1"], ["k0", "k1"]
+    with scratch(df.sparkSession) as stay:
+        stay.append(out := _recurring(df, doc_id, text, least_texts(df, min_docs, text), depth))
+    return out
+
+
+def _recurring(df: DataFrame, doc_id: str, text: str, min_docs: int, depth: int) -> DataFrame:
+    leaf, key, own = ["leaf0", "leaf1"], ["m0", "m1"], ["k0", "k1"]
+    lines = materialise(tree_lines(df, doc_id, text, depth))
     full = materialise(lines.select(*leaf, *_TEXT_KEY).distinct().groupBy(*leaf).agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_docs).select(*leaf))
     found = lines.join(small(full), leaf)
     plain = F.btrim(F.regexp_replace("line", _GAP, " "))
@@ -65,6 +87,7 @@ def recurring_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     # The forms of a leaf, in how many texts each stands, and where.
     stands = found.groupBy(*leaf, "form", "n", *_TEXT_KEY).agg(F.min("doc_id").alias("doc_id"), F.collect_set("line_no").alias("line_nos"))
     stands = materialise(stands.select("*", *_named(hash128("leaf0", "leaf1", "form"), key)))
+    release(lines)
     forms = materialise(stands.groupBy(*leaf, *key, "form", "n").agg(F.count("*").alias("texts")))
     # Tokens past the leading ones, and which of them are not variable.
     tokens = forms.filter(F.col("n") > depth).select(*leaf, *key, "texts", F.posexplode(F.split("form", " ")).alias("at", "token"))
@@ -88,6 +111,12 @@ def recurring_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
 
 def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 2, min_words: int = LONG_WORDS) -> DataFrame:
     """As ``recurring_lines`` for lines of ``min_words`` or more that stand word for word in ``min_docs`` texts."""
+    with scratch(df.sparkSession) as stay:
+        stay.append(out := _repeated(df, doc_id, text, min_docs, min_words))
+    return out
+
+
+def _repeated(df: DataFrame, doc_id: str, text: str, min_docs: int, min_words: int) -> DataFrame:
     own = ["k0", "k1"]
     lines = tree_lines(df, doc_id, text).filter(F.col("n") >= min_words)
     placed = materialise(lines.select(*_named(hash128(F.btrim(F.regexp_replace("line", _GAP, " "))), own), *_TEXT_KEY, "doc_id", "line_no"))
@@ -103,7 +132,7 @@ def drop_repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text
     return _without(df, repeated_lines(df, doc_id, text, min_docs, min_words), text)
 
 
-def drop_recurring_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, counts: bool = False) -> DataFrame:
+def drop_recurring_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: float = MIN_DOCS, depth: int = DEPTH, counts: bool = False) -> DataFrame:
     """``df`` with the recurring lines cut out of ``text``; with ``counts`` also ``n_lines`` and ``n_dropped``."""
     return _without(df, recurring_lines(df, doc_id, text, min_docs, depth), text, counts)
 
@@ -114,7 +143,9 @@ def _without(df: DataFrame, drops: DataFrame, text: str, counts: bool = False) -
     table = small(drops.select(*_named([F.col("t0"), F.col("t1"), F.col("line_nos")], names[2:])))
     rows = df.select("*", *_named(hash128(F.col(text)), names[:2]))
     rows = rows.join(table, (F.col(names[0]) == F.col(names[2])) & (F.col(names[1]) == F.col(names[3])) & F.col(text).isNotNull(), "left")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col(names[4]), i)), "\n")
+    # One array around the lines binds them: they are split once, and looked up by the numbers that stay.
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(names[4]))
+    left = F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))[0]
     out = [F.when(F.col(names[4]).isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in df.columns]
     if counts:
         out += [F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col(names[4]).isNotNull(), F.size(names[4])), F.lit(0)).cast("long").alias("n_dropped")]
