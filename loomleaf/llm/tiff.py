@@ -6,8 +6,10 @@ and undoes the horizontal and floating-point predictors.
 
 Defined cases: a null cell gives one row with ``error`` "null"; bytes that are
 no TIFF, or break off, give the pages read so far and then one row with
-``error``; no input makes a task fail.  Repeated rows give repeated pages, an
-empty table gives an empty one.
+``error``; no input makes a task fail, as sizes of odd field types and any other failure
+of decoding are error rows too.  A text or page may be as long as a cell of a table can
+hold.  Repeated rows give repeated pages, an empty table gives an empty one; columns kept
+may have any names (new ones are underscored until they clash with none).
 """
 
 from __future__ import annotations
@@ -35,6 +37,11 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
 CLEAR, END, FIRST_FREE, LAST_ENTRY = 256, 257, 258, 4094
 
+#: Tags whose values are whole numbers from 0, whatever type a file gives them.
+_COUNTS = {WIDTH, HEIGHT, BITS, COMPRESSION, FILL_ORDER, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES}
+#: What a cell of a table can hold.
+CELL_BYTES = (1 << 31) - 1
+
 #: Bits of the j-th code after a clear code, and where it starts.
 _LZW_BITS = np.array([9] * 254 + [10] * 512 + [11] * 1024 + [12] * 2049, dtype=np.int64)
 _LZW_AT = np.concatenate([[0], np.cumsum(_LZW_BITS)[:-1]])
@@ -298,6 +305,9 @@ def _undo(data: bytes, predictor: int, rows: int, columns: int, samples: int, bi
 
 
 def _page(data: bytes, order: str, tags: dict, most: int) -> Page:
+    for tag in _COUNTS & tags.keys():
+        if not all(isinstance(v, int) and v >= 0 for v in tags[tag]):
+            raise TiffError(f"tag {tag} doesn't hold whole numbers from 0")
     one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
     wide, high, kind = one(WIDTH), one(HEIGHT), one(COMPRESSION, NONE)
     if not wide or not high:
@@ -306,6 +316,8 @@ def _page(data: bytes, order: str, tags: dict, most: int) -> Page:
     bits, samples, predictor, planar = depths.pop(), one(SAMPLES, 1), one(PREDICTOR, 1), one(PLANAR, 1)
     if depths or bits not in (1, 2, 4, 8, 16, 32, 64) or not samples:
         raise TiffError("samples of mixed or unknown depth")
+    if max(wide, high, samples) > 0x7FFFFFFF:
+        raise TiffError("more than 2147483647 columns, rows or samples")
     if wide * high * samples * bits > 8 * most:
         raise TiffError(f"the page would take more than {most} bytes")
     if planar == 2 and bits < 8:
@@ -343,10 +355,20 @@ def _page(data: bytes, order: str, tags: dict, most: int) -> Page:
     return Page(wide, high, bits, samples, NAMES.get(kind, str(kind)), predictor, "tiles" if tiled else "strips", np.ascontiguousarray(out).tobytes())
 
 
-def read_pages(data: bytes, most: int = 1 << 30) -> Iterator[Page]:
-    """The pages in file order; raises :class:`TiffError` where the file can't be read on."""
-    for order, tags in _directories(data):
-        yield _page(data, order, tags, most)
+def read_pages(data: bytes, most: int = CELL_BYTES) -> Iterator[Page]:
+    """The pages in file order; raises :class:`TiffError` where the file can't be read on, whatever is wrong with it."""
+    directories = _directories(data)
+    while True:
+        try:
+            order, tags = next(directories)
+            page = _page(data, order, tags, most)
+        except StopIteration:
+            return
+        except TiffError:
+            raise
+        except (MemoryError, ValueError, TypeError, IndexError, KeyError, OverflowError, ArithmeticError, struct.error, zlib.error) as e:
+            raise TiffError(f"unreadable: {type(e).__name__}") from e
+        yield page
 
 
 def feature(pixels: bytes) -> str:
@@ -383,10 +405,11 @@ def store_texts(df: DataFrame, text: str = "text", keep: tuple = (), width: int
 PAGE_FIELDS = (("page", "int"), ("width", "int"), ("height", "int"), ("bits", "int"), ("samples", "int"), ("compression", "string"), ("predictor", "int"), ("layout", "string"), ("pixels", "binary"), ("feature", "string"), ("error", "string"))
 
 
-def tiff_pages(df: DataFrame, media: str = "media", keep: tuple = (), most: int = 1 << 30) -> DataFrame:
+def tiff_pages(df: DataFrame, media: str = "media", keep: tuple = (), most: int = CELL_BYTES) -> DataFrame:
     """One row per page of each file: the ``keep`` columns and those of PAGE_FIELDS (page counts from 0).
 
-    ``most`` bounds the bytes of a decoded page; a larger one is an error row.
+    ``most`` bounds the bytes of a decoded page; a larger one is an error row.  The default is
+    what a cell of a table can hold, so no page that could be a row is refused.
     """
     names = [free_name(keep, n) for n, _ in PAGE_FIELDS]
     inner = free_name(keep, "tiff_bytes")
