@@ -7,7 +7,10 @@ the same place the block.  No rule: the default verdict.
 
 Defined cases: a null url, or one without "://", has an empty host and path and
 gets the default; matching compares whole host labels, so a port or a trailing
-dot belongs to the last label and fits nothing without it.
+dot belongs to the last label and fits nothing without it; A-Z alone are lower-cased, in urls
+and rules alike; repeated rows get equal verdicts, a row each; an empty table gives an empty
+one; urls are read whole, whatever their length; columns kept may have any names (new ones are
+underscored until they clash with none).
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import types as T
 from ._common import bounded_batches, free_name, slices
 
 ALLOW, BLOCK = "allow", "block"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _URL = re.compile(r".*?://([^/?#]*)([^?#]*)", re.DOTALL)
 
 
@@ -104,22 +108,22 @@ def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]], url: str =
 def judge_urls_by_join(df: DataFrame, rules: DataFrame, url: str = "url", key: str = "page_id", default: str = ALLOW) -> DataFrame:
     """The same verdicts for a rule table (verdict, host, path) that is too large to broadcast.
 
-    Each url is expanded to its host suffixes; those are joined with the rules by
-    host, the path is compared, and the longest fit is kept per url.  Rows are
-    told apart by ``key`` and url together.
+    Each distinct url is expanded to its host suffixes; those are joined with the rules by
+    host, the path is compared, and the longest fit is kept per url.  A suffix that most urls
+    share is one key of a plain inner join, which adaptive execution splits.
     """
     u = F.coalesce(F.col("u"), F.lit(""))
     parts = df.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"))
     parts = parts.withColumns({
-        "h": F.translate(F.regexp_extract(u, r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
+        "h": F.translate(F.regexp_extract(u, r"(?s)^.*?://([^/?#]*)", 1), _UPPER, _UPPER.lower()),
         "p": F.regexp_extract(u, r"(?s)^.*?://[^/?#]*([^?#]*)", 1),
     })
     labels = F.split("h", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
-    listed = rules.select(F.lower("host").alias("rh"), F.col("path").alias("rp"), F.col("verdict").alias("rv"))
-    fit = parts.distinct().withColumn("suffix", F.explode(F.array_union(F.array(F.lit("")), suffixes)))
+    listed = rules.select(F.translate("host", _UPPER, _UPPER.lower()).alias("rh"), F.col("path").alias("rp"), F.col("verdict").alias("rv"))
+    fit = parts.select("u", "h", "p").distinct().withColumn("suffix", F.explode(F.array_union(F.array(F.lit("")), suffixes)))
     fit = fit.join(listed, F.col("suffix") == F.col("rh")).filter(F.col("p").startswith(F.col("rp")))
-    best = fit.groupBy("k", "u").agg(F.max(F.struct((F.length("rh") + F.length("rp")).alias("n"), F.when(F.col("rh") == "", 0).otherwise(F.size(F.split("rh", r"\."))).alias("labels"), F.concat("rh", "rp").alias("rule"), F.col("rv").alias("verdict"))).alias("best"))
-    best = best.select(F.col("k").alias("bk"), F.col("u").alias("bu"), "best")
-    joined = parts.join(best, F.col("k").eqNullSafe(F.col("bk")) & F.col("u").eqNullSafe(F.col("bu")), "left")
+    best = fit.groupBy("u").agg(F.max(F.struct((F.length("rh") + F.length("rp")).alias("n"), F.when(F.col("rh") == "", 0).otherwise(F.size(F.split("rh", r"\."))).alias("labels"), F.concat("rh", "rp").alias("rule"), F.col("rv").alias("verdict"))).alias("best"))
+    best = best.select(F.col("u").alias("bu"), "best")
+    joined = parts.join(best, F.col("u").eqNullSafe(F.col("bu")), "left")
     return joined.select(F.col("k").alias(key), F.col("h").alias("host"), F.col("p").alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
