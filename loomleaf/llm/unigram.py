@@ -21,7 +21,9 @@ A marker character in the text itself is spelled in bytes, so decoding what was
 encoded gives the text back exactly, whatever it holds.
 
 Defined cases: a null text gives null pieces, an empty text no pieces; repeated
-rows repeat; the result is whole however long the text is.
+rows repeat; the result is whole however long the text is; an empty table gives an empty one;
+columns kept may have any names (new ones are underscored until they clash with none).  A
+model file that asks for a normalisation of its own is refused.
 """
 
 from __future__ import annotations
@@ -288,12 +290,19 @@ class UnigramModel:
 
 
 def read_model(path: str) -> UnigramModel:
-    """A model file of the public format, read on the driver."""
+    """A model file of the public format, read on the driver.
+
+    Text is encoded as it is but for a space in front and markers for spaces; a model that
+    asks for another normalisation is refused, as its pieces would not be those it means.
+    """
     from sentencepiece import sentencepiece_model_pb2
 
     proto = sentencepiece_model_pb2.ModelProto()
     with open(path, "rb") as f:
         proto.ParseFromString(f.read())
+    rules = proto.normalizer_spec
+    if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix or not rules.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError(f"{path}: only models with a space in front, all spaces kept and no other normalisation are read")
     pieces, kinds = [p.piece for p in proto.pieces], [p.type for p in proto.pieces]
     scores = np.array([p.score for p in proto.pieces], dtype=np.float32)
     if proto.trainer_spec.model_type != UNIGRAM_KIND:
