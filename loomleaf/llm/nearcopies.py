@@ -10,12 +10,17 @@ probability 1 - (1 - s**ROWS)**BANDS: 0.9993 at 0.8.  Every candidate is verifie
 on the whole shingle sets, so no text goes that isn't similar enough to another.
 
 Large groups: texts with equal sets are one node from the start.  In a group of
-up to ``crowd`` nodes every pair is a candidate.  A larger one is searched in one
-task with its sets at hand: a node takes all unvisited nodes near it with it, so
-near copies of one text cost one pass.  No group is capped.
+up to ``crowd`` nodes every pair is a candidate.  In a larger one a few nodes, the pivots,
+are compared with all that they aren't connected with yet, and closed; then the components are
+formed again, and so on until every node outside of a group's largest component is
+closed.  Of any two similar nodes one is closed first, when the other was compared or
+already connected: no link is lost, near copies of one text cost one pass, and every pass is
+a join over tables.  No group is capped or gathered in a task.
 
 Defined cases: a null text counts as empty, and all texts without words are equal;
-fewer words than a shingle make one shingle of them all.
+fewer words than a shingle make one shingle of them all; of rows that repeat one stays; rows
+without id rank last; an empty table gives an empty one; texts are read whole; all columns
+pass through, whatever their names (working columns are underscored until they clash with none).
 """
 
 from __future__ import annotations
@@ -25,12 +30,12 @@ from itertools import islice, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from ._common import bounded_batches, free_name, materialise, slices, small
+from ._common import bounded_batches, free_name, materialise, release, scratch, slices, small
 from .graph import components
 
 WORDS, SIMILARITY, BANDS, ROWS, CROWD = 5, 0.8, 24, 6, 64
@@ -109,31 +114,38 @@ def _similar(similarity: float):
     return run
 
 
-def _searched(similarity: float):
-    """Arrow function over one group's rows (key, node, hashes): edges that join what is similar."""
-
-    def run(group):
-        nodes = group.column("node").to_pylist()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hashes")]
-        left, edges = list(range(len(nodes))), []
-        while left:
-            queue = [left.pop()]
-            while queue and left:
-                at, rest = queue.pop(), []
-                for other in left:
-                    if jaccard(sets[at], sets[other]) >= similarity:
-                        queue.append(other)
-                        edges.append((nodes[at], nodes[other]))
-                    else:
-                        rest.append(other)
-                left = rest
-        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
-
-    return run
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_similar(similarity), "a long, b long")
+
+
+def _within_large(edges: DataFrame, large: DataFrame, sets: DataFrame, similarity: float, first: int = 1, growth: int = 8) -> DataFrame:
+    """``edges`` and those that join what is similar within the groups of ``large`` (key, node, size); materialised."""
+    state, pivots_each = materialise(large.select("key", "node", "size", F.lit(False).alias("closed"))), first
+    while True:
+        roots = components(edges)
+        named = materialise(state.join(small(roots), "node", "left").select("key", "node", "size", "closed", F.coalesce("root", "node").alias("label")))
+        labels = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+        main = materialise(labels.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("main.label").alias("main")))
+        order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
+        left = named.join(small(main), "key").filter("not closed and label != main")
+        pivots = materialise(left.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= pivots_each).select("key", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"), F.col("size").alias("pivot_size")))
+        if pivots.isEmpty():
+            return edges
+        met = named.join(small(pivots), "key").filter(F.col("label") != F.col("pivot_label")).filter(F.least("size", "pivot_size") >= F.greatest("size", "pivot_size") * similarity)
+        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        # Components of what was found so far are stars, which say the same with fewer rows.
+        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        edges = materialise(stars.unionByName(_verified(pairs, sets, similarity)))
+        done = pivots.select("key", F.col("pivot").alias("node"), F.lit(True).alias("done"))
+        after = materialise(named.join(small(done), ["key", "node"], "left").select("key", "node", "size", (F.col("closed") | F.col("done").isNotNull()).alias("closed")))
+        release(state, roots, named, main, pivots)
+        state, pivots_each = after, min(pivots_each * growth, 4096)
 
 
 def similar_edges(nodes: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """Edges (a, b) between similar nodes; ``nodes`` has node, size, fp and bands, ``texts`` has node and text."""
+    """Edges (a, b) that connect what is similar; ``nodes`` has node, size, fp and bands, ``texts`` has node and text.  Materialised."""
     banded = nodes.select("node", "size", F.explode("bands").alias("key"))
     shared = materialise(banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"))
     met = materialise(banded.join(small(shared), "key"))
@@ -148,15 +160,15 @@ def similar_edges(nodes: DataFrame, texts: DataFrame, words: int = WORDS, simila
     same = nodes.join(prints, "fp").filter(F.col("node") != F.col("of")).select(F.col("of").alias("a"), F.col("node").alias("b"))
     rest = linked.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialise(pairs.union(rest).distinct())
-    large = materialise(met.filter(F.col("members") > crowd).select("key", "node"))
+    large = materialise(met.filter(F.col("members") > crowd).select("key", "node", "size"))
     wanted = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct())
     one = texts.join(small(wanted), "node").groupBy("node").agg(F.min("text").alias("text"))
     sets = materialise(_sets(one.select("node", "text"), words))
-    left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in ("a", "b"))
-    edges = pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_similar(similarity), "a long, b long")
-    if large.isEmpty():
-        return edges
-    return edges.union(large.join(sets, "node").groupBy("key").applyInArrow(_searched(similarity), "a long, b long"))
+    edges = materialise(_verified(pairs, sets, similarity))
+    release(shared, met, prints, pairs, wanted)
+    out = edges if large.isEmpty() else _within_large(edges, large, sets, similarity)
+    release(large, sets)
+    return out
 
 
 def drop_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
@@ -164,13 +176,17 @@ def drop_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     names: list[str] = []
     for n in ("set_of_row", "set_size", "print_of_row", "bands_of_row"):
         names.append(free_name([*df.columns, *names], n))
-    rows = materialise(_sketches(df, text, names, words))
-    as_node = F.col(names[0]).alias("node")
-    every = rows.select(as_node, F.col(names[1]).alias("size"), F.col(names[2]).alias("fp"), F.col(names[3]).alias("bands"))
-    nodes = materialise(every.groupBy("node").agg(F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
-    edges = similar_edges(nodes, rows.select(as_node, F.col(text).cast("string").alias("text")), words, similarity, crowd)
-    roots = components(materialise(edges))
-    of = rows.select(F.col(doc_id).alias("doc_id"), F.col(names[0]).alias("fp"))
-    root = roots.select(F.col("node").alias("fp"), "root")
-    found = materialise(of.join(small(root), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("node")))
-    return simhash.one_each(rows, found, df.columns, doc_id, names[0])
+    with scratch(df.sparkSession) as stay:
+        rows = materialise(_sketches(df, text, names, words))
+        as_node = F.col(names[0]).alias("node")
+        every = rows.select(as_node, F.col(names[1]).alias("size"), F.col(names[2]).alias("fp"), F.col(names[3]).alias("bands"))
+        nodes = materialise(every.groupBy("node").agg(F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
+        edges = similar_edges(nodes, rows.select(as_node, F.col(text).cast("string").alias("text")), words, similarity, crowd)
+        release(nodes)
+        roots = components(edges)
+        of = rows.select(F.col(doc_id).alias("doc_id"), F.col(names[0]).alias("fp"))
+        root = roots.select(F.col("node").alias("fp"), "root")
+        found = materialise(of.join(small(root), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("node")))
+        out, drops = simhash.one_each(rows, found, df.columns, doc_id, names[0])
+        stay += [rows, drops]
+    return out

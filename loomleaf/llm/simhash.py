@@ -19,7 +19,9 @@ data.  No group is capped.
 Defined cases: a null text counts as empty; a text without words has fingerprint
 zero and links like any other; fewer words than a shingle make one shingle of
 them all.  Rows with a null ``doc_id`` take part, and never name a component
-unless all of its ids are null.  Repeated rows share fingerprint and component.
+unless all of its ids are null.  Repeated rows share fingerprint and component; an empty
+table gives an empty one; texts are hashed whole, whatever their length; columns passed
+through may have any names (working columns are underscored until they clash with none).
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded_batches, free_name, materialise, slices, small
+from ._common import bounded_batches, free_name, materialise, release, scratch, slices, small
 from .graph import components
 
 SEED, SHINGLE_WORDS, DISTANCE, CROWD = 42, 3, 3, 8192
@@ -171,11 +173,12 @@ def links(prints: DataFrame, fp: str = "fp", distance: int = DISTANCE, crowd: in
     """
     if not 0 <= distance <= 3:
         raise ValueError("two halves find up to three differing bits")
-    nodes = prints.select(F.col(fp).alias("fp"))
+    # Every row becomes 64 index rows: dealt evenly first, as few files make few tasks.
+    nodes = prints.select(F.col(fp).alias("fp")).repartition("fp")
     mask = F.lit(0xFFFFFFFF)
     half = [F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(mask)]
     index = nodes.select("fp", F.explode(F.array(*_variants(half[0], 32, 0), *_variants(half[1], 32, 1))).alias("v")).select("v.*", "fp")
-    values = nodes.select(F.explode(F.array(F.struct(F.lit(0).alias("h"), half[0].alias("value")), F.struct(F.lit(1).alias("h"), half[1].alias("value")))).alias("s"))
+    values = prints.select(F.col(fp).alias("fp")).select(F.explode(F.array(F.struct(F.lit(0).alias("h"), half[0].alias("value")), F.struct(F.lit(1).alias("h"), half[1].alias("value")))).alias("s"))
     crowded = materialise(values.groupBy("s.h", "s.value").count().filter(F.col("count") > crowd).select("h", "value"))
     plain = index
     finer = None
@@ -206,12 +209,15 @@ def near_components(prints_of: DataFrame, distance: int = DISTANCE, crowd: int =
     ``prints_of`` is a materialised table with ``doc_id`` and ``fp``.
     """
     docs = prints_of.select("doc_id", "fp")
-    prints = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
-    roots = components(links(prints, distance=distance, crowd=crowd))
-    of = prints.join(small(roots.select(F.col("node").alias("fp"), "root")), "fp", "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("node"))
-    of = materialise(of)
-    least = materialise(of.groupBy("node").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("members")).filter("members > 1"))
-    grouped = materialise(of.join(small(least), "node").select("fp", "node", "component_id"))
+    with scratch(prints_of.sparkSession) as stay:
+        prints = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
+        roots = components(links(prints, distance=distance, crowd=crowd))
+        of = prints.join(small(roots.select(F.col("node").alias("fp"), "root")), "fp", "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("node"))
+        of = materialise(of)
+        release(prints, roots)
+        least = materialise(of.groupBy("node").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("members")).filter("members > 1"))
+        grouped = materialise(of.join(small(least), "node").select("fp", "node", "component_id"))
+        stay.append(grouped)
     joined = docs.join(small(grouped), "fp", "left")
     return joined.select("doc_id", "fp", F.coalesce("node", "fp").alias("node"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -229,13 +235,16 @@ def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", distan
     and only shuffled where ids repeat.
     """
     fp = free_name(df.columns, "print_of_row")
-    rows = materialise(fingerprints(df, text, tuple(df.columns), fp))
-    found = materialise(near_components(rows.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp")), distance, crowd))
-    return one_each(rows, found, df.columns, doc_id, fp)
+    with scratch(df.sparkSession) as stay:
+        rows = materialise(fingerprints(df, text, tuple(df.columns), fp))
+        found = materialise(near_components(rows.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp")), distance, crowd))
+        out, drops = one_each(rows, found, df.columns, doc_id, fp)
+        stay += [rows, drops]
+    return out
 
 
-def one_each(rows: DataFrame, found: DataFrame, columns: list[str], doc_id: str, fp: str) -> DataFrame:
-    """``columns`` of one row per ``node``; ``found`` has ``doc_id``, ``fp`` and ``node`` of every row."""
+def one_each(rows: DataFrame, found: DataFrame, columns: list[str], doc_id: str, fp: str) -> tuple[DataFrame, DataFrame]:
+    """``columns`` of one row per ``node``, and a working table it reads; ``found`` has ``doc_id``, ``fp`` and ``node`` of every row."""
     keeper = found.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k"), F.count("*").alias("n"))
     keeper = materialise(keeper.filter("n > 1").select("node", F.col("k.doc_id").alias("kept_id"), F.col("k.fp").alias("kept_fp")))
     mine = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp"))
@@ -246,4 +255,4 @@ def one_each(rows: DataFrame, found: DataFrame, columns: list[str], doc_id: str,
     once = both.filter(F.col(stays).isNull())
     if not drops.filter(F.col(stays)).isEmpty():
         once = once.union(both.filter(F.col(stays)).dropDuplicates([doc_id, fp]))
-    return once.select(*columns)
+    return once.select(*columns), drops
