@@ -78,12 +78,42 @@ def test_cover_tree_covers():
     x = np.random.default_rng(4).integers(-50, 50, (500, 8))
     x[100:200] = x[7]
     tree = covertree.CoverTree(x, leaf=8)
-    assert sorted(covertree._below(tree, 0)) == list(range(500))
+    assert sorted(tree.below(0)) == list(range(500))
     for n, c in enumerate(tree.centre):
-        far = np.sqrt(((tree.x[covertree._below(tree, n)] - tree.x[c]) ** 2).sum(axis=1))
+        far = np.sqrt(((tree.x[tree.below(n)] - tree.x[c]) ** 2).sum(axis=1))
         assert far.max() <= tree.radius[n] + 1e-9
 
 
+def test_cover_tree_prunes_clusters():
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(100, 32)))
+    data = np.floor(256 * unit(centres[rng.integers(0, 100, 4000)] + 0.03 * rng.normal(size=(4000, 32)))).astype(np.int64)
+    ids = np.arange(4000, dtype=np.int64)
+    best = covertree.search(ids[::50], data[::50], ids, data, 5, tree_rows=1024)
+    scores = data[::50] @ data.T
+    scores[np.arange(80), ids[::50]] = -(1 << 40)
+    for row in range(80):
+        want = sorted(zip((-scores[row]).tolist(), range(4000), strict=True))[:5]
+        assert [(-int(s), int(i)) for s, i in zip(best.score[row], best.id[row], strict=True)] == want
+    assert best.scored.sum() < 0.35 * 80 * 4000
+    floor = -np.sort(-scores, axis=1)[:, 4].astype(float)  # a known k-th score prunes more and loses nothing
+    armed = covertree.search(ids[::50], data[::50], ids, data, 5, tree_rows=1024, floor=floor)
+    assert (armed.score == best.score).all() and (armed.id == best.id).all() and armed.scored.sum() < best.scored.sum()
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        dim = int(rng.integers(1, 6))
+        queries, points = (rng.normal(size=(20, dim)) * rng.lognormal(size=(20, 1)) + rng.normal(size=dim) * rng.choice([0, 1, 10]) for _ in range(2))
+        qt, dt = (covertree.CoverTree(x, leaf=100) for x in (queries, points))
+        dots = np.array([qt.x[0] @ dt.x[0]])
+        far = covertree._angles(dots, qt.norm[0] * dt.norm[:1])
+        bound = covertree.bounds(dots, qt.most[0], far, qt.radius[0], dt.norm[:1], dt.radius[0], dt.angle[0], qt.angle[0], dt.most[0])
+        assert (queries @ points.T).max() <= bound[0] + 1e-6
+
+
 @pytest.mark.parametrize("scale", [3, 200, 1 << 40])
 def test_cover_tree_search_is_exact(scale):
     rng = np.random.default_rng(scale % 97)
@@ -167,3 +197,23 @@ def test_main_text():
     for nothing in (None, "", "<html></html>", "<script>x", "<nav>menu only</nav>", "<div", "<!-- open"):
         assert mainregion.main_text(nothing, weights) == ""
     assert mainregion.main_text("<p>" * 20000 + "x", weights) == "x"
+    deep = "<div>" * 100_000 + "deep words here " * 100_000 + "</div>" * 100_000
+    assert len(mainregion.main_text(deep, weights).split()) == 300_000
+
+
+def test_nothing_else_is_dropped():
+    weights, read = mainregion.RegionWeights(), lambda inner: mainregion.main_text(f"<article><p>one two three four</p>{inner}<p>last</p></article>", mainregion.RegionWeights()).split("\n")
+    for inner, text in (("<h2 id='related-work'>Related work</h2>", "Related work"), ("<section id='discussion'><p>We discuss.</p></section>", "We discuss."), ("<svg-icon></svg-icon><p>After.</p>", "After."), ("<svg class='i'/><p>After.</p>", "After."), ("<p><math><mi>x</mi></math> is</p>", "x is"), ("<ul><li><a href=x>link</a></li></ul>", "link")):
+        assert read(inner) == ["one two three four", text, "last"], inner
+    for inner in ("<div class='ad'><p>buy " + "now " * 300 + "</p></div>", "<svg><text>drawn</text></svg>", "<aside>side</aside>", "<form>name <input></form>", "<div id='site-footer'>foot</div>", "<script>a < b</script>"):
+        assert read(inner) == ["one two three four", "last"], inner
+    assert mainregion.main_text("<p>outside</p><article><p>in</p></article><p>after the end</p>", weights) == "in"
+
+
+def test_region_against_all_regions():
+    rng = random.Random(11)
+    for _ in range(300):
+        scores = [rng.choice([-3.0, -1.1, -0.1, 0.0, 1.0, 2.0]) for _ in range(rng.randint(0, 14))]
+        a, b = mainregion.best_region(scores)
+        most = max([0.0, *(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))])
+        assert sum(scores[a:b]) == pytest.approx(most) and ((a, b) == (0, 0)) == (most <= 0)
