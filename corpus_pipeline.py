@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept.
 All but the last return the columns of ``documents``; the last one the pieces of
 every mixed document.
+
+Defined cases: a null or empty text, or one without a letter, goes in the first stage; of
+rows that repeat, one stays after near-dedup (the smallest id of a group; rows without id
+last); texts are worked on whole, whatever their length; a null source is a source of its
+own; an empty table gives an empty one; further columns pass through to the last stage,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomleaf.llm import langid, linetree, mixing, nearcopies, unigram
-from loomleaf.llm._common import free_name, materialise
+from loomleaf.llm._common import free_name, materialise, release, scratch
 from loomleaf.llm.queries import piece_model
 
 
@@ -37,7 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Long lines that two of the documents left still share then stay in the first only.
     """
-    kept = materialise(nearcopies.drop_near_copies(docs))
+    with scratch(spark) as stay:
+        stay.append(kept := materialise(nearcopies.drop_near_copies(docs)))
     return _counted(linetree.drop_repeated_lines(kept), docs)
 
 
@@ -61,6 +68,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents of ``sf_dir``, each one's result written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *before, last = STAGES
+    done = None
     for _, stage in before:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with scratch(spark) as stay:
+            stay.append(docs := materialise(stage(spark, docs, sf_dir)))
+        if done is not None:
+            release(done)
+        done = docs
     return last[1](spark, docs, sf_dir)
