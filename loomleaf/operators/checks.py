@@ -1,244 +1,88 @@
-"""Checks of word-processor packages as relations over entries and XML nodes.
+"""Checks of packages as tables: findings, warnings, counts and numbering kinds.
 
-``findings`` holds doc, code, part, message and the place (stage, part_ord, node,
-seq) that orders them; ``warnings`` likewise.  The main steps: relationships joined
-to entries, part roles, the rules, and counts.
+All rules are local to a package, so each one is examined where it is (:mod:`examine`) and only
+records leave the task; nothing is joined or shuffled to find a fault.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocab as V
-from ..sources.packages import package_parts
-from ..sources.xmlnodes import xml_nodes
-from ..workspace import shared_dir
-from .ordered import cap_per_code, omitted_per_code, rank_table
+from ..workspace import bounded_batches, written
+from .examine import NUMBERINGS, examine
+from .ordered import cap_per_code, omitted_per_code
 
 _PLACE = ["stage", "part_ord", "node", "seq"]
-_OUT = ["doc", "code", "part", "message", *_PLACE]
+_RECORDS = "doc string, kind string, code string, part string, message string, names array<string>, short boolean, stage int, part_ord int, node int, seq int, n long"
+_KINDS = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+_NAMES = tuple(f.split()[0] for f in _RECORDS.split(", "))
 
 
 def w_attr(name: str, column: str = "attrs") -> Column:
     return F.element_at(F.col(column), f"{{{V.W}}}{name}")
 
 
-def is_on(value: Column) -> Column:
-    return F.coalesce(value, F.lit("")).isin("0", "false", "off") == F.lit(False)
-
-
-def _row(df: DataFrame, code: str, message, stage: int, seq: int = 0, part="part", node="node", part_ord="part_ord") -> DataFrame:
-    text = F.lit(message) if isinstance(message, str) else message
-    return df.select("doc", F.lit(code).alias("code"), X.quoted(part).alias("part"), text.alias("message"), F.lit(stage).alias("stage"), (F.col(part_ord) if isinstance(part_ord, str) else part_ord).cast("int").alias("part_ord"), (F.col(node) if isinstance(node, str) else node).cast("int").alias("node"), F.lit(seq).alias("seq"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder: many rules read it, and their plans stay small."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 @dataclass
 class Checked:
-    """The tables of a check."""
+    """The tables of a check; ``records`` is what they are read from."""
 
-    parts: DataFrame
-    nodes: DataFrame
+    records: DataFrame
+    docs: DataFrame
     roles: DataFrame
     findings: DataFrame
     warnings: DataFrame
     counts: DataFrame
     numbering: DataFrame
+    fonts: DataFrame
 
 
-def relationships(nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """doc, source, ord, kind, name: what each part refers to that the package holds (names compared without ASCII case)."""
-    rel = nodes.filter((F.col("local") == "Relationship") & (F.col("depth") == 1) & F.lower("part").endswith(".rels"))
-    kind = F.coalesce(*(F.when(F.startswith(F.element_at("attrs", "Type"), F.lit(p)), F.substring(F.element_at("attrs", "Type"), F.lit(len(p) + 1), F.lit(1000))) for p in V.RELATION_PREFIXES))
-    source = F.regexp_replace(F.regexp_replace("part", "(?i)^(.*?)_rels/([^/]*)\\.rels$", "$1$2"), "^/", "")
-    rel = rel.filter(F.coalesce(F.element_at("attrs", "TargetMode"), F.lit("")) != "External").select("doc", X.ascii_lower(source).alias("source"), F.col("sib").alias("ord"), kind.alias("kind"), X.resolve_path(source, F.coalesce(F.element_at("attrs", "Target"), F.lit(""))).alias("target")).filter("kind is not null")
-    held = parts.groupBy("doc", X.ascii_lower("name").alias("low")).agg(F.min(F.struct("ord", "name")).alias("e"))
-    return rel.join(held, (rel["doc"] == held["doc"]) & (X.ascii_lower("target") == held["low"])).select(rel["doc"], "source", rel["ord"], "kind", F.col("e.name").alias("name"), F.col("e.ord").alias("name_ord"))
-
-
-def part_roles(rels: DataFrame, parts: DataFrame) -> DataFrame:
-    """doc, role, name, name_ord: document, styles, numbering, settings, footnotes once each; text for every text part."""
-    main = rels.filter("source = '' and kind = 'officeDocument'").groupBy("doc").agg(F.min(F.struct("ord", "name", "name_ord")).alias("m")).select("doc", "m.name", "m.name_ord")
-    usual = parts.filter("name = 'word/document.xml'").select("doc", "name", F.col("ord").alias("name_ord")).join(main, "doc", "left_anti")
-    document = main.unionByName(usual)
-    own = rels.join(document.select("doc", X.ascii_lower("name").alias("source")), ["doc", "source"])
-    singles = ["styles", "numbering", "settings", "footnotes"]
-    named = own.filter(F.col("kind").isin(*singles)).groupBy("doc", F.col("kind").alias("role")).agg(F.min(F.struct("ord", "name", "name_ord")).alias("m")).select("doc", "role", "m.name", "m.name_ord")
-    plain = parts.select("doc", F.regexp_extract("name", "^word/(styles|numbering|settings|footnotes)\\.xml$", 1).alias("role"), "name", F.col("ord").alias("name_ord")).filter("role <> ''").join(document.select("doc"), "doc", "left_semi")
-    plain = plain.join(named, ["doc", "role"], "left_anti")
-    texts = own.filter(F.col("kind").isin("header", "footer", "footnotes", "endnotes", "comments")).select("doc", "name", "name_ord")
-    usual_texts = parts.filter(F.col("name").rlike(r"^word/(document|comments|footnotes|endnotes|header[0-9]*|footer[0-9]*)\.xml$")).select("doc", "name", F.col("ord").alias("name_ord")).join(document.select("doc"), "doc", "left_semi")
-    text = document.union(texts).union(usual_texts).distinct()
-    return reduce(DataFrame.unionByName, [document.withColumn("role", F.lit("document")), named, plain, text.withColumn("role", F.lit("text"))]).select("doc", "role", "name", "name_ord")
-
-
-def _of_role(nodes: DataFrame, roles: DataFrame, role: str) -> DataFrame:
-    names = roles.filter(F.col("role") == role).select("doc", F.col("name").alias("part"))
-    return nodes.join(names, ["doc", "part"], "left_semi")
-
-
-def _children(nodes: DataFrame, parents: DataFrame, keep: dict) -> DataFrame:
-    """Children of ``parents`` (doc, part, node) with columns of the parent."""
-    above = parents.select("doc", "part", F.col("node").alias("parent"), *(c.alias(n) for n, c in keep.items()))
-    return nodes.join(above, ["doc", "part", "parent"])
+def package_records(packages: DataFrame) -> DataFrame:
+    """The records of each package (doc, content), and one of kind "doc" for the package itself."""
+    bounded_batches(packages.sparkSession)
 
+    def run(batches):
+        for batch in batches:
+            for doc, content in zip(batch.column(0), batch.column(1), strict=True):
+                doc, found = doc.as_py(), examine(content.as_py())
+                rows = [(doc, "doc", "", None, None, (), False, 0, 0, 0, 0, None)]
+                rows += [(doc, r.kind, r.code, r.part, r.message, r.names, r.short, r.stage, r.part_ord, r.node, r.seq, r.n) for r in found]
+                for at in range(0, len(rows), 10_000):
+                    columns = zip(*rows[at : at + 10_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=list(_NAMES))
 
-def _wrong_order(nodes: DataFrame, elements: DataFrame, ranks: DataFrame, stage: int, seq: int) -> DataFrame:
-    """Findings for elements (doc, part, part_ord, node, list, what) with a child before one that it must follow."""
-    known = _children(nodes, elements, {"list": F.col("list"), "what": F.col("what")}).join(F.broadcast(ranks.withColumnRenamed("name", "local")), ["list", "local"])
-    w = Window.partitionBy("doc", "part", "parent", "what").orderBy("sib")
-    known = known.withColumn("br", F.lag("rank").over(w)).withColumn("bn", F.lag("local").over(w)).filter("rank < br")
-    first = known.groupBy("doc", "part", "part_ord", "parent", "what").agg(F.min(F.struct("sib", "local", "bn")).alias("v"))
-    message = F.concat(F.lit("in "), F.col("what"), F.lit(", <w:"), F.col("v.local"), F.lit("> must come before <w:"), F.col("v.bn"), F.lit(">"))
-    return _row(first, "order", message, stage, seq, node="parent")
+    return packages.select(F.col("doc").cast("string").alias("doc"), "content").mapInArrow(run, _RECORDS)
 
 
-def _twins(nodes: DataFrame, props: DataFrame, stage: int, seq: int) -> tuple[DataFrame, DataFrame]:
-    """Findings and font warnings for run properties (doc, part, part_ord, node, what, thai)."""
-    kids = _children(nodes.filter(F.col("ns") == V.W), props, {"what": F.col("what"), "thai": F.col("thai")})
-    has = lambda name: F.max(F.col("local") == name).alias(f"has_{name}")
-    fonts = F.first(F.when(F.col("local") == "rFonts", F.col("attrs")), True).alias("fonts")
-    flat = kids.groupBy("doc", "part", "part_ord", F.col("parent").alias("node"), "what", "thai").agg(fonts, *(has(n) for n in ("sz", "szCs", "b", "bCs", "i", "iCs")))
-    font = lambda a: F.nullif(w_attr(a, "fonts"), F.lit(""))
-    latin, cs = F.coalesce(font("ascii"), font("hAnsi"), font("asciiTheme"), font("hAnsiTheme")), F.coalesce(font("cs"), font("cstheme"))
-    bare = flat.filter(latin.isNotNull() & cs.isNull())
-    out = [_row(bare, "5", F.concat(F.lit("in "), F.col("what"), F.lit(", w:rFonts names a Latin font but no w:cs font")), stage, seq)]
-    for i, (one, twin) in enumerate((("sz", "szCs"), ("b", "bCs"), ("i", "iCs"))):
-        lacking = flat.filter(F.col(f"has_{one}") & ~F.col(f"has_{twin}"))
-        out.append(_row(lacking, "5", F.concat(F.lit("in "), F.col("what"), F.lit(f", <w:{one}> has no <w:{twin}> beside it")), stage, seq + 1 + i))
-    known = F.lower(F.btrim(cs)).isin(*V.THAI_FONTS)
-    odd = flat.filter(F.col("thai") & cs.isNotNull() & font("cstheme").isNull() & ~known & ~(latin.isNotNull() & cs.isNull()))
-    warn = _row(odd, "font", F.concat(F.lit("in "), F.col("what"), F.lit(", complex-script font '"), X.quoted(cs, V.FONT_MAX), F.lit("' is not known to carry Thai glyphs")), stage, seq)
-    return reduce(DataFrame.unionByName, out), warn
+def _told(records: DataFrame, kind: str) -> DataFrame:
+    """Findings or warnings with names from files as they may be shown."""
+    shown = F.transform("names", lambda n: F.coalesce(F.when(F.col("short"), X.quoted(n, V.FONT_MAX)).otherwise(X.quoted(n)), F.lit("no w:val")))
+    message = F.replace("message", F.lit("\0"), F.array_join(shown, ", "))
+    return records.filter(F.col("kind") == kind).select("doc", "code", X.quoted("part").alias("part"), message.alias("message"), *_PLACE)
 
 
-def check_packages(packages: DataFrame) -> Checked:
-    """The whole check of packages (doc, content)."""
-    spark = packages.sparkSession
-    every = cut(package_parts(packages))
-    refused = every.filter("code is not null")
-    parts = every.filter("code is null")
-    markup = parts.filter(F.lower("name").endswith(".xml") | F.lower("name").endswith(".rels"))
-    nodes_all = cut(xml_nodes(markup))
-    nodes = nodes_all.filter("fault is null")
-    ranks = rank_table(spark)
-    rels = relationships(nodes, parts)
-    roles = cut(part_roles(rels, parts))
-    nothing = F.lit(0)
-    found = [refused.select("doc", "code", X.quoted("part").alias("part"), "message", *(F.lit(0).alias(c) for c in _PLACE))]
-    found.append(_row(nodes_all.filter("fault is not null"), "package", F.col("fault"), 1, node=nothing))
-    docs = parts.select("doc").distinct()
-    document = roles.filter("role = 'document'")
-    found.append(_row(docs.join(document, "doc", "left_anti").withColumn("part", F.lit("")), "package", "no main document (word/document.xml, or the part _rels/.rels names); not a WordprocessingML package", 2, node=nothing, part_ord=nothing))
-    tops = _of_role(nodes, roles, "document").filter("depth = 0")
-    foreign = tops.filter((F.col("ns") != V.W) | (F.col("local") != "document"))
-    strict = F.col("ns") == V.STRICT_W
-    found.append(_row(foreign, "package", F.when(strict, "Strict Open XML (ISO/IEC 29500 Strict) is not read: every element would be missed; save it from Word as Word Document (.docx)").otherwise("the main document is not a WordprocessingML document"), 3))
-    readable = tops.join(foreign, ["doc", "part"], "left_anti").select("doc").distinct()
-    word = cut(nodes.filter(F.col("ns") == V.W).join(readable, "doc", "left_semi"))
-    roles = cut(roles.join(readable, "doc", "left_semi"))
+def check_packages(packages: DataFrame, keep: bool = True) -> Checked:
+    """The whole check of packages (doc, content).
 
-    # What a run holds.
-    text_nodes = _of_role(word, roles, "text")
-    runs = word.filter("local = 'r'")
-    pieces = word.filter(F.col("local").isin("t", "delText")).select("doc", "part", F.col("parent").alias("run_node"), "text", F.col("node").alias("t_node"))
-    texts = pieces.groupBy("doc", "part", "run_node").agg(F.max(X.has_complex("text")).alias("complex"), F.max(X.has_thai("text")).alias("thai"), F.lit(True).alias("has_text"))
-    props = word.filter("local = 'rPr'").select("doc", "part", F.col("parent").alias("run_node"), F.col("node").alias("rpr"), "shape")
-    of_run = runs.select("doc", "part", "part_ord", F.col("node").alias("run_node"), F.col("parent").alias("run_parent"), "sib").join(texts, ["doc", "part", "run_node"], "left").join(props, ["doc", "part", "run_node"], "left")
-    flags = word.filter(F.col("local").isin("cs", "rtl", "noProof", "lang")).select("doc", "part", F.col("parent").alias("rpr"), "local", "attrs", "node")
-    switched = flags.groupBy("doc", "part", "rpr").agg(
-        F.max((F.col("local") == "cs") & is_on(w_attr("val"))).alias("cs"), F.max((F.col("local") == "rtl") & is_on(w_attr("val"))).alias("rtl"),
-        F.max(F.when(F.col("local") == "lang", w_attr("bidi"))).alias("bidi"),
-    )
-    of_run = of_run.join(switched, ["doc", "part", "rpr"], "left").fillna({"has_text": False, "complex": False, "thai": False, "cs": False, "rtl": False})
-    of_run = cut(of_run)
-    own = cut(_runs_of_text(of_run, roles))
-
-    # 3: proofing switched off, but on runs of code.
-    code = of_run.filter("rpr is not null and not complex").select("doc", "part", "rpr")
-    named = roles.filter(F.col("role").isin("text", "styles", "numbering", "settings")).select("doc", F.col("name").alias("part"))
-    proof = word.filter("local = 'noProof'").filter(is_on(w_attr("val"))).withColumn("rpr", F.col("parent")).join(code, ["doc", "part", "rpr"], "left_anti")
-    proof = proof.join(named.distinct().withColumn("named", F.lit(True)), ["doc", "part"], "left").filter(F.col("named") | F.startswith("part", F.lit("word/")))
-    found.append(_row(proof.groupBy("doc", "part", "part_ord").agg(F.min("node").alias("node")), "3", "<w:noProof/> switches Thai proofing — and Thai line breaking — off", 4))
-
-    # 1: one compatibility mode, 15.
-    settings = _of_role(word, roles, "settings")
-    modes = settings.filter((F.col("local") == "compatSetting") & (w_attr("name") == "compatibilityMode") & (w_attr("uri") == V.COMPAT_URI))
-    listed = modes.groupBy("doc", "part").agg(F.array_sort(F.collect_list(F.struct("node", w_attr("val").alias("v")))).alias("ms"))
-    tops_s = settings.filter("depth = 0").select("doc", "part", "part_ord", "node").join(listed, ["doc", "part"], "left")
-    shown = F.array_join(F.transform("ms", lambda m: F.coalesce(X.quoted(m["v"]), F.lit("no w:val"))), ", ")
-    right = (F.size("ms") == 1) & (F.col("ms")[0]["v"] == "15")
-    bad = tops_s.filter(~F.coalesce(right, F.lit(False)))
-    found.append(_row(bad, "1", F.concat(F.lit("compatibilityMode declared as "), F.coalesce(F.nullif(shown, F.lit("")), F.lit("nothing")), F.lit("; must be exactly one 15")), 5, 1))
-    lists = lambda df, name, what: df.select("doc", "part", "part_ord", "node", F.lit(name).alias("list"), F.lit(what).alias("what"))
-    found.append(_wrong_order(word, lists(settings.filter("depth = 0"), "settings", "w:settings"), ranks, 5, 0))
-    unset = roles.filter("role = 'document'").join(settings.filter("depth = 0").select("doc"), "doc", "left_anti").withColumn("part", F.lit("word/settings.xml"))
-    found.append(_row(unset, "1", "no settings part; compatibilityMode is not declared", 5, node=nothing, part_ord=nothing))
-
-    # Relationship ids that a text part's own relationships don't hold: the first of a document ends its check.
-    refs = _of_role(nodes.join(readable, "doc", "left_semi"), roles, "text").select("doc", "part", "part_ord", "node", F.explode("attrs").alias("k", "v")).filter(F.col("k").isin(*(f"{{{V.R}}}{x}" for x in ("id", "embed", "link"))))
-    ids = nodes.filter("local = 'Relationship'").select("doc", F.regexp_replace("part", "(?i)^(.*?)_rels/([^/]*)\\.rels$", "$1$2").alias("part"), F.element_at("attrs", "Id").alias("v"))
-    broken = cut(refs.join(ids, ["doc", "part", "v"], "left_anti").groupBy("doc").agg(F.min(F.struct("part_ord", "node", "part", "v")).alias("m")).select("doc", "m.*"))
-    found.append(_row(broken, "package", F.concat(F.lit("refers to relationship "), X.quoted("v"), F.lit(", which its own relationships do not hold")), 6))
-    on = lambda df: df.join(broken.select("doc"), "doc", "left_anti")
-
-    # 2, 4, invisible characters, over the runs of text parts.
-    held = own.filter("has_text")
-    found.append(on(_row(held.filter("complex and not cs and not rtl"), "2", "a run whose text is complex script has no <w:cs/> element", 7, 1, node="run_node")))
-    unseen = pieces.join(own.select("doc", "part", "part_ord", "run_node"), ["doc", "part", "run_node"]).withColumn("label", X.unseen_in("text")).filter("label is not null")
-    found.append(on(_row(unseen, "invisible", F.concat(F.lit("text contains "), F.col("label")), 7, 2, node="t_node")))
-    w = Window.partitionBy("doc", "part", "run_parent").orderBy("sib")
-    beside = own.withColumn("ls", F.lag("sib").over(w)).withColumn("lt", F.lag("has_text").over(w)).withColumn("lsh", F.lag("shape").over(w))
-    split = beside.filter((F.col("ls") == F.col("sib") - 1) & F.col("has_text") & F.col("lt") & F.col("shape").eqNullSafe(F.col("lsh")))
-    found.append(on(_row(split, "4", "two adjacent runs carry identical formatting; a word may be split across them", 7, 3, node="run_node")))
-
-    # Order and twins of properties.
-    run_props = own.filter("rpr is not null").select("doc", "part", "part_ord", F.col("rpr").alias("node"), F.lit("a run").alias("what"), "thai")
-    ppr = _children(word, text_nodes.filter("local = 'p'"), {}).filter("local = 'pPr'")
-    marks = _children(word, ppr, {}).filter("local = 'rPr'")
-    mark_props = marks.select("doc", "part", "part_ord", "node", F.lit("a paragraph mark").alias("what"), F.lit(False).alias("thai"))
-    styles, numbering = _of_role(word, roles, "styles"), _of_role(word, roles, "numbering")
-    style_props = styles.filter("local = 'rPr'").select("doc", "part", "part_ord", "node", F.lit("a style").alias("what"), F.lit(True).alias("thai"), "in_history")
-    levels = numbering.filter("local = 'lvl'")
-    level_kids = _children(word, levels, {})
-    level_props = level_kids.filter("local = 'rPr'").select("doc", "part", "part_ord", "node", F.lit("a numbering level").alias("what"), F.lit(False).alias("thai"))
-    warned = []
-    for stage, seq, props_of, name in ((7, 10, run_props, "a run's w:rPr"), (7, 30, mark_props, "a paragraph mark's w:rPr"), (8, 10, style_props, "a style's w:rPr"), (9, 10, level_props, "a numbering level's w:rPr")):
-        found.append(on(_wrong_order(word, lists(props_of, "rPr", name), ranks, stage, seq)))
-        current = props_of.filter("not in_history").drop("in_history") if "in_history" in props_of.columns else props_of
-        missing, odd = _twins(word, current, stage, seq + 1)
-        found.append(on(missing))
-        warned.append(on(odd))
-    for stage, seq, elements, name, what in (
-        (7, 25, ppr, "pPr", "a paragraph's w:pPr"), (8, 0, styles.filter("local = 'style'"), "style", "w:style"), (8, 20, styles.filter("local = 'pPr'"), "pPr", "a style's w:pPr"),
-        (9, 5, levels, "lvl", "w:lvl"), (9, 6, level_kids.filter("local = 'pPr'"), "pPr", "a numbering level's w:pPr"),
-        *((s, 40, df.filter(F.col("local") == n), n, f"w:{n}") for s, df in ((7, text_nodes), (8, styles)) for n in ("sectPr", "tblPr", "trPr", "tcPr")),
-    ):
-        found.append(on(_wrong_order(word, lists(elements, name, what), ranks, stage, seq)))
-    bullets = _children(word, levels, {}).filter((F.col("local") == "numFmt") & (w_attr("val") == "bullet")).select("doc", "part", F.col("parent").alias("lvl"))
-    symbol = _children(word, level_props, {}).filter((F.col("local") == "rFonts") & F.exists(F.map_values("attrs"), lambda v: v == "Symbol")).select("doc", "part", "part_ord", "node", F.col("parent").alias("rp"))
-    symbol = symbol.join(level_kids.filter("local = 'rPr'").select("doc", "part", F.col("node").alias("rp"), F.col("parent").alias("lvl")), ["doc", "part", "rp"]).join(bullets, ["doc", "part", "lvl"], "left_semi")
-    found.append(on(_row(symbol, "5", "a bullet level uses the Symbol font; bullets need a Thai-capable font", 9, 0)))
-
-    counts = _counts(own, text_nodes, roles, readable)
-    kinds = numbering_kind(word, roles)
-    findings = cut(reduce(DataFrame.unionByName, [f.select(*_OUT) for f in found]))
-    return Checked(parts, nodes, roles, findings, _once(reduce(DataFrame.unionByName, warned)), counts, kinds)
-
-
-def _runs_of_text(of_run: DataFrame, roles: DataFrame) -> DataFrame:
-    names = roles.filter("role = 'text'").select("doc", F.col("name").alias("part"))
-    return of_run.join(names, ["doc", "part"], "left_semi")
+    With ``keep`` the records are written once to the shared folder, for more than one of
+    the tables; without, each table examines the packages when it is read.
+    """
+    records = package_records(packages)
+    records = written(records) if keep else records
+    of = lambda kind: records.filter(F.col("kind") == kind)
+    sums = lambda kind, names: of(kind).groupBy("doc").agg(*(F.max(F.when(F.col("code") == n, F.col("n"))).alias(n) for n in names))
+    counts = sums("count", ("runs", "thai_language_runs", "paragraphs", "tables", "footnotes"))
+    kinds = sums("numbering", NUMBERINGS)
+    auto, wrote = (F.greatest(*(n for n in NUMBERINGS if n.startswith(s))) > 0 for s in ("automatic", "written"))
+    kinds = kinds.withColumn("kind", F.when(auto & wrote, "mixed").when(auto, "automatic").when(wrote, "written").otherwise("none"))
+    roles = of("role").select("doc", F.col("code").alias("role"), F.col("part").alias("name"), F.col("part_ord").alias("name_ord"))
+    fonts = of("font").groupBy("doc", F.col("code").alias("font")).agg(F.sum("n").alias("n"))
+    return Checked(records, of("doc").select("doc"), roles, _told(records, "finding"), _once(_told(records, "warning")), counts, kinds, fonts)
 
 
 def _once(warnings: DataFrame) -> DataFrame:
@@ -247,73 +91,6 @@ def _once(warnings: DataFrame) -> DataFrame:
     return first.select("doc", "code", "part", "message", "p.*")
 
 
-def _counts(runs: DataFrame, texts: DataFrame, roles: DataFrame, docs: DataFrame) -> DataFrame:
-    """runs, thai_language_runs, paragraphs, tables (of the main document), footnotes (separators aside)."""
-    of_runs = runs.filter("has_text").groupBy("doc").agg(F.count("*").alias("runs"), F.count_if(F.col("cs") & (F.col("bidi") == "th-TH")).alias("thai_language_runs"))
-    main = roles.filter("role = 'document'").select("doc", F.col("name").alias("main"))
-    notes = roles.filter("role = 'footnotes'").select("doc", F.col("name").alias("notes"))
-    flat = texts.join(main, "doc", "left").join(notes, "doc", "left")
-    ordinary = ~F.coalesce(w_attr("type"), F.lit("")).isin("separator", "continuationSeparator")
-    of_nodes = flat.groupBy("doc").agg(
-        F.count_if(F.col("local") == "p").alias("paragraphs"), F.count_if((F.col("local") == "tbl") & (F.col("part") == F.col("main"))).alias("tables"),
-        F.when(F.max(F.col("part") == F.col("notes")), F.count_if((F.col("local") == "footnote") & (F.col("part") == F.col("notes")) & ordinary)).alias("footnotes"),
-    )
-    return docs.join(of_runs, "doc", "left").join(of_nodes, "doc", "left")
-
-
-def numbering_kind(word: DataFrame, roles: DataFrame) -> DataFrame:
-    """Whether headings, captions and items are numbered by the application, in writing, both or not at all."""
-    styles, numbering, document = (_of_role(word, roles, r) for r in ("styles", "numbering", "document"))
-    kid = lambda df, name, alias: df.filter(F.col("local") == name).select("doc", "part", F.col("parent").alias("node"), w_attr("val").alias(alias))
-    st = styles.filter("local = 'style'").select("doc", "part", "node", F.coalesce(w_attr("styleId"), F.lit("")).alias("style"))
-    st = st.join(kid(styles, "name", "name"), ["doc", "part", "node"], "left")
-    deep = styles.filter("local = 'numId'").select("doc", "part", "parent", w_attr("val").alias("num"))
-    num_pr = styles.filter("local = 'numPr'").select("doc", "part", F.col("node").alias("parent"), F.col("parent").alias("ppr"))
-    ppr_of = styles.filter("local = 'pPr'").select("doc", "part", F.col("node").alias("ppr"), F.col("parent").alias("node"))
-    tied = deep.join(num_pr, ["doc", "part", "parent"]).join(ppr_of, ["doc", "part", "ppr"]).select("doc", "part", "node", "num")
-    low, sid = F.lower(F.coalesce("name", F.lit(""))), F.lower("style")
-    st = st.join(tied, ["doc", "part", "node"], "left")
-    own_levels = numbering.filter("local = 'pStyle'").select("doc", w_attr("val").alias("style")).distinct().withColumn("by_level", F.lit(True))
-    st = st.join(own_levels, ["doc", "style"], "left").groupBy("doc", "style").agg(
-        F.max(F.startswith(low, F.lit("heading ")) | F.startswith(sid, F.lit("heading"))).alias("is_heading"), F.max(F.contains(low, F.lit("caption")) | F.contains(sid, F.lit("caption"))).alias("is_caption"),
-        F.max(F.startswith(low, F.lit("toc ")) | (low == "table of figures") | sid.rlike("^(toc|tableoffigures)")).alias("is_listing"), F.max(F.coalesce("by_level", F.lit(False)) | (F.coalesce("num", F.lit("0")) != "0")).alias("is_counted"),
-    )
-    abstract = numbering.filter("local = 'abstractNum'").select("doc", "part", F.col("node").alias("a"), "last", w_attr("abstractNumId").alias("aid"))
-    lvls = numbering.filter("local = 'lvl'").select("doc", "part", "node", F.col("parent").alias("a"), F.coalesce(w_attr("ilvl"), F.lit("")).alias("ilvl")).join(kid(numbering, "numFmt", "fmt"), ["doc", "part", "node"], "left")
-    nums = numbering.filter("local = 'num'").select("doc", "part", "node", w_attr("numId").alias("own_num")).join(kid(numbering, "abstractNumId", "aid"), ["doc", "part", "node"])
-    formats = nums.select("doc", "own_num", "aid").join(abstract.select("doc", "a", "aid"), ["doc", "aid"]).join(lvls.select("doc", "a", "ilvl", "fmt"), ["doc", "a"]).select("doc", "own_num", "ilvl", "fmt").dropDuplicates(["doc", "own_num", "ilvl"])
-    paras = document.filter("local = 'p'").select("doc", "part", F.col("node").alias("para"))
-    text = document.filter("local = 't'").groupBy("doc", "part", "para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), "").alias("text"))
-    field = F.when(F.col("local") == "instrText", F.col("text")).otherwise(F.coalesce(w_attr("instr"), F.lit("")))
-    fields = document.filter(F.col("local").isin("instrText", "fldSimple")).groupBy("doc", "part", "para").agg(F.max(field.rlike(r"\bSEQ\b")).alias("seq"))
-    ppr = document.filter("local = 'pPr'").select("doc", "part", F.col("node").alias("ppr"), F.col("parent").alias("para"))
-    style = document.filter("local = 'pStyle'").select("doc", "part", F.col("parent").alias("ppr"), w_attr("val").alias("style"))
-    npr = document.filter("local = 'numPr'").select("doc", "part", F.col("node").alias("npr"), F.col("parent").alias("ppr"))
-    nid = document.filter(F.col("local").isin("numId", "ilvl")).groupBy("doc", "part", F.col("parent").alias("npr")).agg(F.max(F.when(F.col("local") == "numId", w_attr("val"))).alias("own_num"), F.max(F.when(F.col("local") == "ilvl", w_attr("val"))).alias("ilvl"))
-    key = ["doc", "part", "ppr"]
-    facts = ppr.join(style, key, "left").join(npr.join(nid, ["doc", "part", "npr"], "left"), key, "left").select("doc", "part", "para", "style", "own_num", "ilvl")
-    p = paras.join(facts, ["doc", "part", "para"], "left").join(text, ["doc", "part", "para"], "left").join(fields, ["doc", "part", "para"], "left").join(st, ["doc", "style"], "left")
-    p = p.fillna({"text": "", "seq": False, "is_heading": False, "is_caption": False, "is_listing": False, "is_counted": False, "ilvl": "0"}).join(formats, ["doc", "own_num", "ilvl"], "left")
-    digits = "[0-9๐-๙]"
-    wrote_h = F.col("text").rlike(rf"^(?:(?:บทที่|ภาคผนวก)\s|{digits}+(?:\.{digits}+)*\.?\s)")
-    wrote_c = F.col("text").rlike(r"^(?:ตารางที่|รูปที่|Table|Figure)\s*[0-9๐-๙ก-ฮA-Za-z]+(?:[-.][0-9๐-๙]+)?")
-    wrote_i = F.col("text").rlike(rf"^{digits}+[.)](?!{digits})")
-    counted = F.col("own_num").isNotNull() & (F.col("own_num") != "0")
-    auto_h = counted | (F.col("own_num").isNull() & F.col("is_counted"))
-    kind = (
-        F.when(F.col("is_listing"), None)
-        .when(F.col("is_heading"), F.when(auto_h, "automatic_headings").when(wrote_h, "written_headings"))
-        .when(F.col("seq"), "automatic_captions")
-        .when(F.col("is_caption") | wrote_c, F.when(wrote_c, "written_captions"))
-        .when(counted, F.when(~F.coalesce("fmt", F.lit("")).isin("bullet", "none"), "automatic_lists"))
-        .when(wrote_i, "written_lists")
-    )
-    names = [f"{a}_{b}" for a in ("automatic", "written") for b in ("headings", "captions", "lists")]
-    sums = p.withColumn("kind", kind).groupBy("doc").agg(*(F.count_if(F.col("kind") == n).alias(n) for n in names))
-    auto, wrote = (reduce(lambda a, b: a + b, (F.col(n) for n in names if n.startswith(s))) > 0 for s in ("automatic", "written"))
-    return sums.withColumn("kind", F.when(auto & wrote, "mixed").when(auto, "automatic").when(wrote, "written").otherwise("none"))
-
-
 def listed_findings(findings: DataFrame) -> DataFrame:
     """The first twenty findings of each code and document, in order."""
     return cap_per_code(findings, ["doc"], "code", _PLACE)
@@ -326,6 +103,5 @@ def omitted_findings(findings: DataFrame) -> DataFrame:
 def verdicts(checked: Checked) -> DataFrame:
     """doc, ok and exit code: 2 for a package that isn't read, 1 for findings, else 0."""
     worst = checked.findings.groupBy("doc").agg(F.max(F.col("code").isin("package", "doctype", "size")).alias("unread"))
-    docs = checked.parts.select("doc").union(checked.findings.select("doc")).distinct()
-    out = docs.join(worst, "doc", "left")
+    out = checked.docs.join(worst, "doc", "left")
     return out.select("doc", F.col("unread").isNull().alias("ok"), F.when(F.col("unread").isNull(), 0).when(F.col("unread"), 2).otherwise(1).alias("exit_code"))

@@ -36,6 +36,8 @@ class Item:
 class Layout:
     items: list[Item] = field(default_factory=list)
     sectioned: bool = False
+    #: (line, what is said about it) in the order found.
+    warnings: list[tuple[int, str]] = field(default_factory=list)
 
     def entries(self, of: str) -> list[tuple[int, str]]:
         """(level, one-line text) of a contents list, a list of tables or one of figures."""
@@ -75,6 +77,54 @@ def _caption_kind(before: M.Block | None, b: M.Block, after: M.Block | None) ->
     return "Figure" if said and before is not None and image_only(before) else ""
 
 
+# --- Fixed values: the Thai words for tables and figures -------------------------------
+THAI_CAPTIONS = {"Table": ("ตาราง:", "ตารางที่:"), "Figure": ("รูป:", "รูปที่:", "ภาพ:", "ภาพที่:")}
+
+
+def _silent_pictures(b: M.Block) -> list[str]:
+    nodes = b.inlines if b.type in ("paragraph", "heading") else ()
+    return [f"the image '{n['src']}' has no text between the brackets of ![]; a reader who cannot see it is told nothing" for n in nodes if n["t"] == "image" and not n["alt"].strip()]
+
+
+def _gap(level: int, above: int) -> str:
+    return f"a heading of level {level} follows one of level {above}; the contents and a screen reader read the levels in order"
+
+
+def _opening(nodes: list[dict]) -> str:
+    """The plain text that inline nodes start with."""
+    first = nodes[0] if nodes else None
+    return first["s"] if first and first["t"] == "text" and not any(first.get(k) for k in ("b", "i", "strike", "code", "link", "u", "sup", "sub")) else ""
+
+
+def _missed_caption(before: M.Block | None, b: M.Block, after: M.Block | None, caption: str) -> list[str]:
+    """What comes near to being a caption and is none."""
+    out = []
+    table_next, picture_before = after is not None and after.type == "table", before is not None and image_only(before)
+    if b.type == "paragraph":
+        opening = _opening(b.inlines)
+        said = _CAPTION.match(opening)
+        if said and said[1] == "Table" and not table_next:
+            out.append("'Table:' makes a caption only in the paragraph just before a table; kept as text")
+        if said and said[1] == "Figure" and not picture_before:
+            out.append("'Figure:' makes a caption only in the paragraph just after an image on its own; kept as text")
+        at = max((i for i, n in enumerate(b.inlines) if n["t"] == "image"), default=None)
+        if at is not None:
+            shown = [n for n in b.inlines if n["t"] != "hardbreak" and not (n["t"] == "text" and not n["s"].strip(" \t"))]
+            run = [n["t"] == "image" for n in shown]
+            pictures = run.index(False) if False in run else len(run)
+            if pictures and re.match(r"[ \t]*Figure:(?:[ \t]|\Z)", _opening(shown[pictures:])):
+                out.append("'Figure:' shares a paragraph with the image above it; leave a blank line between them to make a caption")
+        if not caption:
+            for kind, here in (("Table", table_next), ("Figure", picture_before)):
+                if here and any(re.match(re.escape(word) + r"(?:[ \t]|\Z)", opening) for word in THAI_CAPTIONS[kind]):
+                    out.append(f"a caption is written '{kind}:' in English, in every language; this paragraph is kept as text")
+    elif b.type == "table" and len(b.inlines) > 1:
+        first, rest = b.inlines[-1][0], b.inlines[-1][1:]
+        if (said := _CAPTION.match(_opening(first))) and said[1] == "Table" and not any(rest):
+            out.append("the table's last row starts with 'Table:'; a caption goes before the table, on its own line")
+    return out
+
+
 def check_regions(blocks: list[M.Block]) -> None:
     """Refuses regions out of order or given twice; a second ``back`` may follow the appendices."""
     last, seen = -1, set()
@@ -98,6 +148,7 @@ def lay_out(doc: M.Document, o) -> Layout:
     region, boundary = "cover" if out.sectioned else None, False
     counters, places, seqs = [0] * 6, {"chapters": 0, "appendices": 0}, {"Table": 0, "Figure": 0}
     shown = lambda n: counted(n, "decimal", o.thai_digits)
+    level = 0
     for i, b in enumerate(blocks):
         if b.type == "directive" and b.name in _RANK:
             region, boundary = b.name, True
@@ -126,7 +177,10 @@ def lay_out(doc: M.Document, o) -> Layout:
                 item.number = (digits[0] + "." if b.level == 1 else ".".join(digits)) + " "
             elif o.heading_numbers and prefix and not top:
                 item.number = ".".join([prefix, *(shown(n) for n in counters[1 : b.level])]) + " "
-        item.caption = _caption_kind(blocks[i - 1] if i else None, b, blocks[i + 1] if i + 1 < len(blocks) else None)
+        before, after = blocks[i - 1] if i else None, blocks[i + 1] if i + 1 < len(blocks) else None
+        item.caption = _caption_kind(before, b, after)
+        out.warnings += [(b.line, message) for message in (*_silent_pictures(b), *([_gap(b.level, level)] if b.type == "heading" and 0 < level < b.level - 1 else ()), *_missed_caption(before, b, after, item.caption))]
+        level = b.level if b.type == "heading" else level
         if item.caption:
             seqs[item.caption] += 1
             label = o.table_label if item.caption == "Table" else o.figure_label

@@ -54,7 +54,7 @@ def order_violations(children: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def rank_table(spark) -> DataFrame:
-    return spark.createDataFrame([(o, n, r) for o in V.ORDERS for n, r in V.ranks(o).items()], "list string, name string, rank int")
+    return spark.createDataFrame([(o, n, r) for o in V.ORDERS for n, r in V.PLACES[o].items()], "list string, name string, rank int")
 
 
 def heading_counters(headings: DataFrame, key: str = "doc", pos: str = "pos", level: str = "level", levels: int = 6) -> DataFrame:

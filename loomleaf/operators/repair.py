@@ -22,9 +22,10 @@ from ..functions import text as X
 from ..functions import vocab as V
 from ..sources.packages import admit, rewrite_package
 from ..sources.xmlnodes import shred
-from .build import script_pieces
-from .checks import Checked, check_packages, cut, listed_findings, w_attr
-from .sets import bag_difference, most_common
+from ..workspace import written
+from .checks import Checked, check_packages, listed_findings
+from .scripts import script_pieces
+from .sets import bag_difference
 
 MAX_NESTING = 100
 UNREAD = ("package", "doctype", "size")
@@ -243,7 +244,7 @@ class Editor:
             name = e.name.removeprefix("w:")
             if name not in V.ORDERS or not e.name.startswith("w:"):
                 continue
-            places = V.ranks(name)
+            places = V.PLACES[name]
             slots = [i for i, k in enumerate(e.kids) if isinstance(k, Element) and k.name.startswith("w:") and k.name[2:] in places]
             now = [e.kids[i] for i in slots]
             then = sorted(now, key=lambda k: places[k.name[2:]])
@@ -437,12 +438,11 @@ def edit_package(data: bytes, codes: set[str], roles: dict[str, list[str]], font
 
 def chosen_fonts(checked: Checked, asked: str | None = None) -> DataFrame:
     """doc, font, why: the font asked for, else the complex-script font known to carry Thai that a document names most (of equals the smallest), else the default."""
-    docs = checked.parts.select("doc").distinct()
+    docs = checked.docs
     if asked:
         return docs.select("doc", F.lit(asked.strip()[: V.FONT_MAX].rstrip()).alias("font"), F.lit("asked").alias("why"))
-    named = checked.nodes.filter((F.col("ns") == V.W) & (F.col("local") == "rFonts") & F.startswith("part", F.lit("word/")) & F.endswith("part", F.lit(".xml")))
-    named = named.select("doc", w_attr("cs").alias("font")).filter(F.lower("font").isin(*V.THAI_FONTS))
-    out = docs.join(most_common(named, ["doc"], "font"), "doc", "left")
+    most = checked.fonts.groupBy("doc").agg(F.min(F.struct((-F.col("n")).alias("fewer"), "font")).alias("m")).select("doc", "m.font")
+    out = docs.join(most, "doc", "left")
     return out.select("doc", F.coalesce("font", F.lit("TH Sarabun New")).alias("font"), F.when(F.col("font").isNull(), "default").otherwise("most used").alias("why"))
 
 
@@ -487,7 +487,7 @@ def repair_packages(packages: DataFrame, font: str | None = None, thai_language:
                 row = (doc, o.content, list(o.counts.items()), o.left, o.font_written, o.error)
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _EDITED_TYPES, strict=True)], names=list(_EDITED_NAMES))
 
-    edited = cut(plan.filter("unread is null").select("doc", "content", "codes", "roles", "font").mapInArrow(run, _EDITED))
+    edited = written(plan.filter("unread is null").select("doc", "content", "codes", "roles", "font").mapInArrow(run, _EDITED))
     after = check_packages(edited.filter("content is not null").select("doc", "content"))
     written = edited.filter("content is not null").select("doc")
     key = ["doc", "code", "part"]
@@ -501,7 +501,7 @@ def repair_packages(packages: DataFrame, font: str | None = None, thai_language:
         F.when(F.col("still").isNotNull(), F.concat(F.lit("finding "), "still", F.lit(" is still there after the repair; nothing was written"))),
     )
     judged = packages.select("doc").join(unread, "doc", "left").join(edited, "doc", "left").join(worse, "doc", "left").join(still, "doc", "left")
-    judged = cut(judged.withColumn("error", said).withColumn("content", F.when(F.col("error").isNull(), F.col("content"))))
+    judged = written(judged.withColumn("error", said).withColumn("content", F.when(F.col("error").isNull(), F.col("content"))))
     fine = judged.filter("content is not null").select("doc")
     kept = after.findings.join(fine, "doc", "left_semi").unionByName(before.findings.join(fine, "doc", "left_anti").join(unread.select("doc"), "doc", "left_anti"))
     open_docs = kept.select("doc").distinct().withColumn("open", F.lit(True))

@@ -281,7 +281,7 @@ def schemes_refused(spark, sf_dir):
 
 # -- over literal rows -----------------------------------------------------------------
 
-_RANKS = [(o, n, r) for o in ("pPr", "rPr", "sectPr") for n, r in V.ranks(o).items()]
+_RANKS = [(o, n, r) for o in ("pPr", "rPr", "sectPr") for n, r in V.PLACES[o].items()]
 
 
 @query(f"""WITH c AS {L.values(*L.CHILDREN)}, r AS {L.values('list string, name string, rank int', _RANKS)},
@@ -502,7 +502,7 @@ def docx_check(spark, sf_dir):
     """The findings of the packages built from every conversation's turns."""
     turns = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
     built = build_packages(turns, "id", "text").filter("content is not null").select("doc", "content")
-    return check_packages(built).findings.groupBy("code", "message").agg(F.countDistinct("doc").alias("documents"))
+    return check_packages(built, keep=False).findings.groupBy("code", "message").agg(F.countDistinct("doc").alias("documents"))
 
 
 @F.pandas_udf(T.BinaryType())

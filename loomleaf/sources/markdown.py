@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..workspace import bounded_batches
 from ..functions.text import decode_reference, unescape_text
 
 MAX_DEPTH = 100
@@ -716,6 +717,7 @@ def block_rows(doc_id, text: str | None) -> list[tuple]:
 
 def markdown_blocks(df: DataFrame, doc: str, text: str) -> DataFrame:
     """One row per block, in document order; ``inlines`` holds the block's inline nodes as JSON."""
+    bounded_batches(df.sparkSession)
     kinds = [pa.string(), *[pa.int32()] * 4, pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string()]
     names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
 
@@ -734,6 +736,10 @@ INLINE_SCHEMA = "array<struct<t string, s string, b boolean, i boolean, strike b
 
 
 def markdown_inlines(blocks: DataFrame) -> DataFrame:
-    """One row per inline node of paragraphs and headings: doc, block, ord and the node's fields."""
-    text = blocks.filter(F.col("type").isin("paragraph", "heading"))
-    return text.select("doc", "block", F.posexplode(F.from_json("inlines", INLINE_SCHEMA)).alias("ord", "n")).select("doc", "block", "ord", "n.*")
+    """One row per inline node of paragraphs, headings and table cells: doc, block, row and col (null outside of tables), ord in the block, and the node's fields."""
+    plain = F.transform(F.from_json("inlines", INLINE_SCHEMA), lambda n: F.struct(F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"), n.alias("n")))
+    placed = lambda r, c: lambda n: F.struct(r.alias("row"), c.alias("col"), n.alias("n"))
+    cells = lambda row, r: F.flatten(F.transform(row, lambda cell, c: F.transform(cell, placed(r, c))))
+    tables = F.flatten(F.transform(F.from_json("inlines", f"array<array<{INLINE_SCHEMA}>>"), cells))
+    nodes = F.when(F.col("type") == "table", tables).when(F.col("type").isin("paragraph", "heading"), plain)
+    return blocks.select("doc", "block", F.posexplode(nodes).alias("ord", "x")).select("doc", "block", "x.row", "x.col", "ord", "x.n.*")

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from hashlib import blake2b
+from operator import itemgetter
 from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..workspace import bounded_batches
+
 NODE_SCHEMA = (
     "doc string, part string, part_ord int, node int, parent int, sib int, depth int, ns string, local string,"
     " attrs map<string,string>, text string, last int, run int, para int, in_history boolean, shape string, fault string"
@@ -28,60 +33,82 @@ def fault_of(data: bytes) -> str | None:
     return None
 
 
-def shred(data: bytes) -> list[list]:
-    """Nodes in pre-order: node, parent, sib, depth, ns, local, attrs, text, last, run, para, in_history, shape.
+class _Reader:
+    """Turns parse events into nodes; those that have ended wait in ``done``."""
 
-    ``attrs`` are keyed "{ns}local" or "local"; ``text`` is what stands before the
-    first child; ``last`` is the last descendant; ``run`` and ``para`` are the nearest
-    such element around; ``shape`` writes a run-properties element canonically,
-    revision ids left out.  Raises ExpatError for what is not well-formed.
-    """
-    nodes: list[list] = []
-    stack: list[list] = []
-    shapes: list[tuple[list, list[str]]] = []
+    def __init__(self):
+        self.count, self.stack, self.done, self.shaping = 0, [], [], 0
+        parser = expat.ParserCreate(namespace_separator="}")
+        parser.buffer_text = True
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = self.start, self.end, self.text
+        self.parser = parser
 
-    def name_of(name: str) -> tuple[str, str]:
+    def start(self, name: str, attributes: dict) -> None:
         ns, _, local = name.rpartition("}")
-        return ns, local
-
-    def start(name: str, attributes: dict) -> None:
-        ns, local = name_of(name)
-        above = stack[-1] if stack else None
-        attrs = {f"{{{n}}}{k}" if n else k: v for (n, k), v in ((name_of(a), v) for a, v in attributes.items())}
-        me = len(nodes)
-        node = [me, above[0] if above else None, 0, len(stack), ns, local, attrs, "", me, above[9] if above else None, above[10] if above else None, bool(above and (above[11] or above[5] in _HISTORY)), None, 0]
-        if above:
-            node[2] = above[13]
-            above[13] += 1
+        attrs = {f"{{{k}" if "}" in k else k: v for k, v in attributes.items()}
+        me, up = self.count, self.stack[-1] if self.stack else None
+        self.count += 1
+        if up is None:
+            node = [me, None, 0, 0, ns, local, attrs, "", me, None, None, False, None]
+        else:
+            above = up[0]
+            node = [me, above[0], up[1], len(self.stack), ns, local, attrs, "", me, above[9], above[10], above[11] or above[5] in _HISTORY, None]
+            up[1] += 1
         if local == "r":
             node[9] = me
         elif local == "p":
             node[10] = me
-        if local == "rPr":
-            shapes.append((node, []))
-        told = sorted((name_of(k.replace("{", ""))[1], v) for k, v in attrs.items())
-        for _, parts in shapes:
-            parts.append(f"<{local} {[x for x in told if not x[0].startswith('rsid')]!r}")
-        nodes.append(node)
-        stack.append(node)
-
-    def end(name: str) -> None:
-        node = stack.pop()
-        node[8] = len(nodes) - 1
-        for _, parts in shapes:
-            parts.append(">")
-        if shapes and shapes[-1][0] is node:
-            node[12] = "".join(shapes.pop()[1])
-
-    def text(data: str) -> None:
-        if stack and not stack[-1][13]:
-            stack[-1][7] += data
-
-    parser = expat.ParserCreate(namespace_separator="}")
-    parser.buffer_text = True
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
-    parser.Parse(data, True)
-    return [n[:13] for n in nodes]
+        self.shaping += local == "rPr"
+        digest = None
+        if self.shaping:
+            said = sorted((k.rpartition("}")[2], v) for k, v in attributes.items())
+            digest = blake2b(repr((local, [x for x in said if not x[0].startswith("rsid")])).encode(), digest_size=16)
+        self.stack.append([node, 0, digest])
+
+    def end(self, name: str) -> None:
+        node, _, digest = self.stack.pop()
+        node[8] = self.count - 1
+        if digest is not None:
+            if node[5] == "rPr":
+                node[12] = digest.hexdigest()
+                self.shaping -= 1
+            if self.stack and self.stack[-1][2] is not None:
+                self.stack[-1][2].update(digest.digest())
+        self.done.append(node)
+
+    def text(self, data: str) -> None:
+        if self.stack and not self.stack[-1][1]:
+            self.stack[-1][0][7] += data
+
+
+def ended_nodes(data: bytes, step: int = 1 << 20) -> Iterator[list[list]]:
+    """Lists of nodes as their elements end, a piece of the part at a time."""
+    reader = _Reader()
+    for at in range(0, max(1, len(data)), step):
+        reader.parser.Parse(data[at : at + step], at + step >= len(data))
+        if reader.done:
+            yield reader.done
+            reader.done = []
+
+
+def shred(data: bytes) -> list[list]:
+    """Nodes in pre-order: node, parent, sib, depth, ns, local, attrs, text, last, run, para, in_history, shape.
+
+    ``attrs`` are keyed "{ns}local" or "local"; ``text`` is what stands before the
+    first child; ``last`` is the last descendant; ``run`` and ``para`` are the nearest
+    such element around; ``shape`` is equal for run properties that say the same, revision
+    ids left out: a digest of the element made from those of its children.  Raises ExpatError for
+    what is not well-formed.
+    """
+    return sorted((n for some in ended_nodes(data) for n in some), key=itemgetter(0))
+
+
+def well_formed(data: bytes) -> bool:
+    try:
+        expat.ParserCreate(namespace_separator="}").Parse(data, True)
+    except expat.ExpatError:
+        return False
+    return True
 
 
 _KINDS = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
@@ -89,22 +116,21 @@ _NAMES = [f.strip().split()[0] for f in NODE_SCHEMA.replace("map<string,string>"
 
 
 def xml_nodes(parts: DataFrame) -> DataFrame:
-    """The node table of the XML parts in ``parts`` (doc, ord, name, data); a part that can't be read is one row with ``fault``."""
+    """The node table of the XML parts in ``parts`` (doc, ord, name, data); a part that can't be read is one row with ``fault``.
+
+    A part is parsed twice, first to know that it can be read, and its rows leave as
+    its elements end.
+    """
+    bounded_batches(parts.sparkSession)
 
     def run(batches):
         for batch in batches:
             for doc, ord_, name, data in zip(*(batch.column(i) for i in range(4)), strict=True):
-                head = (doc.as_py(), name.as_py(), ord_.as_py())
-                raw = data.as_py()
-                fault, nodes = fault_of(raw), []
-                if fault is None:
-                    try:
-                        nodes = shred(raw)
-                    except expat.ExpatError:
-                        fault = "XML is not well-formed"
-                rows = [(*head, *n[:6], list(n[6].items()), *n[7:], None) for n in nodes] or [(*head, *[None] * 13, fault)]
-                for at in range(0, len(rows), 20_000):
-                    columns = list(zip(*rows[at : at + 20_000], strict=True))
+                head, raw = (doc.as_py(), name.as_py(), ord_.as_py()), data.as_py()
+                fault = fault_of(raw) or (None if well_formed(raw) else "XML is not well-formed")
+                for nodes in ended_nodes(raw) if fault is None else [None]:
+                    rows = [(*head, *[None] * 13, fault)] if nodes is None else [(*head, *n[:6], list(n[6].items()), *n[7:], None) for n in nodes]
+                    columns = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
     return parts.filter("data is not null").select("doc", "ord", "name", "data").mapInArrow(run, NODE_SCHEMA)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,3 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomleaf-"))
     return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts its lineage.
+
+    The folder goes when the driver's process ends, or before by ``_loomleaf_path``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._loomleaf_path = path
+    return back
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 64 << 20) -> None:
+    """Have Spark hand at most ``rows`` rows and about ``size`` bytes at a time to Python; smaller settings of the session stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        said = spark.conf.get(key, None)
+        if said is None or not 0 < int(said.lower().removesuffix("b")) <= most:
+            spark.conf.set(key, str(most))

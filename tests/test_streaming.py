@@ -16,4 +16,6 @@ def test_files_are_judged_as_they_come(spark, tmp_path):
     assert run() == {"a.docx": 0, "b.docx": 1}
     (files / "c.docx").write_bytes(b"damaged")
     (files / "copy.docx").write_bytes(packed(clean()))
-    assert run() == {"a.docx": 0, "b.docx": 1, "c.docx": 2}
+    assert run() == {"a.docx": 0, "b.docx": 1, "c.docx": 2, "copy.docx": 0}  # a copy has a verdict too
+    assert spark.read.parquet(out + "/contents").count() == 3  # each content is judged once
+    assert spark.read.parquet(out + "/files").count() == 4
