@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import threading
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..workspace import shared_dir
+from ..workspace import bounded_batches, written
+
+__all__ = ["WORD", "bounded_batches", "free_name", "hash128", "hash_bound", "materialise", "release", "scratch", "shared_value", "slices", "small"]
 
 #: A word is a run of anything but these; the same class for Java and RE2.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,14 +51,8 @@ def materialise(df: DataFrame) -> DataFrame:
     The folder goes with :func:`release`, at the end of a :func:`scratch` block, or at the
     latest when the driver's process ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    _WRITTEN.paths.append(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._loomleaf_path = path
+    back = written(df)
+    _WRITTEN.paths.append(back._loomleaf_path)
     return back
 
 
@@ -120,13 +115,6 @@ def hash_bound(share: float) -> int:
     return (1 << 63) - 1 if share >= 1 else int(-(1 << 63) + share * ((1 << 64) - 1))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Have Spark hand at most ``rows`` rows at a time to Python; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
-
-
 _BROADCASTS: dict = {}
 
 
