@@ -147,22 +147,22 @@ def script_runs(texts: DataFrame, key: str = "id", text: str = "t") -> DataFrame
     punctuation; punctuation is complex only with complex letters on each side that
     has any; a neutral goes with what is before it, or with the first that is not.
     """
-    chars = texts.select(F.col(key), F.posexplode(F.split(text, "")).alias("i", "ch")).filter("ch <> ''")
+    letter, space = f"(?!{V.char_class(V.THAI)}){V.char_class(V.COMPLEX_SCRIPT)}", r"\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+    script, marks = V.char_class(V.COMPLEX_SCRIPT)[1:-1], "".join(f"\\x{{{ord(c):X}}}" for c in V.PUNCTUATION)
+    # Stretches of one kind, not characters, are the rows; a joiner between two complex letters that aren't Thai belongs to their word.
+    kinds = {"C": rf"(?:[{script}]|(?<={letter})[\x{{200C}}\x{{200D}}](?={letter}))+", "N": f"[{space}]+", "P": f"[{marks}]+", "L": f"[^{script}{space}{marks}]+"}
+    found = F.regexp_extract_all(F.col(text), F.lit("|".join(kinds.values())), F.lit(0))
+    parts = texts.select(F.col(key), F.posexplode(found).alias("i", "ch"))
+    mark = F.when(F.col("ch").rlike(f"^[{script}]"), "C").when(F.col("ch").rlike(f"^[{space}]"), "N").when(F.col("ch").rlike(f"^[{marks}]"), "P").otherwise("L")
     w = Window.partitionBy(key).orderBy("i")
-    around = Window.partitionBy(key).orderBy("i")
-    # A joiner between two complex letters that aren't Thai belongs to their word.
-    other = lambda c: X.has_complex(c) & ~X.has_thai(c)
-    joins = F.col("ch").isin("\u200c", "\u200d") & F.coalesce(other(F.lag("ch").over(around)) & other(F.lead("ch").over(around)), F.lit(False))
-    punctuation = F.contains(F.lit(V.PUNCTUATION), F.col("ch"))
-    mark = F.when(joins | X.has_complex("ch"), "C").when(F.col("ch").rlike(r"^[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]$"), "N").when(punctuation, "P").otherwise("L")
-    chars = chars.withColumn("mark", mark).withColumn("letter", F.when(F.col("mark").isin("C", "L"), F.col("mark")))
+    parts = parts.withColumn("mark", mark).withColumn("letter", F.when(F.col("mark").isin("C", "L"), F.col("mark")))
     left = F.last("letter", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     right = F.first("letter", True).over(w.rowsBetween(1, Window.unboundedFollowing))
     inside = F.coalesce(left, right).eqNullSafe("C") & F.coalesce(right, left).eqNullSafe("C")
-    chars = chars.withColumn("strong", F.when(F.col("mark") == "P", F.when(inside, "C").otherwise("L")).otherwise(F.col("letter")))
+    parts = parts.withColumn("strong", F.when(F.col("mark") == "P", F.when(inside, "C").otherwise("L")).otherwise(F.col("letter")))
     whole = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    chars = chars.withColumn("script", F.coalesce(F.last("strong", True).over(_upto(w)), F.first("strong", True).over(whole), F.lit("L")))
-    runs = islands(chars, [key], ["i"], ["script"])
+    parts = parts.withColumn("script", F.coalesce(F.last("strong", True).over(_upto(w)), F.first("strong", True).over(whole), F.lit("L")))
+    runs = islands(parts, [key], ["i"], ["script"])
     pieces = runs.groupBy(key, "island", "script").agg(F.array_sort(F.collect_list(F.struct("i", "ch"))).alias("cs"))
     return pieces.select(key, F.col("island").alias("run"), (F.col("script") == "C").alias("is_complex"), F.array_join("cs.ch", "").alias("piece"))
 

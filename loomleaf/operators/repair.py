@@ -489,9 +489,9 @@ def repair_packages(packages: DataFrame, font: str | None = None, thai_language:
 
     edited = written(plan.filter("unread is null").select("doc", "content", "codes", "roles", "font").mapInArrow(run, _EDITED))
     after = check_packages(edited.filter("content is not null").select("doc", "content"))
-    written = edited.filter("content is not null").select("doc")
+    saved = edited.filter("content is not null").select("doc")
     key = ["doc", "code", "part"]
-    worse = bag_difference(after.findings.select(*key), before.findings.join(written, "doc", "left_semi").select(*key))
+    worse = bag_difference(after.findings.select(*key), before.findings.join(saved, "doc", "left_semi").select(*key))
     worse = worse.groupBy("doc").agg(F.min("code").alias("worse"))
     left = edited.select("doc", F.explode("left_parts").alias("name")).select("doc", X.quoted("name").alias("part"))
     done = edited.select("doc", F.explode(F.map_keys("counts")).alias("code"))
@@ -516,13 +516,13 @@ def repair_packages(packages: DataFrame, font: str | None = None, thai_language:
 
 def _warnings(judged: DataFrame, fonts: DataFrame, before: Checked, after: Checked, fine: DataFrame) -> DataFrame:
     say = lambda df, code, message, part=None: df.select("doc", F.lit(code).alias("code"), (F.lit(None).cast("string") if part is None else part).alias("part"), message.alias("message"))
-    written = judged.filter("content is not null")
-    out = say(written.filter(F.col("counts")["1"].isNotNull()), "layout", F.lit("compatibility mode 15 reflows the document: page breaks can move"))
-    fonted = written.filter("font_written").join(fonts, "doc")
+    saved = judged.filter("content is not null")
+    out = say(saved.filter(F.col("counts")["1"].isNotNull()), "layout", F.lit("compatibility mode 15 reflows the document: page breaks can move"))
+    fonted = saved.filter("font_written").join(fonts, "doc")
     out = out.unionByName(say(fonted, "font", F.concat(F.lit("complex-script font written where a run named none: '"), X.quoted("font", V.FONT_MAX), F.lit("' ("), "why", F.lit(")"))))
     left = judged.select("doc", F.explode("left_parts").alias("name")).withColumn("part", X.quoted("name")).join(before.findings.select("doc", "part").distinct(), ["doc", "part"], "left_semi")
     out = out.unionByName(say(left, "left", F.concat("part", F.lit(" holds a comment, a CDATA section or a processing instruction; it is left as it came, and its findings with it")), F.col("part")))
-    spoke = written.filter(F.col("counts")["thai-language"].isNotNull())
+    spoke = saved.filter(F.col("counts")["thai-language"].isNotNull())
     out = out.unionByName(say(spoke, "thai-language", F.concat(F.lit("the Thai language was written into "), F.col("counts")["thai-language"].cast("string"), F.lit(" run properties"))))
     nothing = judged.filter("content is null and error is null")
     out = out.unionByName(say(nothing, "clean", F.lit("nothing here needs a repair; no file was written")))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workspace import written
+
 
 def most_common(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The most frequent value of each group; of equally frequent ones the smallest."""
@@ -33,11 +37,21 @@ def first_difference(a: DataFrame, b: DataFrame, keys: list[str], ord_: str, val
 
 
 def first_crossing(df: DataFrame, keys: list[str], order: list[str], size: str, cap: int) -> DataFrame:
-    """For each group the row whose running total first exceeds ``cap``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    total = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    over = df.withColumn("total", total).filter(F.col("total") > cap)
-    return over.withColumn("nth", F.row_number().over(w)).filter("nth = 1").drop("nth")
+    """For each group the row whose running total first exceeds ``cap``.
+
+    Rows are dealt by ranges of group and order, so a large group is many tasks; a task's
+    total goes to those behind it in the group.
+    """
+    dealt = written(df.orderBy(*keys, *order).withColumn("task", F.spark_partition_id()))
+    sums = dealt.groupBy(*(F.col(k).alias(f"of_{k}") for k in keys), F.col("task").alias("of_task")).agg(F.sum(size).alias("words"))
+    ahead = Window.partitionBy(*(f"of_{k}" for k in keys)).orderBy("of_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("before", F.coalesce(F.sum("words").over(ahead), F.lit(0))).drop("words")
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in (*keys, "task")]
+    rows = dealt.join(before, reduce(lambda a, b: a & b, same)).select(*dealt.columns, "before")
+    here = Window.partitionBy(*keys, "task").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    over = rows.withColumn("total", F.sum(size).over(here) + F.col("before")).filter((F.col("total") > cap) & (F.col("before") <= cap))
+    first = Window.partitionBy(*keys).orderBy("task", *order)
+    return over.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth", "task", "before")
 
 
 def dangling(refs: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,18 +69,6 @@ def changed_nothing(settings: DataFrame, presence: DataFrame) -> DataFrame:
     return lists.select("doc", "need", F.array_join("fs.flag", " and ").alias("flags"), F.col("fs.ord")[0].alias("ord"))
 
 
-def resolve_settings(given: DataFrame, profile: DataFrame, registry: DataFrame, reset: DataFrame) -> DataFrame:
-    """Every setting's value for every document: its own flag, else the profile's unless reset, else the default.
-
-    ``given``: doc, key, value; ``profile``: key, value; ``registry``: ord, key, default;
-    ``reset``: key.  The documents are those of ``given``.
-    """
-    usable = profile.join(reset, "key", "left_anti").select("key", F.col("value").alias("of_profile"))
-    docs = given.select("doc").distinct()
-    every = docs.crossJoin(F.broadcast(registry)).join(F.broadcast(usable), "key", "left")
-    return every.join(given.select("doc", "key", F.col("value").alias("given")), ["doc", "key"], "left").select("doc", "ord", "key", F.coalesce("given", "of_profile", "default").alias("value"))
-
-
 def conditional(name: str, condition: Column) -> Column:
     """A count of the rows that meet a condition."""
     return F.count_if(condition).alias(name)

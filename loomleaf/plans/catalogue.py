@@ -14,7 +14,7 @@ from ..functions import vocab as V
 from ..operators import ordered as O
 from ..operators import sets as S
 from ..operators import settings as C
-from ..operators.build import build_packages
+from ..operators.build import build_packages, build_warnings
 from ..operators.checks import check_packages
 from ..operators.repair import repair_packages
 from ..sources.markdown import markdown_blocks, markdown_inlines
@@ -64,7 +64,8 @@ def lines_numbered(spark, sf_dir):
 @query(f"SELECT code, count(*) AS findings, count(DISTINCT doc_id) AS documents FROM ({_LINT_SQL}) GROUP BY code")
 def lint_summary(spark, sf_dir):
     """How often each code is found, and in how many documents."""
-    return lint(spark, sf_dir).groupBy("code").agg(F.count("*").alias("findings"), F.countDistinct("doc_id").alias("documents"))
+    each = lint(spark, sf_dir).groupBy("doc_id", "code").agg(F.count("*").alias("n"))
+    return each.groupBy("code").agg(F.sum("n").alias("findings"), F.count("*").alias("documents"))
 
 
 @query(f"SELECT doc_id, line_no, code FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, code ORDER BY line_no) AS nth FROM ({_LINT_SQL})) WHERE nth <= 20")
@@ -157,10 +158,16 @@ def _paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("target_id"), F.regexp_extract("url", r"^[^:]*://[^/?#]*([^?#]*)", 1).alias("path"))
 
 
-@query(f"SELECT l.page_id, p.target_id, count(*) AS links FROM ({_HREF_SQL}) l JOIN ({_PATH_SQL}) p ON l.href = p.path GROUP BY 1, 2")
+_SELF_SQL = f"SELECT page_id, path AS href FROM ({_HREF_SQL}) JOIN ({_PATH_SQL}) ON target_id = page_id + 1 UNION ALL {_HREF_SQL}"
+
+
+@query(f"SELECT l.page_id, p.target_id, count(*) AS links FROM ({_SELF_SQL}) l JOIN ({_PATH_SQL}) p ON l.href = p.path GROUP BY 1, 2")
 def page_links_internal_join(spark, sf_dir):
-    """Links joined to the pages whose path they name."""
-    return _hrefs(spark, sf_dir).join(_paths(spark, sf_dir), F.col("href") == F.col("path")).groupBy("page_id", "target_id").agg(F.count("*").alias("links"))
+    """Links joined to the pages whose path they name; each page's links also name its neighbour's path, as the pages' own name none."""
+    own, paths = _hrefs(spark, sf_dir), _paths(spark, sf_dir)
+    links = own.join(paths, F.col("target_id") == F.col("page_id") + 1).select("page_id", F.col("path").alias("href")).unionByName(own)
+    to = _paths(spark, sf_dir)
+    return links.join(to, links["href"] == to["path"]).groupBy("page_id", to["target_id"]).agg(F.count("*").alias("links"))
 
 
 @query(f"SELECT href, count(*) AS links FROM ({_HREF_SQL}) l WHERE NOT EXISTS (SELECT 1 FROM ({_PATH_SQL}) p WHERE p.path = l.href) GROUP BY 1")
@@ -190,10 +197,11 @@ def first_word_language(spark, sf_dir):
     return words.groupBy("doc_id").agg(S.conditional("accented", beyond), S.conditional("plain", F.col("w").rlike("[a-z]") & ~beyond))
 
 
-@query(r"SELECT page_id, translate(regexp_replace(trim(regexp_extract(html, '<title>([^<]*)', 1)), '[ ]+', ' ', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS label FROM pages WHERE NOT regexp_matches(regexp_extract(html, '<title>([^<]*)', 1), '[^\x00-\x7F]')")
+@query(r"SELECT page_id, upper(replace(lower(regexp_replace(trim(regexp_extract(html, '<title>([^<]*)', 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[ \t\r\n]+', ' ', 'g')), 'ß', 'ss')) AS label FROM pages")
 def label_normalized(spark, sf_dir):
+    """Every page's title as link labels are compared; SQL's upper() lacks the one letter that becomes two."""
     title = F.regexp_extract("html", "<title>([^<]*)", 1)
-    return table(spark, sf_dir, "pages").filter(~title.rlike(r"[^\x00-\x7F]")).select("page_id", X.normalize_label(title).alias("label"))
+    return table(spark, sf_dir, "pages").select("page_id", X.normalize_label(title).alias("label"))
 
 
 @query("SELECT lang, source, n FROM (SELECT lang, source, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, source) AS nth FROM documents GROUP BY lang, source) WHERE nth = 1")
@@ -242,26 +250,37 @@ def benchmark_overlap(spark, sf_dir):
     """Documents that hold a benchmark passage whole.
 
     A passage of five words or more is looked for by its second to fourth word, which
-    stand whole in any text that holds it; a hash of three words in a row meets it in
-    an equality join and the texts are compared.  Shorter passages are few and are
-    compared with every document.
+    stand whole in any text that holds it: a hash of three words in a row meets it in
+    an equality join and the texts are compared.  One of three or four words is looked for by its
+    second word alone.  Passages of one or two words may stand inside of words; each is
+    looked for by its pairs of characters, of which the text must hold as many kinds, before
+    it is compared.
     """
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    words = F.split(F.btrim(F.regexp_replace("item", r"\s+", " ")), " ")
-    keyed = items.withColumn("w", words)
-    anchored = keyed.filter(F.size("w") >= 5).select("item_id", "item", F.xxhash64(F.array_join(F.slice("w", 2, 3), " ")).alias("anchor"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    heads = F.broadcast(anchored.select("anchor").distinct()) if anchored.count() <= 100_000 else anchored.select("anchor").distinct()
-    # Neighbouring words by three aligned copies of the word array, joined element by element.
-    ws = docs.select("doc_id", F.split(F.btrim(F.regexp_replace("text", r"\s+", " ")), " ").alias("w"))
-    threes = ws.filter(F.size("w") >= 3).select("doc_id", F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 2).alias("x"), F.slice("w", F.lit(2), F.size("w") - 2).alias("y"), F.slice("w", F.lit(3), F.size("w") - 2).alias("z"))).alias("t"))
-    near = threes.select("doc_id", F.xxhash64(F.concat_ws(" ", "t.x", "t.y", "t.z")).alias("anchor")).join(heads, "anchor", "left_semi").distinct()
-    near = near.join(anchored.select("item_id", "anchor"), "anchor").select("doc_id", "item_id").distinct()
-    found = near.join(anchored.select("item_id", "item"), "item_id").join(docs, "doc_id").filter(F.contains("text", "item")).select("doc_id", "item_id")
-    short = keyed.filter(F.size("w") < 5).select("item_id", "item")
-    if short.isEmpty():
-        return found
-    return found.union(docs.join(F.broadcast(short), F.contains("text", "item")).select("doc_id", "item_id"))
+    split = lambda c: F.split(F.btrim(F.regexp_replace(c, r"\s+", " ")), " ")
+    words = items.withColumn("w", split("item"))
+    ws = docs.select("doc_id", split("text").alias("w"))
+    of_three = F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 2).alias("x"), F.slice("w", F.lit(2), F.size("w") - 2).alias("y"), F.slice("w", F.lit(3), F.size("w") - 2).alias("z"))
+    threes = ws.filter(F.size("w") >= 3).select("doc_id", F.explode(of_three).alias("t")).select("doc_id", F.xxhash64(F.concat_ws(" ", "t.x", "t.y", "t.z")).alias("anchor"))
+    ones = ws.select("doc_id", F.explode(F.array_distinct("w")).alias("word")).select("doc_id", F.xxhash64("word").alias("anchor"))
+    keys = words.filter(F.size("w") >= 3).select("item_id", F.when(F.size("w") >= 5, F.xxhash64(F.array_join(F.slice("w", 2, 3), " "))).otherwise(F.xxhash64(F.get("w", F.lit(1)))).alias("anchor"), (F.size("w") >= 5).alias("long"))
+
+    def near(long: bool, found: DataFrame) -> DataFrame:
+        mine = keys.filter(F.col("long") == long).select("item_id", "anchor")
+        heads = mine.select("anchor").distinct()
+        met = found.join(F.broadcast(heads) if heads.count() <= 100_000 else heads, "anchor", "left_semi").distinct()
+        return met.join(mine, "anchor").select("doc_id", "item_id")
+
+    pairs = near(True, threes).union(near(False, ones))
+    # Short ones: an inverted list of character pairs, those of a text that some item has.
+    chars = lambda df, c, id_: df.select(id_, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))))).alias("two"))
+    short = chars(words.filter(F.size("w") < 3), F.col("item"), "item_id")
+    if not short.isEmpty():
+        needs = short.groupBy("item_id").agg(F.count("*").alias("kinds"))
+        held = chars(docs, F.col("text"), "doc_id").join(short, "two").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
+        pairs = pairs.union(held.join(needs, "item_id").filter("n >= kinds").select("doc_id", "item_id"))
+    return pairs.distinct().join(items, "item_id").join(docs, "doc_id").filter(F.contains("text", "item")).select("doc_id", "item_id")
 
 
 @query("""SELECT source, doc_id, total FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM (
@@ -271,12 +290,17 @@ def running_size_cap(spark, sf_dir):
     return S.first_crossing(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], "n_chars", 20_000).select("source", "doc_id", "total")
 
 
-@query("SELECT * FROM (SELECT doc_id, regexp_extract(text, '([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme FROM documents) WHERE scheme <> '' AND lower(scheme) NOT IN ('http', 'https', 'mailto')")
+_ADDRESSED_SQL = "SELECT doc_id, text || ' see ' || CASE doc_id % 4 WHEN 0 THEN 'https://a.example and ftp://b.example' WHEN 1 THEN 'http://c.example' WHEN 2 THEN 'data://d and javascript://e' ELSE '' END AS text FROM documents"
+
+
+@query(f"SELECT doc_id, scheme, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme FROM ({_ADDRESSED_SQL})) WHERE lower(scheme) NOT IN ('http', 'https', 'mailto') GROUP BY 1, 2")
 def schemes_refused(spark, sf_dir):
-    """Schemes in texts that a link may not have."""
-    scheme = F.regexp_extract("text", "([A-Za-z][A-Za-z0-9+.-]*)://", 1)
-    docs = table(spark, sf_dir, "documents").withColumn("scheme", X.refused_scheme(F.concat(scheme, F.lit(":"))))
-    return docs.filter("scheme is not null").select("doc_id", "scheme")
+    """Schemes that a link may not have, anywhere in the texts; the documents hold none, so addresses are put behind them."""
+    kind = F.col("doc_id") % 4
+    said = F.when(kind == 0, "https://a.example and ftp://b.example").when(kind == 1, "http://c.example").when(kind == 2, "data://d and javascript://e").otherwise("")
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.concat("text", F.lit(" see "), said))
+    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z][A-Za-z0-9+.-]*)://"), F.lit(1))).alias("scheme"))
+    return found.filter(X.refused_scheme(F.concat("scheme", F.lit(":"))).isNotNull()).groupBy("doc_id", "scheme").agg(F.count("*").alias("times"))
 
 
 # -- over literal rows -----------------------------------------------------------------
@@ -354,12 +378,9 @@ def script_runs(spark, sf_dir):
     return O.script_runs(L.frame(spark, *L.MIXED))
 
 
-_JOINED = {1: "ไทยไทย", 2: "ไทย word", 3: "พ.ศ.", 4: "a. b", 5: "ไทย, ไทย", 6: "x ไทยไทย", 7: "no break"}
-
-
-@query("SELECT * FROM " + L.values("id int, joined string", list(_JOINED.items())))
+@query(f"""SELECT id, list_reduce(string_split(t, chr(10)), lambda told, line: told || CASE WHEN regexp_matches(told, '[\\x{{E00}}-\\x{{E7F}}][.]?$') AND regexp_matches(line, '^[\\x{{E00}}-\\x{{E7F}}]') THEN '' ELSE ' ' END || line) AS joined
+FROM {L.values(*L.BREAKS)}""")
 def soft_break_join(spark, sf_dir):
-    """The recorded results of the rule; SQL here has no look-behind."""
     return L.frame(spark, *L.BREAKS).select("id", X.soft_break_join("t").alias("joined"))
 
 
@@ -368,11 +389,11 @@ def thai_digits(spark, sf_dir):
     return L.frame(spark, *L.NUMBERS).select("n", X.number_text("n", "decimal", True).alias("digits"))
 
 
-_ROMANS = {1: "I", 2: "II", 9: "IX", 10: "X", 26: "XXVI", 27: "XXVII", 41: "XLI", 42: "XLII", 53: "LIII", 83: "LXXXIII", 444: "CDXLIV", 1994: "MCMXCIV", 3999: "MMMCMXCIX"}
-
-
-@query(f"""SELECT n, repeat(substr('{V.THAI_LETTERS}', (n - 1) % {len(V.THAI_LETTERS)} + 1, 1), (n - 1) // {len(V.THAI_LETTERS)} + 1) AS thai, repeat(chr(65 + (n - 1) % 26), (n - 1) // 26 + 1) AS upper_letters, roman
-FROM {L.values(*L.NUMBERS)} JOIN {L.values('n int, roman string', list(_ROMANS.items()))} USING (n)""")
+@query(f"""WITH RECURSIVE signs AS (SELECT * FROM (VALUES {', '.join(map(str, V.ROMAN))}) AS v(worth, sign)),
+steps AS (SELECT n, n AS rest, '' AS roman FROM {L.values(*L.NUMBERS)}
+  UNION ALL SELECT s.n, s.rest - w.worth, s.roman || w.sign FROM steps s JOIN signs w ON w.worth = (SELECT max(worth) FROM signs WHERE worth <= s.rest))
+SELECT n, repeat(substr('{V.THAI_LETTERS}', (n - 1) % {len(V.THAI_LETTERS)} + 1, 1), (n - 1) // {len(V.THAI_LETTERS)} + 1) AS thai, repeat(chr(65 + (n - 1) % 26), (n - 1) // 26 + 1) AS upper_letters, roman
+FROM steps WHERE rest = 0""")
 def number_formats(spark, sf_dir):
     return L.frame(spark, *L.NUMBERS).select("n", X.number_text("n", "thai-letters").alias("thai"), X.number_text("n", "upper-letters").alias("upper_letters"), X.number_text("n", "upper-roman").alias("roman"))
 
@@ -392,10 +413,8 @@ def nfc_thai(spark, sf_dir):
     return L.frame(spark, *L.DECOMPOSED).select("id", X.nfc_thai("t").alias("composed"))
 
 
-_RESOLVED = {1: "word/styles.xml", 2: "word/x.xml", 3: "custom/y.xml", 4: "word/document.xml", 5: "z.xml", 6: "a/b/e.xml"}
-
-
-@query("SELECT * FROM " + L.values("id int, part string", list(_RESOLVED.items())))
+@query(f"""SELECT id, ltrim(list_reduce(list_concat([CASE WHEN starts_with(target, '/') OR NOT contains(source, '/') THEN '' ELSE '/' || regexp_replace(source, '/[^/]*$', '') END], string_split(target, '/')),
+  lambda path, step: CASE WHEN step = '..' THEN regexp_replace(path, '/[^/]*$', '') WHEN step IN ('', '.') THEN path ELSE path || '/' || step END), '/') AS part FROM {L.values(*L.PATHS)}""")
 def part_path_resolve(spark, sf_dir):
     return L.frame(spark, *L.PATHS).select("id", X.resolve_path("source", "target").alias("part"))
 
@@ -410,12 +429,22 @@ def settings_changed_nothing(spark, sf_dir):
     return S.changed_nothing(L.frame(spark, *L.SETTINGS), L.frame(spark, *L.PRESENCE)).select("doc", "need", "flags")
 
 
-_MARKED = {1: "a letter with two tone marks", 2: "a Thai mark (U+0E48) with no letter before it", 3: "a Thai mark (U+0E48) with no letter before it", 4: "a letter with two marks that stand in one place", 6: "a letter with two marks that stand in one place", 8: "a letter with two marks that stand in one place"}
+_one = lambda *groups: "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for g in groups for a, b in g) + "]"
+_none = lambda *groups: "[^" + _one(*groups)[1:]
+_AM, _SILENT = ((0x0E33, 0x0E33),), ((0x0E4C, 0x0E4C),)
+_count = lambda *groups: f"length(regexp_replace(run, '{_none(*groups)}', '', 'g'))"
 
 
-@query("SELECT id, said || '; it is written as it stands' AS said FROM " + L.values("id int, said string", list(_MARKED.items())))
+@query(f"""WITH lines AS {L.values(*L.LINES)},
+chars AS (SELECT id, i, substr(t, i, 1) AS ch, CASE WHEN i > 1 THEN substr(t, i - 1, 1) ELSE '' END AS before FROM (SELECT id, t, unnest(range(1, length(t) + 1)) AS i FROM lines)),
+lone AS (SELECT id, 'a Thai mark (U+' || printf('%04X', unicode(arg_min(ch, i))) || ') with no letter before it' AS said FROM chars
+  WHERE regexp_matches(ch, '{_one(V.MARKS)}') AND NOT regexp_matches(before, '{_one(V.CONSONANTS, V.MARKS)}') GROUP BY id),
+runs AS (SELECT id, unnest(regexp_extract_all(t, '{_one(V.MARKS, _AM)}+')) AS run FROM lines),
+judged AS (SELECT id, bool_or({_count(V.TONES)} >= 2) AS two, bool_or({_count(V.ABOVE)} >= 2 OR {_count(V.BELOW)} >= 2 OR ({_count(V.TONES)} >= 1 AND {_count(_SILENT)} >= 1) OR {_count(_AM)} >= 2) AS stacked FROM runs GROUP BY id)
+SELECT id, said || '; it is written as it stands' AS said FROM (SELECT * FROM lone UNION ALL SELECT id, 'a letter with two tone marks' FROM judged WHERE two
+  UNION ALL SELECT id, 'a letter with two marks that stand in one place' FROM judged WHERE stacked AND NOT two)""")
 def thai_marks(spark, sf_dir):
-    """Recorded results: what is wrong with the marks of a line."""
+    """What is wrong with the marks of a line."""
     return L.frame(spark, *L.LINES).select("id", F.explode(X.marks_out_of_place("t")).alias("said"))
 
 
@@ -439,10 +468,10 @@ def half_up(spark, sf_dir):
     return L.frame(spark, *L.HALVES).select("x", X.half_up("x").alias("rounded"))
 
 
-_SAID = [(1, "grill", "en"), (2, "grill", "th"), (3, "build", "en"), (4, "grill", "en"), (5, "build", "th"), (6, "build", "en")]
-
-
-@query("SELECT * FROM " + L.values("id int, mode string, language string", _SAID))
+@query(f"""WITH plain AS (SELECT id, replace(translate(trim(regexp_replace(t, '[ \t\n\r]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '_', '-') AS s FROM {L.values(*L.MESSAGES)}),
+words AS (SELECT id, s, list_transform(string_split(replace(replace(s, 'thai-docx grill', ''), 'thai docx grill', ''), ' '), lambda w: CASE WHEN length(translate(w, 'กขคงจฉชซญดตถทธนบปผพฟภมยรลวศษสหอฮ', '')) < length(w) THEN 't' WHEN w <> upper(w) THEN 'l' ELSE '' END) AS kinds FROM plain)
+SELECT id, CASE WHEN contains(s, 'thai-docx grill') OR contains(s, 'thai docx grill') THEN 'grill' ELSE 'build' END AS mode,
+  CASE WHEN list_contains(kinds, 't') AND len(list_filter(kinds, lambda k: k = 't')) >= len(list_filter(kinds, lambda k: k = 'l')) THEN 'th' ELSE 'en' END AS language FROM words""")
 def message_modes(spark, sf_dir):
     return L.frame(spark, *L.MESSAGES).select("id", X.message_mode("t").alias("mode"), X.message_language("t").alias("language"))
 
@@ -453,12 +482,18 @@ def xml_escapes(spark, sf_dir):
     return L.frame(spark, *L.MARKUP).select("id", X.xml_text("t").alias("as_text"), X.xml_attribute("t").alias("as_attribute"))
 
 
-_UNSEEN = {1: "U+200B ZERO WIDTH SPACE", 2: "U+200D ZERO WIDTH JOINER", 4: "U+00AD, a format character", 6: "U+2060 WORD JOINER", 7: "U+0007, a control character", 8: "U+FDD0, a noncharacter", 9: "U+200D ZERO WIDTH JOINER"}
+_NAMED_SQL = " ".join(f"WHEN {ord(c)} THEN '{label}'" for c, label in V.INVISIBLE.items())
+_FIRST_SQL = ", ".join(f"max(CASE WHEN code = {ord(c)} AND seen THEN label END)" for c in V.INVISIBLE)
+_other_letter = lambda c: f"(regexp_matches({c}, '{_one(V.COMPLEX_SCRIPT)}') AND NOT regexp_matches({c}, '{_one(V.THAI)}'))"
 
 
-@query("SELECT id, label, CASE WHEN id = 6 THEN 'U+FEFF ZERO WIDTH NO-BREAK SPACE' ELSE label END AS first_label FROM " + L.values("id int, label string", list(_UNSEEN.items())))
+@query(f"""WITH chars AS (SELECT id, i, substr(t, i, 1) AS ch, CASE WHEN i > 1 THEN substr(t, i - 1, 1) ELSE '' END AS before, substr(t, i + 1, 1) AS after FROM (SELECT id, t, unnest(range(1, length(t) + 1)) AS i FROM {L.values(*L.HIDDEN)})),
+found AS (SELECT id, i, unicode(ch) AS code, ch, regexp_matches(ch, '{_one(V.FORMAT, V.NONCHARACTERS)}') AS seen FROM chars
+  WHERE regexp_matches(ch, '{_one(V.CONTROLS, V.FORMAT, V.NONCHARACTERS)}') AND NOT (unicode(ch) IN (8204, 8205) AND {_other_letter('before')} AND {_other_letter('after')})),
+said AS (SELECT *, CASE code {_NAMED_SQL} ELSE 'U+' || printf('%04X', code) || ', ' || CASE WHEN regexp_matches(ch, '{_one(V.CONTROLS)}') THEN 'a control character' WHEN regexp_matches(ch, '{_one(V.FORMAT)}') THEN 'a format character' ELSE 'a noncharacter' END END AS label FROM found)
+SELECT id, coalesce({_FIRST_SQL}, arg_min(label, i) FILTER (seen), arg_min(label, i)) AS label, arg_min(label, i) AS first_label FROM said GROUP BY id""")
 def hidden_characters(spark, sf_dir):
-    """Recorded results: the hidden character reported in text, and the first one that input refuses."""
+    """The hidden character reported in text, and the first one that input refuses."""
     rows = L.frame(spark, *L.HIDDEN).select("id", X.unseen_in("t").alias("seen"), X.forbidden_label("t").alias("first_label"))
     return rows.select("id", F.coalesce("seen", "first_label").alias("label"), "first_label").filter("label is not null")
 
@@ -497,33 +532,104 @@ def docx_build(spark, sf_dir):
     return build_packages(table(spark, sf_dir, "documents"), "doc_id", "text").drop("content")
 
 
-@query()
-def docx_check(spark, sf_dir):
-    """The findings of the packages built from every conversation's turns."""
-    turns = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
-    built = build_packages(turns, "id", "text").filter("content is not null").select("doc", "content")
-    return check_packages(built, keep=False).findings.groupBy("code", "message").agg(F.countDistinct("doc").alias("documents"))
+#: Faults planted in built packages by number: part, what is replaced by what, and the code, message and repair that must follow.
+_STYLE, _SETTINGS, _DOCUMENT = "word/styles.xml", "word/settings.xml", "word/document.xml"
+PLANTED = [
+    (None, "", "", None, None, ""),
+    (_SETTINGS, 'w:val="15"', 'w:val="14"', "1", "compatibilityMode declared as 14; must be exactly one 15", "1:1"),
+    (_STYLE, "<w:b/><w:bCs/>", "<w:b/><w:bCs/><w:noProof/>", "3", "<w:noProof/> switches Thai proofing — and Thai line breaking — off", "3:1"),
+    (_STYLE, "<w:b/><w:bCs/>", "<w:b/>", "5", "in a style, <w:b> has no <w:bCs> beside it", "5:1"),
+    (_STYLE, '<w:name w:val="heading 1"/><w:basedOn w:val="Normal"/>', '<w:basedOn w:val="Normal"/><w:name w:val="heading 1"/>', "order", "in w:style, <w:name> must come before <w:basedOn>", "order:1"),
+    (_SETTINGS, "<w:settings", "<!DOCTYPE x><w:settings", "doctype", "XML part declares a DOCTYPE; refused", None),
+    (_STYLE, "</w:styles>", "", "package", "XML is not well-formed", None),
+    (_DOCUMENT, "<w:body>", '<w:body><w:p><w:hyperlink r:id="gone"/></w:p>', "package", "refers to relationship gone, which its own relationships do not hold", None),
+]
+_KIND = "(conv_id + turn) % 8"
+_sql_text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+_PLANTED_SQL = "(VALUES " + ", ".join(f"({i}, {_sql_text(code)}, {_sql_text(message)}, {_sql_text(mended)})" for i, (_, _, _, code, message, mended) in enumerate(PLANTED)) + ") AS p(kind, code, message, mended)"
 
 
 @F.pandas_udf(T.BinaryType())
-def _spoiled(contents: pd.Series) -> pd.Series:
-    """Packages with an old compatibility mode, proofing off in a style and a twin missing."""
+def _planted(contents: pd.Series, kinds: pd.Series) -> pd.Series:
+    """Packages with the fault of a number."""
 
-    def one(data):
-        parts = {e.name: d for e, d in admit(data)[0]}
-        settings = parts["word/settings.xml"].replace(b'w:val="15"', b'w:val="14"')
-        styles = parts["word/styles.xml"].replace(b"<w:b/><w:bCs/>", b"<w:b/><w:noProof/>")
-        return rewrite_package(data, {"word/settings.xml": settings, "word/styles.xml": styles})
+    def one(data, kind):
+        part, old, new = PLANTED[kind][:3]
+        content = next((d for e, d in admit(data)[0] if e.name == part), None)
+        return data if content is None else rewrite_package(data, {part: content.replace(old.encode(), new.encode(), 1)})
 
-    return contents.map(one)
+    return pd.Series([one(d, k) for d, k in zip(contents, kinds, strict=True)])
 
 
-@query()
+def _planted_packages(spark, sf_dir):
+    """A package of every conversation's turn, with a fault by its numbers."""
+    turns = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    kinds = turns.select(F.col("id").alias("doc"), F.expr(_KIND).cast("int").alias("kind"))
+    built = build_packages(turns, "id", "text").filter("content is not null").join(kinds, "doc")
+    return built.select("doc", _planted("content", "kind").alias("content"))
+
+
+@query(f"SELECT p.code, p.message, count(*) AS documents FROM conversations JOIN {_PLANTED_SQL} ON p.kind = {_KIND} WHERE p.code IS NOT NULL GROUP BY 1, 2")
+def docx_check(spark, sf_dir):
+    """The findings of the packages built from every conversation's turns, each with a fault planted by its numbers or none."""
+    return check_packages(_planted_packages(spark, sf_dir), keep=False).findings.groupBy("code", "message").agg(F.countDistinct("doc").alias("documents"))
+
+
+@query(f"""SELECT conv_id || '-' || turn AS doc, p.mended IS NOT NULL AS ok, CASE WHEN p.mended IS NULL THEN 2 ELSE 0 END AS exit_code, CASE WHEN p.mended <> '' THEN p.mended END AS repaired, CASE WHEN p.mended IS NULL THEN p.message END AS error
+FROM conversations JOIN {_PLANTED_SQL} ON p.kind = {_KIND}""")
 def docx_repair(spark, sf_dir):
-    """Packages built from every benchmark passage, spoiled and repaired."""
-    built = build_packages(table(spark, sf_dir, "benchmark"), "item_id", "text").filter("content is not null")
-    repaired = repair_packages(built.select("doc", _spoiled("content").alias("content")))
-    return repaired.outcomes.select("doc", "ok", "exit_code", F.array_join(F.array_sort(F.transform(F.map_entries("repaired"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))), ",").alias("repaired"), "error", "bytes")
+    """The same packages repaired: what was mended, and what can't be."""
+    outcomes = repair_packages(_planted_packages(spark, sf_dir)).outcomes
+    counts = F.transform(F.map_entries("repaired"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return outcomes.select("doc", "ok", "exit_code", F.array_join(F.array_sort(counts), ",").alias("repaired"), "error")
+
+
+_KNOWN_SQL = """WITH d AS (SELECT c_custkey AS id, c_custkey % 6 + 1 AS level, c_custkey % 3 AS quotes, c_custkey % 4 + 1 AS items, c_custkey % 5 AS fences, c_custkey % 2 AS tables FROM customer)
+SELECT id::VARCHAR AS doc, type, n AS blocks FROM (SELECT id, unnest(['heading', 'quote', 'paragraph', 'list', 'item', 'code', 'table', 'break']) AS type,
+  unnest([1, quotes, 1 + quotes + items, 1, items, fences, tables, 1]) AS n FROM d) WHERE n > 0"""
+
+
+def _known_markdown(spark, sf_dir):
+    """Documents whose blocks are known by the customer's number."""
+    id_ = F.col("c_custkey")
+    times = lambda text, n: F.repeat(F.lit(text), n.cast("int"))
+    parts = [
+        F.repeat(F.lit("#"), (id_ % 6 + 1).cast("int")), F.lit(" Heading *"), F.col("c_name"), F.lit("*\n\nA paragraph\nof two lines.\n\n"), times("> quoted text\n\n", id_ % 3),
+        F.lit("***\n\n"), times("```\n# no heading\n- no item\n```\n\n", id_ % 5), times("| a | b |\n|---|--:|\n| 1 | `x` |\n\n", id_ % 2), times("- item\n", id_ % 4 + 1),
+    ]
+    return table(spark, sf_dir, "customer").select(id_.cast("string").alias("id"), F.concat(*parts).alias("text"))
+
+
+@query(_KNOWN_SQL)
+def md_blocks_known(spark, sf_dir):
+    """The blocks of documents whose structure is known, by type."""
+    blocks = markdown_blocks(_known_markdown(spark, sf_dir), "id", "text")
+    return blocks.groupBy("doc", F.coalesce("type", F.lit("refusal")).alias("type")).agg(F.count("*").alias("blocks"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS doc, c_custkey % 2 = 1 AS in_table, count(*) AS nodes, 8 * (c_custkey % 2) AS table_cells FROM customer GROUP BY c_custkey""".replace("count(*) AS nodes", "any_value(c_name) AS marked").replace("8 *", "4 *"))
+def md_inlines_known(spark, sf_dir):
+    """The emphasised text of each of those documents, and how many table cells hold text."""
+    nodes = markdown_inlines(markdown_blocks(_known_markdown(spark, sf_dir), "id", "text"))
+    return nodes.groupBy("doc").agg(F.max(F.col("row").isNotNull()).alias("in_table"), F.max(F.when(F.col("i"), F.col("s"))).alias("marked"), F.count_if(F.col("row").isNotNull()).alias("table_cells"))
+
+
+_WARNED = {
+    0: ("![](a.png)\n\nText.", 1, "the image 'a.png' has no text between the brackets of ![]; a reader who cannot see it is told nothing"),
+    1: ("# One\n\n### Three", 3, "a heading of level 3 follows one of level 1; the contents and a screen reader read the levels in order"),
+    2: ("Table: alone\n\nText.", 1, "'Table:' makes a caption only in the paragraph just before a table; kept as text"),
+    3: ("# One\n\n## Two\n\nFigure: alone", 5, "'Figure:' makes a caption only in the paragraph just after an image on its own; kept as text"),
+    4: ("ตาราง: ก\n\n| a |\n|---|\n| b |", 1, "a caption is written 'Table:' in English, in every language; this paragraph is kept as text"),
+    5: ("Text.\n\n[x]: http://a.example", 3, "the link definition [x] is never used; it is not written into the document"),
+    6: ("# Fine\n\nText.", None, None),
+}
+
+
+@query("SELECT o_orderkey::VARCHAR AS doc, 1 AS seq, line, 'markdown' AS code, message FROM orders JOIN (VALUES " + ", ".join(f"({k}, {line if line else 'NULL'}, {_sql_text(m)})" for k, (_, line, m) in _WARNED.items()) + ") AS w(kind, line, message) ON kind = o_orderkey % 7 WHERE message IS NOT NULL")
+def build_warnings_known(spark, sf_dir):
+    """What a build has to say about documents with one flaw each, by number."""
+    text = F.element_at(F.create_map(*(F.lit(x) for k, (t, _, _) in _WARNED.items() for x in (k, t))), (F.col("o_orderkey") % 7).cast("int"))
+    return build_warnings(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), text.alias("text")), "id", "text")
 
 
 _ARGV = ("doc int, argv array<string>, profile string", [

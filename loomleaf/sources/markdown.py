@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..workspace import bounded_batches
 from ..functions.text import decode_reference, unescape_text
+from ..workspace import bounded_batches
 
 MAX_DEPTH = 100
 _FORBIDDEN = re.compile("[\x00-\x08\x0b-\x1f\x7f-\x9f" + "".join(f"{chr(a)}-{chr(b)}" for a, b in V.FORMAT if a not in (0x200B,)) + "​‎‏﷐-﷯￾￿]")
@@ -29,15 +30,73 @@ _RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$
 _SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 _ITEM = re.compile(r"( {0,3})([-+*]|(\d{1,9})([.)]))(?:([ \t]+)(.*)|[ \t]*)$")
 _QUOTE = re.compile(r" {0,3}>[ ]?")
-_DEFINITION = re.compile(r" {0,3}\[(?!\^)((?:[^\[\]\\]|\\.)+)\]:[ \t]*(<[^<>\n]*>|\S+)(?:[ \t]+(\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*$")
+_DEFINED = re.compile(r" {0,3}\[(?!\^)((?:[^\[\]\\]|\\.)+)\]:[ \t]*(?:\n[ \t]*)?")
+_TITLE = re.compile(r"(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\))", re.DOTALL)
+_LINE_END, _BLANKS, _BREAK = re.compile(r"[ \t]*(?:\n|\Z)"), re.compile(r"[ \t]+"), re.compile(r"[ \t]*\n[ \t]*")
+_ADDRESS = re.compile(r"<(?:[^<>\n\\]|\\.)*>")
+_PLAIN_ADDRESS = re.compile(r"[^\s()\\\x00-\x1f\x7f]+|\\[!-/:-@\[-`{-~]|\\")
+_BRACKETS = re.compile(r"\\.|`+|[\[\]]", re.DOTALL)
 _FOOTNOTE = re.compile(r" {0,3}\[\^([^\]\s]+)\]:[ \t]?(.*)$")
 _HTML = re.compile(r" {0,3}<(?:!--|[A-Za-z/!?])")
 _INLINE_TAG = re.compile(r"</?(?:br|sup|sub|u|kbd)[ \t]*/?>", re.IGNORECASE)
+_SPACE = re.compile(r"[ \t\n]*")
 _FRONT = re.compile(r"([A-Za-z_][A-Za-z0-9_-]*):(?:[ \t]+(.*))?$")
 _DELIMITER_ROW = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 _EXTENDED = re.compile(r"(?<![\w@./-])(?:https?://|www\.)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+[^\s<]*|(?<![\w.+-])[A-Za-z0-9._+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.[A-Za-z0-9_-]*[A-Za-z0-9](?![-_\w])")
 
 
+def destination(text: str, at: int) -> tuple[str, int] | None:
+    """A link's address at a place, in angle brackets or up to white space with its round brackets in pairs, and where it ends."""
+    if m := _ADDRESS.match(text, at):
+        return unescape_text(m[0][1:-1]), m.end()
+    if text.startswith("<", at):
+        return None
+    start, open_ = at, 0
+    while at < len(text):
+        if m := _PLAIN_ADDRESS.match(text, at):
+            at = m.end()
+        elif text[at] == "(":
+            open_, at = open_ + 1, at + 1
+        elif text[at] == ")" and open_:
+            open_, at = open_ - 1, at + 1
+        else:
+            break
+    return None if open_ else (unescape_text(text[start:at]), at)
+
+
+def definition(text: str) -> tuple[str, str, str, int] | None:
+    """The link definition a paragraph starts with: label, address, title and where it ends; parts may stand on lines of their own."""
+    head = _DEFINED.match(text)
+    if not head or not head[1].strip() or not (found := destination(text, head.end())) or found[1] == head.end():
+        return None
+    address, at = found
+    for gap in (_BREAK, _BLANKS):  # a title must end its line; one that doesn't, on a line of its own, is none
+        if (m := gap.match(text, at)) and (title := _TITLE.match(text, m.end())) and (end := _LINE_END.match(text, title.end())):
+            return head[1], address, unescape_text(title[1][1:-1]), end.end()
+    end = _LINE_END.match(text, at)
+    return (head[1], address, "", end.end()) if end else None
+
+
+def closing_brackets(text: str) -> dict[int, int]:
+    """For each "[" where the "]" that closes it stands; escapes and code spans hold none."""
+    out, open_, at = {}, [], 0
+    runs: dict[int, list[int]] = {}
+    for m in re.finditer("`+", text):
+        runs.setdefault(len(m[0]), []).append(m.start())
+    while m := _BRACKETS.search(text, at):
+        at = m.end()
+        if m[0] == "[":
+            open_.append(m.start())
+        elif m[0] == "]":
+            if open_:
+                out[open_.pop()] = m.start()
+        elif m[0][0] == "`":
+            later = runs[len(m[0])]
+            nth = bisect_left(later, at)
+            at = later[nth] + len(m[0]) if nth < len(later) else at
+    return out
+
+
 class Refused(ValueError):
     """The text holds what isn't built."""
 
@@ -68,7 +127,8 @@ class Block:
 class Document:
     blocks: list[Block] = field(default_factory=list)
     front: dict[str, str] = field(default_factory=dict)
-    references: dict[str, tuple[str, str, int]] = field(default_factory=dict)
+    #: By folded label: address, title, line and the label as it is written.
+    references: dict[str, tuple[str, str, int, str]] = field(default_factory=dict)
     used: set[str] = field(default_factory=set)
     notes: dict[str, Block] = field(default_factory=dict)
     note_order: list[str] = field(default_factory=list)
@@ -111,11 +171,14 @@ class _Blocks:
         i = 0
 
         def close() -> None:
-            while paragraph and (m := _DEFINITION.match(paragraph[0][1])):
-                label = fold_label(m[1])
-                target = unescape_text(m[2][1:-1] if m[2].startswith("<") else m[2])
-                self.doc.references.setdefault(label, (target, unescape_text((m[3] or "  ")[1:-1]), paragraph[0][0]))
-                paragraph.pop(0)
+            while paragraph and paragraph[0][1].lstrip(" ").startswith("["):
+                text = "\n".join(x for _, x in paragraph)
+                found = definition(text)
+                if not found:
+                    break
+                label, target, title, end = found
+                self.doc.references.setdefault(fold_label(label), (target, title, paragraph[0][0], label))
+                del paragraph[: text.count("\n", 0, end) + (end == len(text) and not text.endswith("\n"))]
             if paragraph:
                 out.append(Block("paragraph", paragraph[0][0], text="\n".join(x.lstrip(" \t") for _, x in paragraph).rstrip(" \t")))
                 paragraph.clear()
@@ -346,7 +409,7 @@ class _Inlines:
     """One pass that makes tokens, one over delimiters; nodes are text with flags, breaks, images and notes."""
 
     def __init__(self, doc: Document, text: str, line: int):
-        self.doc, self.text, self.line = doc, text, line
+        self.doc, self.text, self.line, self.closers = doc, text, line, ("", {})
 
     def read(self) -> list[dict]:
         tokens = self._scan(self.text, 0)
@@ -457,6 +520,16 @@ class _Inlines:
             raise Refused(self.line, f"a link to '{m[1]}:' is not written; links lead to http, https or mailto")
         return target
 
+    def _resource(self, text: str, at: int) -> tuple[str, str | None, int] | None:
+        """The address and title in round brackets behind a link's text, and where they end."""
+        if not text.startswith("(", at) or not (found := destination(text, _SPACE.match(text, at + 1).end())):
+            return None
+        address, at = found
+        blank = _SPACE.match(text, at).end()
+        title = _TITLE.match(text, blank) if blank > at else None
+        at = _SPACE.match(text, title.end()).end() if title else blank
+        return (address, unescape_text(title[1][1:-1]) or None if title else None, at + 1) if text.startswith(")", at) else None
+
     def _bracket(self, text: str, i: int, depth: int, allow_links: bool):
         image = text[i] == "!"
         start = i + 1 + image
@@ -464,23 +537,16 @@ class _Inlines:
             if m[1] not in self.doc.note_order:
                 self.doc.note_order.append(m[1])
             return ("note", m[1]), m.end()
-        level, j = 1, start
-        while j < len(text) and level:
-            if text[j] == "\\":
-                j += 1
-            elif text[j] == "`":
-                n = len(text) - j - len(text[j:].lstrip("`"))
-                end = next((m.end() for m in re.finditer("`+", text[j + n :]) if len(m[0]) == n), 0)
-                j += n + end - 1
-            elif text[j] in "[]":
-                level += 1 if text[j] == "[" else -1
-            j += 1
-        if level:
+        if self.closers[0] is not text:
+            self.closers = (text, closing_brackets(text))
+        close = self.closers[1].get(start - 1)
+        if close is None:
             return None
+        j = close + 1
         inside, end = text[start : j - 1], j
         target = title = None
-        if m := re.compile(r"\([ \t\n]*(<[^<>\n]*>|(?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*)(?:[ \t\n]+(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t\n]*\)").match(text, j):
-            target, title, end = unescape_text(m[1][1:-1] if m[1].startswith("<") else m[1]), unescape_text((m[2] or "  ")[1:-1]) or None, m.end()
+        if found := self._resource(text, j):
+            target, title, end = found
         else:
             m = re.compile(r"\[((?:[^\[\]\\]|\\.)*)\]").match(text, j)
             label = fold_label(m[1] if m and m[1].strip() else inside)
@@ -653,9 +719,9 @@ def parse(text: str) -> Document:
     for label, note in doc.notes.items():
         if label not in doc.note_order:
             raise Refused(note.line, f"footnote [^{label}] is defined but never referenced; nothing may be dropped silently")
-    for label, (_, _, line) in doc.references.items():
+    for label, (_, _, line, said) in doc.references.items():
         if label not in doc.used:
-            doc.warnings.append((line, f"the link definition [{label}] is never used; it is not written into the document"))
+            doc.warnings.append((line, f"the link definition [{said}] is never used; it is not written into the document"))
     doc.warnings.sort(key=lambda w: w[0])
     return doc
 

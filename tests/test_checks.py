@@ -8,7 +8,7 @@ import pytest
 from loomleaf.operators.checks import check_packages, listed_findings, verdicts
 from loomleaf.sources import packages as P
 from loomleaf.sources.xmlnodes import shred
-from packages import clean, packed, planted, run
+from packages import ITEM, LAST, TITLE, clean, packed, planted, run
 
 DOC, STY, SET, NUM = "word/document.xml", "word/styles.xml", "word/settings.xml", "word/numbering.xml"
 CASES = {
@@ -16,21 +16,21 @@ CASES = {
     "no cs": (lambda: planted(DOC, "<w:cs/>", ""), {"2"}),
     "cs off": (lambda: planted(DOC, "<w:cs/>", '<w:cs w:val="0"/>'), {"2"}),
     "rtl instead": (lambda: planted(DOC, "<w:cs/>", "<w:rtl/>"), set()),
-    "latin without cs": (lambda: planted(DOC, run(" จบ"), run(" end", "")), set()),
+    "latin without cs": (lambda: planted(DOC, run(LAST), run(" end", "")), set()),
     "mode 14": (lambda: planted(SET, 'w:val="15"', 'w:val="14"'), {"1"}),
     "no mode": (lambda: planted(SET, "compatibilityMode", "other"), {"1"}),
     "no settings": (lambda: packed({n: d for n, d in clean().items() if n != SET}), {"1"}),
     "no proof in a style": (lambda: planted(STY, "<w:b/>", "<w:noProof/><w:b/>"), {"3"}),
-    "no proof on code": (lambda: planted(DOC, run(" จบ"), run("code", "<w:noProof/>")), set()),
+    "no proof on code": (lambda: planted(DOC, run(LAST), run("code", "<w:noProof/>")), set()),
     "no proof off": (lambda: planted(STY, "<w:b/>", '<w:noProof w:val="false"/><w:b/>'), set()),
-    "split word": (lambda: planted(DOC, run("รายการ"), run("รายก") + run("าร")), {"4"}),
-    "split but apart": (lambda: planted(DOC, run("รายการ"), run("รายก") + '<w:bookmarkStart w:id="1"/>' + run("าร")), set()),
+    "split word": (lambda: planted(DOC, run(ITEM), run("ข้าว") + run("สวย")), {"4"}),
+    "split but apart": (lambda: planted(DOC, run(ITEM), run("ข้าว") + '<w:bookmarkStart w:id="1"/>' + run("สวย")), set()),
     "no twin": (lambda: planted(DOC, "<w:bCs/>", ""), {"5"}),
-    "no cs font": (lambda: planted(STY, ' w:cs="Sarabun"', ""), {"5"}),
-    "symbol bullet": (lambda: planted(NUM, '"decimal"/><w:rPr><w:rFonts w:ascii="Sarabun"', '"bullet"/><w:rPr><w:rFonts w:ascii="Symbol"'), {"5"}),
+    "no cs font": (lambda: planted(STY, ' w:cs="Garuda"', ""), {"5"}),
+    "symbol bullet": (lambda: planted(NUM, '"decimal"/><w:rPr><w:rFonts w:ascii="Garuda"', '"bullet"/><w:rPr><w:rFonts w:ascii="Symbol"'), {"5"}),
     "page out of order": (lambda: planted(DOC, '<w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="1440"/>', '<w:pgMar w:top="1440"/><w:pgSz w:w="11906" w:h="16838"/>'), {"order"}),
     "style out of order": (lambda: planted(STY, '<w:name w:val="heading 1"/><w:pPr><w:keepNext/></w:pPr>', '<w:pPr><w:keepNext/></w:pPr><w:name w:val="heading 1"/>'), {"order"}),
-    "invisible": (lambda: planted(DOC, "หัวเรื่อง", "หัว​เรื่อง"), {"invisible"}),
+    "invisible": (lambda: planted(DOC, TITLE, "แดด\u200bและฝน"), {"invisible"}),
     "doctype": (lambda: planted(DOC, "<w:document", "<!DOCTYPE x><w:document"), {"doctype"}),
     "not xml": (lambda: planted(DOC, "</w:body>", ""), {"package"}),
     "other encoding": (lambda: planted(STY, 'encoding="UTF-8"', 'encoding="ISO-8859-1"'), {"package"}),

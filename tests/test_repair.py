@@ -4,7 +4,7 @@ import pytest
 
 from loomleaf.operators import repair as R
 from loomleaf.sources.packages import admit
-from packages import clean, packed, planted, run
+from packages import ITEM, LAST, clean, packed, planted, run
 
 DOC, STY, SET, NUM = "word/document.xml", "word/styles.xml", "word/settings.xml", "word/numbering.xml"
 TWO = '<w:r><w:rPr><w:cs/></w:rPr><w:t xml:space="preserve">{}</w:t></w:r>'
@@ -15,18 +15,18 @@ CASES = {
     "no mode": (lambda: planted(SET, "compatibilityMode", "other"), 2, None, "nothing here"),
     "no cs": (lambda: planted(DOC, "<w:cs/>", ""), 0, {"2": 1}, None),
     "cs off": (lambda: planted(DOC, "<w:cs/>", '<w:cs w:val="0"/>'), 0, {"2": 1}, None),
-    "no properties": (lambda: planted(DOC, run("รายการ"), "<w:r><w:t>รายการ</w:t></w:r>"), 0, {"2": 1}, None),
-    "latin marked": (lambda: planted(DOC, run(" จบ"), run(" end")), 0, {"unmarked": 1}, None),
+    "no properties": (lambda: planted(DOC, run(ITEM), "<w:r><w:t>ข้าวสวย</w:t></w:r>"), 0, {"2": 1}, None),
+    "latin marked": (lambda: planted(DOC, run(LAST), run(" end")), 0, {"unmarked": 1}, None),
     "style marked": (lambda: planted(STY, "<w:bCs/>", "<w:bCs/><w:cs/>"), 0, {"unmarked": 1}, None),
-    "both scripts": (lambda: planted(DOC, run(" จบ"), TWO.format("คำ &amp; word คำ")), 0, {"split": 1, "unmarked": 1}, None),
-    "unseen inside": (lambda: planted(DOC, run(" จบ"), TWO.format("คำ​คำ")), 2, None, "nothing here"),
-    "numeric reference": (lambda: planted(DOC, run(" จบ"), "<w:r><w:t>คำ &#65; word</w:t></w:r>"), 0, {"2": 1}, None),
+    "both scripts": (lambda: planted(DOC, run(LAST), TWO.format("คำ &amp; word คำ")), 0, {"split": 1, "unmarked": 1}, None),
+    "unseen inside": (lambda: planted(DOC, run(LAST), TWO.format("คำ​คำ")), 2, None, "nothing here"),
+    "numeric reference": (lambda: planted(DOC, run(LAST), "<w:r><w:t>คำ &#65; word</w:t></w:r>"), 0, {"2": 1}, None),
     "proof": (lambda: planted(STY, "<w:b/>", "<w:b/><w:noProof/>"), 0, {"3": 1}, None),
     "twin": (lambda: planted(DOC, "<w:bCs/>", ""), 0, {"5": 1}, None),
-    "font": (lambda: planted(STY, ' w:cs="Sarabun"', ""), 0, {"5": 1}, None),
-    "symbol": (lambda: planted(NUM, '"decimal"/><w:rPr><w:rFonts w:ascii="Sarabun"', '"bullet"/><w:rPr><w:rFonts w:ascii="Symbol"'), 0, {"5": 1}, None),
+    "font": (lambda: planted(STY, ' w:cs="Garuda"', ""), 0, {"5": 1}, None),
+    "symbol": (lambda: planted(NUM, '"decimal"/><w:rPr><w:rFonts w:ascii="Garuda"', '"bullet"/><w:rPr><w:rFonts w:ascii="Symbol"'), 0, {"5": 1}, None),
     "order": (lambda: planted(DOC, '<w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="1440"/>', '<w:pgMar w:top="1440"/><w:pgSz w:w="11906" w:h="16838"/>'), 0, {"order": 1}, None),
-    "split word": (lambda: planted(DOC, run("รายการ"), run("รายก") + run("าร")), 2, None, "nothing here"),
+    "split word": (lambda: planted(DOC, run(ITEM), run("ข้าว") + run("สวย")), 2, None, "nothing here"),
     "comment": (lambda: planted(DOC, "<w:body>", "<w:body><!-- x -->"), 0, None, None),
     "comment and fault": (lambda: packed(clean() | {DOC: clean()[DOC].replace("<w:cs/>", "", 1).replace("<w:body>", "<w:body><!-- x -->"), SET: clean()[SET].replace('"15"', '"14"')}), 1, {"1": 1}, None),
     "deep": (lambda: planted(DOC, "<w:sectPr>", "<w:sdt>" * 101 + "</w:sdt>" * 101 + "<w:sectPr>"), 2, None, "101 deep"),
@@ -83,7 +83,7 @@ def test_pieces():
 
 
 def test_whole_document_and_language(spark):
-    frame = spark.createDataFrame([("a", bytearray(planted(DOC, run(" จบ"), "<w:r><w:t>end</w:t></w:r>" + "<w:r><w:rPr><w:b/></w:rPr><w:t>x</w:t></w:r>")))], "doc string, content binary")
+    frame = spark.createDataFrame([("a", bytearray(planted(DOC, run(LAST), "<w:r><w:t>end</w:t></w:r>" + "<w:r><w:rPr><w:b/></w:rPr><w:t>x</w:t></w:r>")))], "doc string, content binary")
     row = rows_of(R.repair_packages(frame, font=" Sarabun ", thai_language=True, mark_all=True))["a"]
     assert row["exit_code"] == 0 and row["repaired"] == {"2": 2, "5": 1}
     assert R.repair_packages(frame.limit(0)).outcomes.count() == 0
