@@ -37,6 +37,11 @@ def has_complex(c) -> Column:
     return _c(c).rlike(V.char_class(V.COMPLEX_SCRIPT))
 
 
+def not_text(c) -> Column:
+    """Whether an argument was no text: a character that couldn't be decoded stands in it (columns can't hold half of a pair)."""
+    return F.contains(_c(c), F.lit("\ufffd"))
+
+
 def code_label(char: Column) -> Column:
     """"U+XXXX" of a character."""
     code = F.conv(F.hex(F.encode(char, "utf-32")), 16, 16)

@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import vocab as V
+from ..operators import governance as G
 from ..operators import ordered as O
+from ..operators import places as P
 from ..operators import sets as S
 from ..operators import settings as C
 from ..operators.build import build_packages, build_warnings
@@ -42,6 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_sql_text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
 # -- over the tables ----------------------------------------------------------------
 
 _LINES_SQL = "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents"
@@ -509,6 +513,109 @@ def message_clauses(spark, sf_dir):
     return said.select("id", F.col("c")["from"].alias("from_"), "c.save_to", "c.only", "c.unread")
 
 
+# -- over rows made by rule -------------------------------------------------------------
+
+_COMMITS = {0: ("feat(parser): read lists", "Signed-off-by: A B <a@x.example>"), 1: ("fixed things", "Signed-off-by: A B <a@x.example>"), 2: ("fix: " + "y" * 80, "body\nSigned-off-by: A B <A@x.example>"), 3: ("docs!: say more", "no line"), 4: ("ci: run", "Signed-off-by: A B <a@x.example>\nSigned-off-by: C D <c@x.example>\nCO-AUTHORED-BY: someone"), 5: ("perf: less", "Signed-off-by:    <a@x.example>")}
+_FAULTY = [(1, "title shape"), (2, "long title"), (2, "title shape"), (3, "no sign-off"), (4, "credit"), (5, "no sign-off")]
+_UNSIGNED = [(3, "author unsigned", "a@x.example"), (4, "stranger signed", "c@x.example"), (5, "author unsigned", "a@x.example")]
+_rule_rows = lambda rows: "(VALUES " + ", ".join("(" + ", ".join(map(repr, r)) + ")" for r in rows) + ")"
+
+
+def _commits(spark, sf_dir):
+    told = F.element_at(F.create_map(*(x for k, (t, b) in _COMMITS.items() for x in (F.lit(k), F.struct(F.lit(t).alias("title"), F.lit(b).alias("body"))))), (F.col("o_orderkey") % 6).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), told.alias("c"), F.lit("a@x.example").alias("author"), F.lit("a@x.example").alias("committer")).select("sha", "c.*", "author", "committer")
+
+
+@query(f"SELECT o_orderkey AS sha, fault FROM orders JOIN {_rule_rows(_FAULTY)} AS f(kind, fault) ON kind = o_orderkey % 6")
+def commit_faults(spark, sf_dir):
+    """What is wrong with the titles and trailers of commits made by rule."""
+    return G.commit_faults(_commits(spark, sf_dir))
+
+
+@query(f"SELECT o_orderkey AS sha, fault, address FROM orders JOIN {_rule_rows(_UNSIGNED)} AS f(kind, fault, address) ON kind = o_orderkey % 6")
+def author_faults(spark, sf_dir):
+    return G.author_faults(_commits(spark, sf_dir))
+
+
+@query("SELECT l_returnflag AS flag, min(k) AS low, max(k) AS high FROM (SELECT l_returnflag, k, k - dense_rank() OVER (PARTITION BY l_returnflag ORDER BY k) AS island FROM (SELECT DISTINCT l_returnflag, l_orderkey AS k FROM lineitem)) GROUP BY l_returnflag, island")
+def key_ranges(spark, sf_dir):
+    """The order keys under each return flag as ranges without gaps."""
+    return G.ranges(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_orderkey").alias("cp")), ["flag"])
+
+
+_NUMBERED_SQL = "WITH r AS (SELECT c_custkey AS number, 'a' AS name FROM customer WHERE c_custkey % 50 <> 7 UNION ALL SELECT c_custkey, 'b' FROM customer WHERE c_custkey % 40 = 3), i AS (SELECT c_custkey AS number FROM customer WHERE c_custkey % 30 <> 4)"
+
+
+@query(_NUMBERED_SQL + """, d AS (SELECT DISTINCT number FROM r), g AS (SELECT number, lag(number) OVER (ORDER BY number) AS before FROM d)
+SELECT 'twice' AS fault, number FROM r GROUP BY number HAVING count(DISTINCT name) > 1 UNION ALL SELECT 'not listed', number FROM d WHERE number NOT IN (SELECT number FROM i)
+UNION ALL SELECT DISTINCT 'gone', number FROM i WHERE number NOT IN (SELECT number FROM d) UNION ALL SELECT 'gap before', number FROM g WHERE number > before + 1""")
+def index_faults(spark, sf_dir):
+    """Numbers used twice, left out or listed in vain, and gaps, among records made by rule."""
+    n = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer")
+    records = rows.filter(n % 50 != 7).select(n.alias("number"), F.lit("a").alias("name")).unionByName(rows.filter(n % 40 == 3).select(n.alias("number"), F.lit("b").alias("name")))
+    return G.index_faults(records, rows.filter(n % 30 != 4).select(n.alias("number")))
+
+
+@query("SELECT c_custkey + 1 AS new, c_custkey AS old, CASE WHEN c_custkey % 10 = 0 THEN 'superseded by' ELSE 'supersedes' END AS missing FROM customer WHERE (c_custkey % 10 = 0) <> (c_custkey % 15 = 0)")
+def one_way_edges(spark, sf_dir):
+    """Successions that only one side tells."""
+    n = F.col("c_custkey")
+    edge = lambda c: table(spark, sf_dir, "customer").filter(c).select((n + 1).alias("new"), n.alias("old"))
+    return G.one_way_edges(edge(n % 10 == 0), edge(n % 15 == 0))
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey > 2) a FULL OUTER JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_nationkey < 20) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+def unmatched_names(spark, sf_dir):
+    """Nations that only customers or only suppliers name."""
+    left = table(spark, sf_dir, "customer").filter("c_nationkey > 2").select(F.col("c_nationkey").alias("k"))
+    return G.unmatched(left, table(spark, sf_dir, "supplier").filter("s_nationkey < 20").select(F.col("s_nationkey").alias("k")), "k")
+
+
+@query("SELECT user_id AS name, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS versions FROM events GROUP BY user_id HAVING count(DISTINCT event_type) > 1")
+def disagreeing_versions(spark, sf_dir):
+    """Users whose events don't all agree on their type."""
+    said = table(spark, sf_dir, "events").select(F.col("user_id").alias("name"), F.col("event_id").alias("source"), F.col("event_type").alias("version"))
+    return G.disagreeing_versions(said).select("name", F.array_join("versions", ",").alias("versions"))
+
+
+@query("SELECT DISTINCT r_name AS variant, n_name AS application FROM nation JOIN region ON r_regionkey = n_regionkey OR r_regionkey + 1 = n_regionkey")
+def release_matrix(spark, sf_dir):
+    """Regions with the nations of their own and of the next region."""
+    variants = table(spark, sf_dir, "region").select(F.col("r_name").alias("variant"), F.array(F.col("r_regionkey"), F.col("r_regionkey") + 1).alias("kinds"))
+    return G.release_matrix(variants, table(spark, sf_dir, "nation").select(F.col("n_name").alias("application"), F.col("n_regionkey").alias("kind")))
+
+
+_SOURCES = {0: ("pic.png", "docs/a/pic.png", None), 1: ("../shared/p.png", "docs/shared/p.png", None), 2: ("//host/p.png", None, "a network path"), 3: ("https://h/p.png", None, "a network path"), 4: ("../../etc/p.png", "etc/p.png", "outside of the folders that may be read"), 5: ("gone.png", "docs/a/gone.png", "not found"), 6: ("big.png", "docs/a/big.png", "too large"), 7: ("wide.png", "docs/a/wide.png", "too much in all")}
+
+
+@query("SELECT c_custkey AS doc, kind AS ord, src, path, fault FROM customer, (VALUES " + ", ".join(f"({k}, {_sql_text(s)}, {_sql_text(p)}, {_sql_text(f)})" for k, (s, p, f) in _SOURCES.items()) + ") AS v(kind, src, path, fault) WHERE kind <> c_custkey % 9")
+def pictures_resolved(spark, sf_dir):
+    """Pictures that documents made by rule name, each with its path or why it isn't read."""
+    sources = L.frame(spark, "ord int, src string", [(k, s) for k, (s, _, _) in _SOURCES.items()])
+    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), F.lit("docs/a").alias("base"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("ord")).filter(F.col("ord") != F.col("doc") % 9).join(F.broadcast(sources), "ord")
+    held = L.frame(spark, "path string, length long", [("docs/a/pic.png", 10), ("docs/shared/p.png", 20), ("etc/p.png", 1), ("docs/a/big.png", P.MAX_PICTURE + 1), ("docs/a/wide.png", P.MAX_PICTURE), ("docs/a/wider.png", P.MAX_PICTURE)])
+    more = wanted.select("doc", "base", F.lit(-1).alias("ord"), F.lit("wider.png").alias("src")).distinct()
+    return P.resolve_pictures(wanted.select("doc", "base", "ord", "src").unionByName(more), held, L.frame(spark, "root string", [("docs/shared",)])).filter("ord >= 0")
+
+
+_PROFILES_SQL = "SELECT p_size % 3 AS place, replace(lower(p_name), ' ', '-') AS name FROM part"
+
+
+@query(f"""WITH v AS (SELECT DISTINCT place, name FROM ({_PROFILES_SQL}) WHERE regexp_matches(name, '^[a-z0-9]([a-z0-9-]{{0,62}}[a-z0-9])?$')),
+r AS (SELECT *, place > min(place) OVER (PARTITION BY name) AS shadowed, row_number() OVER (PARTITION BY place ORDER BY name) AS nth FROM v) SELECT place, name, shadowed, nth FROM r WHERE nth <= 100""")
+def profile_listing(spark, sf_dir):
+    """Profiles along a search path of three places: the first hundred of each, and which of them an earlier place hides."""
+    return P.profile_listing(table(spark, sf_dir, "part").select((F.col("p_size") % 3).alias("place"), F.replace(F.lower("p_name"), F.lit(" "), F.lit("-")).alias("name")))
+
+
+@query("SELECT doc_id, contains(text, chr(65533)) OR doc_id % 7 = 0 AS refused FROM documents")
+def arguments_refused(spark, sf_dir):
+    """Texts that couldn't be decoded whole; every seventh is made one."""
+    broken = F.when(F.col("doc_id") % 7 == 0, F.make_valid_utf8(F.concat("text", F.lit(b"\xff").cast("string")))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.not_text(broken).alias("refused"))
+
+
 # -- rows only: parsing and building ------------------------------------------------------
 
 
@@ -545,7 +652,6 @@ PLANTED = [
     (_DOCUMENT, "<w:body>", '<w:body><w:p><w:hyperlink r:id="gone"/></w:p>', "package", "refers to relationship gone, which its own relationships do not hold", None),
 ]
 _KIND = "(conv_id + turn) % 8"
-_sql_text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 _PLANTED_SQL = "(VALUES " + ", ".join(f"({i}, {_sql_text(code)}, {_sql_text(message)}, {_sql_text(mended)})" for i, (_, _, _, code, message, mended) in enumerate(PLANTED)) + ") AS p(kind, code, message, mended)"
 
 
