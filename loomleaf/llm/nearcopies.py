@@ -9,13 +9,13 @@ indexes: fingerprints that :func:`simhash.links` joins, and ``BANDS`` keys of
 probability 1 - (1 - s**ROWS)**BANDS: 0.9993 at 0.8.  Every candidate is verified
 on the whole shingle sets, so no text goes that isn't similar enough to another.
 
-Large groups: texts with equal sets are one node from the start.  In a group of
-up to ``crowd`` nodes every pair is a candidate.  In a larger one a few nodes, the pivots,
-are compared with all that they aren't connected with yet, and closed; then the components are
-formed again, and so on until every node outside of a group's largest component is
-closed.  Of any two similar nodes one is closed first, when the other was compared or
-already connected: no link is lost, near copies of one text cost one pass, and every pass is
-a join over tables.  No group is capped or gathered in a task.
+Large groups: texts with equal sets are one node from the start.  In every group that
+shares a band key some nodes, the pivots (one at first), are compared with all that they aren't connected
+with yet, and closed; then the components are formed again, and so on until every node
+outside of a group's largest component is closed.  Of any two similar nodes one is closed
+first, when the other was compared or already connected: no link is lost, near copies of one
+text cost one pass, and every pass is a join over tables.  No group is capped or gathered in a
+task, and groups of all sizes are treated alike.
 
 Defined cases: a null text counts as empty, and all texts without words are equal;
 fewer words than a shingle make one shingle of them all; of rows that repeat one stays; rows
@@ -38,7 +38,7 @@ from . import simhash
 from ._common import bounded_batches, free_name, materialise, release, scratch, slices, small
 from .graph import components
 
-WORDS, SIMILARITY, BANDS, ROWS, CROWD = 5, 0.8, 24, 6, 64
+WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 6
 _CHUNK = 4096
 _FACTORS = np.random.default_rng(simhash.SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -52,6 +52,11 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(simhash.SEED)), dtype=np.uint64))
 
 
+def short_set(hashes: np.ndarray) -> np.ndarray:
+    """A set by half of each hash, which is what is moved to verify a pair: chance equals shift a similarity by millionths."""
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))
+
+
 def band_keys(hashes: np.ndarray) -> list[int]:
     """The signed band keys of a set; none for the empty set."""
     if not len(hashes):
@@ -96,7 +101,7 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches):
-            sets = [shingle_set(x.as_py(), words).tobytes() for x in batch.column(1)]
+            sets = [short_set(shingle_set(x.as_py(), words)).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
     return rows.mapInArrow(run, "node long, hashes binary")
@@ -108,7 +113,7 @@ def _similar(similarity: float):
     def run(batches):
         for batch in slices(batches):
             pairs = zip(batch.column(2), batch.column(3), strict=True)
-            near = [jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= similarity for x, y in pairs]
+            near = [jaccard(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) >= similarity for x, y in pairs]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return run
@@ -120,9 +125,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_similar(similarity), "a long, b long")
 
 
-def _within_large(edges: DataFrame, large: DataFrame, sets: DataFrame, similarity: float, first: int = 1, growth: int = 8) -> DataFrame:
-    """``edges`` and those that join what is similar within the groups of ``large`` (key, node, size); materialised."""
-    state, pivots_each = materialise(large.select("key", "node", "size", F.lit(False).alias("closed"))), first
+def _within_groups(edges: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float, first: int = 1, growth: int = 16) -> DataFrame:
+    """``edges`` and those that join what is similar within ``groups`` (key, node, size); materialised."""
+    state, pivots_each = materialise(groups.select("key", "node", "size", F.lit(False).alias("closed"))), first
     while True:
         roots = components(edges)
         named = materialise(state.join(small(roots), "node", "left").select("key", "node", "size", "closed", F.coalesce("root", "node").alias("label")))
@@ -139,49 +144,45 @@ def _within_large(edges: DataFrame, large: DataFrame, sets: DataFrame, similarit
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         edges = materialise(stars.unionByName(_verified(pairs, sets, similarity)))
         done = pivots.select("key", F.col("pivot").alias("node"), F.lit(True).alias("done"))
-        after = materialise(named.join(small(done), ["key", "node"], "left").select("key", "node", "size", (F.col("closed") | F.col("done").isNotNull()).alias("closed")))
+        # A group without a pivot is done for good: what was closed has met all that could come to lie outside later.
+        going = named.join(small(materialise(pivots.select("key").distinct())), "key", "left_semi")
+        after = materialise(going.join(small(done), ["key", "node"], "left").select("key", "node", "size", (F.col("closed") | F.col("done").isNotNull()).alias("closed")))
         release(state, roots, named, main, pivots)
         state, pivots_each = after, min(pivots_each * growth, 4096)
 
 
-def similar_edges(nodes: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """Edges (a, b) that connect what is similar; ``nodes`` has node, size, fp and bands, ``texts`` has node and text.  Materialised."""
+def similar_edges(nodes: DataFrame, rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) that connect what is similar; ``nodes`` has node, size, fp, bands and row, ``rows`` has row, node and text.  Materialised."""
     banded = nodes.select("node", "size", F.explode("bands").alias("key"))
-    shared = materialise(banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"))
+    shared = materialise(banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"))
     met = materialise(banded.join(small(shared), "key"))
-    few = met.filter(F.col("members") <= crowd).select("key", "node", "size")
-    other = few.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"))
-    meets = few.join(other, "key").filter(F.col("node") < F.col("b")).filter(F.least("size", "size_b") >= F.greatest("size", "size_b") * similarity)
-    pairs = meets.select(F.col("node").alias("a"), "b")
     prints = materialise(nodes.groupBy("fp").agg(F.min("node").alias("of")))
-    links = simhash.links(prints)
     ends = [prints.select(F.col("fp").alias(x), F.col("of").alias(f"of_{x}")) for x in ("a", "b")]
-    linked = links.join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    linked = simhash.links(prints).join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     same = nodes.join(prints, "fp").filter(F.col("node") != F.col("of")).select(F.col("of").alias("a"), F.col("node").alias("b"))
-    rest = linked.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialise(pairs.union(rest).distinct())
-    large = materialise(met.filter(F.col("members") > crowd).select("key", "node", "size"))
-    wanted = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct())
-    one = texts.join(small(wanted), "node").groupBy("node").agg(F.min("text").alias("text"))
-    sets = materialise(_sets(one.select("node", "text"), words))
+    pairs = materialise(linked.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(met.select("node")).distinct()
+    # One row of each node that is to be compared gives its set.
+    wanted = materialise(nodes.join(ids, "node", "left_semi").select("row"))
+    sets = materialise(_sets(rows.join(small(wanted), "row").select("node", "text"), words))
     edges = materialise(_verified(pairs, sets, similarity))
-    release(shared, met, prints, pairs, wanted)
-    out = edges if large.isEmpty() else _within_large(edges, large, sets, similarity)
-    release(large, sets)
+    release(shared, prints, pairs, wanted)
+    out = _within_groups(edges, met, sets, similarity)
+    release(met, sets)
     return out
 
 
-def drop_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+def drop_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` without near copies: of each component one row stays, of its smallest id."""
     names: list[str] = []
-    for n in ("set_of_row", "set_size", "print_of_row", "bands_of_row"):
+    for n in ("set_of_row", "set_size", "print_of_row", "bands_of_row", "number_of_row"):
         names.append(free_name([*df.columns, *names], n))
     with scratch(df.sparkSession) as stay:
-        rows = materialise(_sketches(df, text, names, words))
+        rows = materialise(_sketches(df, text, names[:4], words).withColumn(names[4], F.monotonically_increasing_id()))
         as_node = F.col(names[0]).alias("node")
-        every = rows.select(as_node, F.col(names[1]).alias("size"), F.col(names[2]).alias("fp"), F.col(names[3]).alias("bands"))
-        nodes = materialise(every.groupBy("node").agg(F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
-        edges = similar_edges(nodes, rows.select(as_node, F.col(text).cast("string").alias("text")), words, similarity, crowd)
+        every = rows.select(as_node, F.col(names[1]).alias("size"), F.col(names[2]).alias("fp"), F.col(names[3]).alias("bands"), F.col(names[4]).alias("row"))
+        nodes = materialise(every.groupBy("node").agg(F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.min("row").alias("row")))
+        edges = similar_edges(nodes, rows.select(as_node, F.col(names[4]).alias("row"), F.col(text).cast("string").alias("text")), words, similarity)
         release(nodes)
         roots = components(edges)
         of = rows.select(F.col(doc_id).alias("doc_id"), F.col(names[0]).alias("fp"))

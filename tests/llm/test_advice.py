@@ -2,7 +2,6 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -38,11 +37,10 @@ def families(rng, n, least, most):
     return out
 
 
-@pytest.mark.parametrize("crowd", [64, 1])
-def test_near_copies_of_similarity_point_eight_go(spark, crowd):
+def test_near_copies_of_similarity_point_eight_go(spark):
     texts = families(random.Random(11), 60, 1, 10)
     df = documents(spark, texts).withColumn("node", F.lit(1))
-    kept = nearcopies.drop_near_copies(df, crowd=crowd)
+    kept = nearcopies.drop_near_copies(df)
     ids = {r["doc_id"] for r in kept.collect()}
     assert kept.columns == df.columns
     want = {i for i in range(0, 120, 2)} | {i for i in range(1, 120, 2) if similarity(texts[i - 1], texts[i]) < 0.8}
