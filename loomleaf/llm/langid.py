@@ -45,13 +45,14 @@ DICTIONARY_BYTES, SAMPLE_TEXTS, SAMPLE_CHARS, MAX_LANGUAGES = 262_144, 256, 4096
 LEVEL, PIECE, MIN_MARGIN, UNKNOWN = 6, 2048, 0.02, "und"
 _MARK = bytes(range(1, 32)) * 3
 #: All but letters and the marks that combine with them, as the vowel signs of many scripts do.
-_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_OTHER, _OTHER_ASCII = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"[^a-z]+")
 _NO_SIZE = 1 << 62
 
 
 def plain_letters(text: str) -> str:
     """Lower-cased letters with single spaces around and between words; empty if there is no letter."""
-    kept = _OTHER.sub(" ", text.lower()).strip()
+    low = text.lower()
+    kept = (_OTHER_ASCII if low.isascii() else _OTHER).sub(" ", low).strip()
     return f" {kept} " if any(map(str.isalpha, kept)) else ""
 
 
