@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from loomleaf.llm import langid, linetree, mixing, nearcopies, unigram
 from loomleaf.llm._common import free_name, materialise, release, scratch
 from loomleaf.llm.queries import piece_model
+from loomleaf.workspace import spread
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents of ``sf_dir``, each one's result written before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     *before, last = STAGES
     done = None
     for _, stage in before:

@@ -21,6 +21,7 @@ from ..operators.checks import check_packages
 from ..operators.repair import repair_packages
 from ..sources.markdown import markdown_blocks, markdown_inlines
 from ..sources.packages import admit, rewrite_package
+from ..workspace import spread
 from . import fixtures as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +42,9 @@ def query(oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; the texts, which take work, over all cores even where they are one small file."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "conversations") else rows
 
 
 _sql_text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"

@@ -44,3 +44,16 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 64 << 20)
         said = spark.conf.get(key, None)
         if said is None or not 0 < int(said.lower().removesuffix("b")) <= most:
             spark.conf.set(key, str(most))
+
+
+def spread(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """A small table dealt evenly over the cores; a larger one as it lies.
+
+    A table of up to ``most`` bytes often is one file of one row group, which a single task would
+    read and work on.  Moving so little costs next to nothing; a large table has row groups for
+    every core and is never moved.
+    """
+    if df.isStreaming:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
