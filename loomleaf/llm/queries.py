@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import spread
 from . import chat, covertree, langid, linetree, mainregion, mixing, simhash, tiff, unigram, urltrie
 
 #: Where the public tokenizer models are, and which one is used; never copied.
@@ -18,7 +19,7 @@ URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 @functools.lru_cache(maxsize=2)
