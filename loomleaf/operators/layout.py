@@ -26,6 +26,8 @@ class Item:
     starts_section: bool = False
     number: str = ""
     caption: str = ""
+    #: A caption's label, the number of its chapter or appendix, and its own.
+    parts: tuple[str, str, str] = ("", "", "")
     inlines: list = field(default_factory=list)
 
     def text(self) -> str:
@@ -184,7 +186,8 @@ def lay_out(doc: M.Document, o) -> Layout:
         if item.caption:
             seqs[item.caption] += 1
             label = o.table_label if item.caption == "Table" else o.figure_label
-            item.number = f"{label} " + "-".join(filter(None, (prefix, shown(seqs[item.caption])))) + " "
+            item.parts = (label, prefix, shown(seqs[item.caption]))
+            item.number = f"{label} " + "-".join(filter(None, item.parts[1:])) + " "
             first = b.inlines[0]
             item.inlines = [first | {"s": _CAPTION.sub("", first["s"], count=1)}, *b.inlines[1:]]
         out.items.append(item)
