@@ -642,20 +642,32 @@ def docx_build(spark, sf_dir):
     return build_packages(table(spark, sf_dir, "documents"), "doc_id", "text").drop("content")
 
 
-#: Faults planted in built packages by number: part, what is replaced by what, and the code, message and repair that must follow.
+#: Faults planted in built packages by number: part, what is replaced by what, the code and message that must follow, and the repair or why there is none.
 _STYLE, _SETTINGS, _DOCUMENT = "word/styles.xml", "word/settings.xml", "word/document.xml"
+_LEFT = "nothing here is a repair this version makes; the findings say what is wrong"
+_SLANTED = "<w:r><w:rPr><w:i/><w:iCs/></w:rPr><w:t>ab</w:t></w:r>"
+_STRICT = "Strict Open XML (ISO/IEC 29500 Strict) is not read: every element would be missed; save it from Word as Word Document (.docx)"
+_MODE = f'<w:compatSetting w:name="compatibilityMode" w:uri="{V.COMPAT_URI}" w:val="15"/>'
 PLANTED = [
-    (None, "", "", None, None, ""),
-    (_SETTINGS, 'w:val="15"', 'w:val="14"', "1", "compatibilityMode declared as 14; must be exactly one 15", "1:1"),
-    (_STYLE, "<w:b/><w:bCs/>", "<w:b/><w:bCs/><w:noProof/>", "3", "<w:noProof/> switches Thai proofing — and Thai line breaking — off", "3:1"),
-    (_STYLE, "<w:b/><w:bCs/>", "<w:b/>", "5", "in a style, <w:b> has no <w:bCs> beside it", "5:1"),
-    (_STYLE, '<w:name w:val="heading 1"/><w:basedOn w:val="Normal"/>', '<w:basedOn w:val="Normal"/><w:name w:val="heading 1"/>', "order", "in w:style, <w:name> must come before <w:basedOn>", "order:1"),
-    (_SETTINGS, "<w:settings", "<!DOCTYPE x><w:settings", "doctype", "XML part declares a DOCTYPE; refused", None),
-    (_STYLE, "</w:styles>", "", "package", "XML is not well-formed", None),
-    (_DOCUMENT, "<w:body>", '<w:body><w:p><w:hyperlink r:id="gone"/></w:p>', "package", "refers to relationship gone, which its own relationships do not hold", None),
+    (None, "", "", None, None, "", None),
+    (_SETTINGS, 'w:val="15"', 'w:val="14"', "1", "compatibilityMode declared as 14; must be exactly one 15", "1:1", None),
+    (_STYLE, "<w:b/><w:bCs/>", "<w:b/><w:bCs/><w:noProof/>", "3", "<w:noProof/> switches Thai proofing — and Thai line breaking — off", "3:1", None),
+    (_STYLE, "<w:b/><w:bCs/>", "<w:b/>", "5", "in a style, <w:b> has no <w:bCs> beside it", "5:1", None),
+    (_STYLE, '<w:name w:val="heading 1"/><w:basedOn w:val="Normal"/>', '<w:basedOn w:val="Normal"/><w:name w:val="heading 1"/>', "order", "in w:style, <w:name> must come before <w:basedOn>", "order:1", None),
+    (_SETTINGS, "<w:settings", "<!DOCTYPE x><w:settings", "doctype", "XML part declares a DOCTYPE; refused", None, "XML part declares a DOCTYPE; refused"),
+    (_STYLE, "</w:styles>", "", "package", "XML is not well-formed", None, "XML is not well-formed"),
+    (_DOCUMENT, "<w:body>", '<w:body><w:p><w:hyperlink r:id="gone"/></w:p>', "package", "refers to relationship gone, which its own relationships do not hold", None, "refers to relationship gone, which its own relationships do not hold"),
+    (_DOCUMENT, "<w:body>", "<w:body><w:p><w:r><w:t>ไทย</w:t></w:r></w:p>", "2", "a run whose text is complex script has no <w:cs/> element", "2:1", None),
+    (_DOCUMENT, "<w:body>", f"<w:body><w:p>{_SLANTED * 2}</w:p>", "4", "two adjacent runs carry identical formatting; a word may be split across them", None, _LEFT),
+    (_DOCUMENT, "<w:body>", "<w:body><w:p><w:r><w:t>a\u200bb</w:t></w:r></w:p>", "invisible", "text contains U+200B ZERO WIDTH SPACE", None, _LEFT),
+    (_STYLE, ' w:cs="', ' w:other="', "5", "in a style, w:rFonts names a Latin font but no w:cs font", "5:1", None),
+    (_DOCUMENT, V.W, V.STRICT_W, "package", _STRICT, None, _STRICT),
+    (_STYLE, 'encoding="UTF-8"', 'encoding="ISO-8859-1"', "package", "XML part is not UTF-8", None, "XML part is not UTF-8"),
+    (_DOCUMENT, "<w:sectPr>", "<w:sectPr><w:pgMar/>", "order", "in w:sectPr, <w:pgSz> must come before <w:pgMar>", "order:1", None),
+    (_SETTINGS, "</w:compat>", f"{_MODE}</w:compat>", "1", "compatibilityMode declared as 15, 15; must be exactly one 15", "1:1", None),
 ]
-_KIND = "(conv_id + turn) % 8"
-_PLANTED_SQL = "(VALUES " + ", ".join(f"({i}, {_sql_text(code)}, {_sql_text(message)}, {_sql_text(mended)})" for i, (_, _, _, code, message, mended) in enumerate(PLANTED)) + ") AS p(kind, code, message, mended)"
+_KIND = "(conv_id + turn) % 16"
+_PLANTED_SQL = "(VALUES " + ", ".join(f"({i}, {_sql_text(code)}, {_sql_text(message)}, {_sql_text(mended)}, {_sql_text(error)})" for i, (_, _, _, code, message, mended, error) in enumerate(PLANTED)) + ") AS p(kind, code, message, mended, error)"
 
 
 @F.pandas_udf(T.BinaryType())
@@ -684,7 +696,7 @@ def docx_check(spark, sf_dir):
     return check_packages(_planted_packages(spark, sf_dir), keep=False).findings.groupBy("code", "message").agg(F.countDistinct("doc").alias("documents"))
 
 
-@query(f"""SELECT conv_id || '-' || turn AS doc, p.mended IS NOT NULL AS ok, CASE WHEN p.mended IS NULL THEN 2 ELSE 0 END AS exit_code, CASE WHEN p.mended <> '' THEN p.mended END AS repaired, CASE WHEN p.mended IS NULL THEN p.message END AS error
+@query(f"""SELECT conv_id || '-' || turn AS doc, p.mended IS NOT NULL AS ok, CASE WHEN p.mended IS NULL THEN 2 ELSE 0 END AS exit_code, CASE WHEN p.mended <> '' THEN p.mended END AS repaired, p.error
 FROM conversations JOIN {_PLANTED_SQL} ON p.kind = {_KIND}""")
 def docx_repair(spark, sf_dir):
     """The same packages repaired: what was mended, and what can't be."""
