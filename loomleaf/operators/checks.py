@@ -44,7 +44,7 @@ class Checked:
 
 def package_records(packages: DataFrame) -> DataFrame:
     """The records of each package (doc, content), and one of kind "doc" for the package itself."""
-    bounded_batches(packages.sparkSession)
+    bounded_batches(packages.sparkSession, 64)
 
     def run(batches):
         for batch in batches:

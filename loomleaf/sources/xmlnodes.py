@@ -121,7 +121,7 @@ def xml_nodes(parts: DataFrame) -> DataFrame:
     A part is parsed twice, first to know that it can be read, and its rows leave as
     its elements end.
     """
-    bounded_batches(parts.sparkSession)
+    bounded_batches(parts.sparkSession, 64)
 
     def run(batches):
         for batch in batches:

@@ -38,12 +38,12 @@ def written(df: DataFrame) -> DataFrame:
     return back
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 64 << 20) -> None:
-    """Have Spark hand at most ``rows`` rows and about ``size`` bytes at a time to Python; smaller settings of the session stay."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        said = spark.conf.get(key, None)
-        if said is None or not 0 < int(said.lower().removesuffix("b")) <= most:
-            spark.conf.set(key, str(most))
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Spark hand at most ``rows`` rows at a time to Python; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    said = spark.conf.get(key, None)
+    if said is None or not 0 < int(said) <= rows:
+        spark.conf.set(key, rows)
 
 
 def spread(df: DataFrame, most: int = 64 << 20) -> DataFrame:
