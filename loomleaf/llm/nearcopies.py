@@ -39,7 +39,8 @@ from ._common import bounded_batches, free_name, materialise, release, scratch,
 from .graph import components
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 6
-_CHUNK = 4096
+#: Hashes that meet all factors at a time, and rows of a batch: what bounds a worker's memory.
+_CHUNK, _ROWS_AT_ONCE = 512, 64
 _FACTORS = np.random.default_rng(simhash.SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -76,21 +77,25 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _sketch(text: str | None, words: int) -> tuple[int, int, int, list[int]]:
+    """The digest of a text's set, its size, its fingerprint and its band keys."""
+    hashes = shingle_set(text, words)
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    return signed(xxhash.xxh3_64_intdigest(hashes.tobytes())), len(hashes), signed(simhash.fingerprint(text, words)), band_keys(hashes)
+
+
 def _sketches(df: DataFrame, text: str, names: list[str], words: int) -> DataFrame:
     """``df`` with the set's digest, its size, the fingerprint and the band keys under ``names``."""
     inner = free_name([*df.columns, *names], "sketched_text")
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, 256)
     source = df.select("*", F.col(text).cast("string").alias(inner))
     kinds = (T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.LongType()))
     schema = T.StructType([*source.schema.fields[:-1], *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
 
     def run(batches):
-        for batch in slices(batches):
-            texts = [x.as_py() for x in batch.column(batch.num_columns - 1)]
-            sets = [shingle_set(x, words) for x in texts]
-            digests = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            prints = np.array([simhash.fingerprint(x, words) for x in texts], dtype=np.uint64).view(np.int64)
-            columns = [pa.array(digests), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+        for batch in slices(batches, _ROWS_AT_ONCE):
+            rows = [_sketch(x.as_py(), words) for x in batch.column(batch.num_columns - 1)]
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -100,7 +105,7 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     """``node`` and its shingle hashes as bytes, of rows (node, text)."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, _ROWS_AT_ONCE):
             sets = [short_set(shingle_set(x.as_py(), words)).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
@@ -111,7 +116,7 @@ def _similar(similarity: float):
     """Arrow function over rows (a, b, hashes of a, hashes of b): the pairs that are similar enough."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, _ROWS_AT_ONCE):
             pairs = zip(batch.column(2), batch.column(3), strict=True)
             near = [jaccard(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) >= similarity for x, y in pairs]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
