@@ -49,7 +49,8 @@ from pyspark.sql import functions as F
 
 from ._common import hash_bound, materialise
 
-LEAF, BASE, SLACK = 48, 1.5, 1e-7
+#: Points of a leaf, queries that go down together (each by its own bounds), ratio of scales, share of the norms that rounding may take.
+LEAF, TOGETHER, BASE, SLACK = 48, 512, 1.5, 1e-7
 #: Rows that a tree is built over, cells of the matrix of one task, pivots a table has at most, rows a pivot stands for.
 TREE_ROWS, GROUP_CELLS, QUERY_CELLS, PIVOTS, PIVOT_ROWS = 4096, 1 << 22, 1 << 20, 256, 2048
 _NO_ID = int(np.iinfo(np.int64).max)
@@ -178,9 +179,10 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np
         queries, data = queries.astype(np.int64), data.astype(np.int64)
     best = Best(len(queries), k, kind, floor)
     qx = queries.astype(np.float64) if top < 1 << 53 else queries.astype(kind)
+    tree, together = CoverTree(queries, max(leaf, min(TOGETHER, tree_rows))), max(leaf, min(TOGETHER, tree_rows))
     for at in range(0, len(data), tree_rows) if len(queries) else ():
         rows = data[at : at + tree_rows]
-        _Visit(CoverTree(queries, leaf), qx, query_ids, CoverTree(rows, leaf), rows.astype(qx.dtype), ids[at : at + tree_rows], best, kind, leaf).run()
+        _Visit(tree, qx, query_ids, CoverTree(rows, leaf), rows.astype(qx.dtype), ids[at : at + tree_rows], best, kind, together).run()
     return best
 
 
