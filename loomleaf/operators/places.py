@@ -9,7 +9,8 @@ from ..functions import text as X
 
 # --- Fixed values: the most that one picture and all pictures of a document may take, and what a listing shows ---
 MAX_PICTURE, MAX_PICTURES, LISTED = 32 << 20, 64 << 20, 100
-_NAME = r"^[a-z0-9](?:[a-z0-9-]{0,62}[a-z0-9])?$"
+#: Letters with their marks, digits, "-" and "_", never "-" first.
+PROFILE_NAME = r"^[\p{L}\p{M}\p{N}_][\p{L}\p{M}\p{N}_-]{0,63}$"
 
 
 def network_path(c) -> Column:
@@ -52,7 +53,7 @@ def profile_listing(files: DataFrame, most: int = LISTED) -> DataFrame:
     Names that no profile may have aren't read; a name that a place of a smaller number has
     too is shadowed.
     """
-    valid = files.filter(F.col("name").rlike(_NAME)).select("place", "name").distinct()
+    valid = files.filter(F.col("name").rlike(PROFILE_NAME)).select("place", "name").distinct()
     rows = valid.withColumn("shadowed", F.col("place") > F.min("place").over(Window.partitionBy("name")))
     order = Window.partitionBy("place").orderBy(F.encode("name", "utf-8"))
     return rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
@@ -60,5 +61,5 @@ def profile_listing(files: DataFrame, most: int = LISTED) -> DataFrame:
 
 def profiles_omitted(files: DataFrame, most: int = LISTED) -> DataFrame:
     """place, omitted: how many profiles of a place a listing leaves out."""
-    counts = files.filter(F.col("name").rlike(_NAME)).groupBy("place").agg(F.countDistinct("name").alias("n"))
+    counts = files.filter(F.col("name").rlike(PROFILE_NAME)).groupBy("place").agg(F.countDistinct("name").alias("n"))
     return counts.filter(F.col("n") > most).select("place", (F.col("n") - most).alias("omitted"))

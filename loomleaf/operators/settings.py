@@ -6,6 +6,7 @@ The later wins: defaults, the profile (less what ``--default`` names), the flags
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from .places import PROFILE_NAME
 
 _NUMBER = re.compile(r"[0-9]+(?:\.[0-9]+)?")
 _SPACES = " \t\r\n\f\v 　"
@@ -165,7 +167,7 @@ def _value(s: Setting, given: str):
 
 def font_name(name: str) -> str:
     """The name as applications read it: no space at an end, 31 characters."""
-    return name.strip(_SPACES)[: V.FONT_MAX].rstrip(_SPACES)
+    return name.strip(V.FONT_SPACES)[: V.FONT_MAX].rstrip(V.FONT_SPACES)
 
 
 def read_flags(argv: list[str], profile: dict | None = None) -> dict:
@@ -322,3 +324,55 @@ def questions(resolved: DataFrame, doc: str = "doc") -> DataFrame:
     holds = F.coalesce(F.size("change") == 0, F.lit(False)) & ~F.col("other")
     matched = F.max("holds").over(Window.partitionBy("doc", "number"))
     return each.withColumn("holds", holds).withColumn("matched", matched).select("doc", "number", "question", "letter", "other", F.when(F.col("other"), ~F.col("matched")).otherwise(F.col("holds")).alias("current"), "change")
+
+
+def written_profile(settings: dict) -> str:
+    """The one written form of a profile: keys sorted, two spaces, characters as themselves, one line feed at the end."""
+    return json.dumps({"schema": 1, "settings": settings}, ensure_ascii=False, indent=2, sort_keys=True) + "\n"
+
+
+def saved_profiles(resolved: DataFrame, name: str) -> DataFrame:
+    """name, content, digest: for each resolved row that isn't refused and has a name that a profile may have, its settings that aren't the defaults.
+
+    Rows of (name, content) go to files with the whole-files sink; equal settings have equal digests.
+    """
+
+    @F.pandas_udf("content string, digest string")
+    def run(settings: pd.Series) -> pd.DataFrame:
+        held = [changed({k: json.loads(v) for k, v in dict(s).items()}) for s in settings]
+        return pd.DataFrame([(written_profile(h), hashlib.sha256((json.dumps(h, ensure_ascii=False, indent=2, sort_keys=True) + "\n").encode()).hexdigest()) for h in held], columns=["content", "digest"])
+
+    fit = resolved.filter(F.col("settings").isNotNull() & F.col(name).rlike(PROFILE_NAME))
+    return fit.select(F.col(name).alias("name"), run("settings").alias("p")).select("name", "p.*")
+
+
+def choice_flags(change: dict) -> list[str]:
+    """The flags that make a choice true against the settings in force, from what it changes (key to JSON)."""
+    told = {k: json.loads(v) for k, v in change.items()}
+    reset = [s.key for s in REGISTRY if s.key in told and told[s.key] == s.default]
+    return as_flags({k: v for k, v in told.items() if k not in reset}) + (["--default", ",".join(reset)] if reset else [])
+
+
+def choice_args(asked: DataFrame) -> DataFrame:
+    """``asked`` (of :func:`questions`) with ``args``, the fewest flags that each choice takes; none for a typed value."""
+
+    @F.pandas_udf("array<string>")
+    def run(changes: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else choice_flags(dict(c)) for c in changes])
+
+    return asked.withColumn("args", run("change"))
+
+
+def font_said(what: str, name: str) -> str | None:
+    """What a build says about a font whose name it doesn't write as it is given, or None."""
+    kept, inner = font_name(name), name.strip(V.FONT_SPACES)
+    if kept == name:
+        return None
+    named = lambda spaces: f" ({', '.join(odd)})" if (odd := list(dict.fromkeys(f"U+{ord(c):04X}" for c in spaces if c != " "))) else ""
+    ends = name[: len(name) - len(name.lstrip(V.FONT_SPACES))] + name[len(name.rstrip(V.FONT_SPACES)) :]
+    if len(inner) <= V.FONT_MAX:
+        return f"{what} '{name}' begins or ends with a space{named(ends)}, which no font's name does, so the document names '{kept}'"
+    cut = inner[: V.FONT_MAX]
+    ends += cut[len(cut.rstrip(V.FONT_SPACES)) :]
+    without = f", without a space{named(ends)} at either end" if ends else ""
+    return f"{what} '{name[: V.FONT_MAX - 1]}…' is longer than the {V.FONT_MAX} characters Word reads of a font's name, so the document names '{kept}'{without}: Word uses a font only if one is installed under exactly that name, and shows another font if none is"

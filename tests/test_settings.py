@@ -87,3 +87,18 @@ def test_resolved_rows(spark):
     assert current[1, "size"] == "a" and current[2, "size"] == "b" and current[2, "paper"] == "b" and current[1, "toc"] == "b" and len(current) == 16
     typed = C.resolve(spark.createDataFrame([(5, ["--size", "20"])], "doc int, argv array<string>"), "argv")
     assert C.questions(typed).filter("current and question = 'size'").first()["other"]
+
+
+def test_saved_profiles_and_choices(spark):
+    rows = spark.createDataFrame([("ไทย-1", ["--size", "15", "--align", "thai"]), ("b_2", ["--align", "thai", "--size", "15"]), ("../x", []), ("-no", []), ("c", ["--what"])], "name string, argv array<string>")
+    saved = {r["name"]: r for r in C.saved_profiles(C.resolve(rows, "argv"), "name").collect()}
+    assert set(saved) == {"ไทย-1", "b_2"} and saved["b_2"]["digest"] == saved["ไทย-1"]["digest"]
+    assert C.read_profile(saved["b_2"]["content"]) == {"size": 15.0, "align": "thai"} and saved["b_2"]["content"].endswith("}\n")
+    asked = C.choice_args(C.questions(C.resolve(rows.filter("name = 'b_2'").withColumnRenamed("name", "doc"), "argv")))
+    held = asked.filter("current and not other").collect()
+    assert held and all(r["args"] == [] for r in held)
+    for r in asked.filter("not current and not other").collect():  # its flags make a choice hold
+        values = C.read_flags(["--size", "15", "--align", "thai", *r["args"]]) if "--default" not in r["args"] else C.read_flags(r["args"], {"size": 15.0, "align": "thai"})
+        assert all(json.loads(v) == values[k] for k, v in r["change"].items()), r
+    assert C.font_said("--font", "Garuda") is None and C.font_said("--font", "Garuda\u2003") == "--font 'Garuda\u2003' begins or ends with a space (U+2003), which no font's name does, so the document names 'Garuda'"
+    assert "is longer than the 31 characters" in C.font_said("--font", "x" * 40)
