@@ -1,14 +1,17 @@
 """Whole files as a sink, the node and package tables, and what a text is refused for."""
 
 import os
+import random
 import time
+import zlib
 
 import pytest
 from loomleaf.functions import text as X
 from loomleaf.operators.checks import check_packages
 from loomleaf.operators.examine import examine
 from loomleaf.sources import files
-from loomleaf.sources.packages import package_parts, read_packages
+from loomleaf.sources.deflating import deflate
+from loomleaf.sources.packages import admit, package_parts, read_packages, rewrite_package
 from loomleaf.sources.xmlnodes import shred, xml_nodes
 from packages import clean, packed, planted
 
@@ -65,3 +68,22 @@ def test_nodes_in_linear_time():
 def test_arguments(spark):
     rows = spark.createDataFrame([("plain",), ("ไทย",), ("a�b",), (None,)], "t string")
     assert [r[0] for r in rows.select(X.not_text("t")).collect()] == [False, False, True, None]
+
+
+def test_deflate_is_defined_and_read_by_others():
+    rng = random.Random(5)
+    for n in (0, 1, 2, 3, 4, 257, 258, 259, 70_000, 200_000):
+        for data in (rng.randbytes(n), bytes(rng.choice(b"abc") for _ in range(n)), b"x" * n):
+            packed_ = deflate(data)
+            assert zlib.decompress(packed_, -15) == data
+    assert deflate(b"") == b"\x03\x00"
+    styles = b"".join(b'<w:style w:styleId="H%d"><w:name w:val="heading %d"/></w:style>' % (i, i * 7) for i in range(4000))
+    assert len(deflate(styles)) < len(styles) / 8
+
+
+def test_repaired_parts_are_deflated():
+    data = packed(clean())
+    again = rewrite_package(data, {"word/styles.xml": clean()["word/styles.xml"].replace("30", "32").encode()})
+    entries = {e.name: e for e, _ in admit(again)[0]}
+    assert entries["word/styles.xml"].method == 8 and entries["word/document.xml"].method == 0
+    assert again == rewrite_package(data, {"word/styles.xml": clean()["word/styles.xml"].replace("30", "32").encode()})
