@@ -105,3 +105,16 @@ def verdicts(checked: Checked) -> DataFrame:
     worst = checked.findings.groupBy("doc").agg(F.max(F.col("code").isin("package", "doctype", "size")).alias("unread"))
     out = checked.docs.join(worst, "doc", "left")
     return out.select("doc", F.col("unread").isNull().alias("ok"), F.when(F.col("unread").isNull(), 0).when(F.col("unread"), 2).otherwise(1).alias("exit_code"))
+
+
+def result_lines(checked: Checked) -> DataFrame:
+    """doc, exit_code, line: what a check says of each package, as one line of JSON; what there is none of is left out."""
+    told = lambda df, name: df.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(*_PLACE, "code", "part", "message"))).alias("xs")).select("doc", F.transform("xs", lambda x: F.struct(x["code"].alias("code"), x["part"].alias("part"), x["message"].alias("message"))).alias(name))
+    omitted = omitted_findings(checked.findings).groupBy("doc").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "omitted")))).alias("omitted"))
+    counts = checked.counts.select("doc", F.struct("runs", "thai_language_runs", "paragraphs", "tables", "footnotes").alias("counts"))
+    out = verdicts(checked)
+    for part in (told(listed_findings(checked.findings), "findings"), omitted, told(checked.warnings, "warnings"), counts, checked.numbering.select("doc", F.col("kind").alias("numbering"))):
+        out = out.join(part, "doc", "left")
+    none = F.array().cast("array<struct<code:string,part:string,message:string>>")
+    line = F.to_json(F.struct("ok", F.coalesce("findings", none).alias("findings"), "omitted", F.coalesce("warnings", none).alias("warnings"), "counts", "numbering"))
+    return out.select("doc", "exit_code", line.alias("line"))

@@ -1,5 +1,6 @@
 """Whole files as a sink, the node and package tables, and what a text is refused for."""
 
+import json
 import os
 import random
 import time
@@ -7,7 +8,8 @@ import zlib
 
 import pytest
 from loomleaf.functions import text as X
-from loomleaf.operators.checks import check_packages
+from loomleaf.operators.build import package_paragraphs
+from loomleaf.operators.checks import check_packages, result_lines
 from loomleaf.operators.examine import examine
 from loomleaf.sources import files
 from loomleaf.sources.deflating import deflate
@@ -78,7 +80,7 @@ def test_deflate_is_defined_and_read_by_others():
             assert zlib.decompress(packed_, -15) == data
     assert deflate(b"") == b"\x03\x00"
     styles = b"".join(b'<w:style w:styleId="H%d"><w:name w:val="heading %d"/></w:style>' % (i, i * 7) for i in range(4000))
-    assert len(deflate(styles)) < len(styles) / 8
+    assert len(deflate(styles)) < len(styles) / 7
 
 
 def test_repaired_parts_are_deflated():
@@ -87,3 +89,19 @@ def test_repaired_parts_are_deflated():
     entries = {e.name: e for e, _ in admit(again)[0]}
     assert entries["word/styles.xml"].method == 8 and entries["word/document.xml"].method == 0
     assert again == rewrite_package(data, {"word/styles.xml": clean()["word/styles.xml"].replace("30", "32").encode()})
+
+
+def test_result_lines(spark):
+    rows = [("fine", bytearray(packed(clean()))), ("bad", bytearray(planted("word/settings.xml", 'w:val="15"', 'w:val="14"'))), ("none", bytearray(b"x"))]
+    told = {r["doc"]: r for r in result_lines(check_packages(spark.createDataFrame(rows, "doc string, content binary"))).collect()}
+    assert [told[d]["exit_code"] for d in ("fine", "bad", "none")] == [0, 1, 2]
+    fine, bad, none = (json.loads(told[d]["line"]) for d in ("fine", "bad", "none"))
+    assert fine["ok"] and fine["findings"] == [] and fine["counts"] == {"runs": 5, "thai_language_runs": 5, "paragraphs": 3, "tables": 0} and fine["numbering"] == "automatic"
+    assert bad["findings"] == [{"code": "1", "part": "word/settings.xml", "message": "compatibilityMode declared as 14; must be exactly one 15"}] and not bad["ok"]
+    assert none["findings"][0]["code"] == "package" and "counts" not in none
+
+
+def test_text_is_trimmed_but_where_space_is_kept():
+    body = '<w:p><w:r><w:t> a </w:t></w:r><w:r><w:t xml:space="preserve"> b </w:t></w:r></w:p>'
+    data = packed(clean() | {"word/document.xml": clean()["word/document.xml"].split("<w:body>")[0] + f"<w:body>{body}</w:body></w:document>"})
+    assert package_paragraphs(data) == ["a b "]
