@@ -17,10 +17,11 @@ from ..operators import places as P
 from ..operators import sets as S
 from ..operators import settings as C
 from ..operators.build import build_packages, build_warnings
-from ..operators.checks import check_packages
+from ..operators.checks import check_packages, verdicts
 from ..operators.repair import repair_packages
 from ..sources.markdown import markdown_blocks, markdown_inlines
-from ..sources.packages import admit, rewrite_package
+from ..sources.packages import admit, package_parts, rewrite_package
+from ..sources.xmlnodes import xml_nodes
 from ..workspace import spread
 from . import fixtures as L
 
@@ -735,6 +736,40 @@ def md_inlines_known(spark, sf_dir):
     return nodes.groupBy("doc").agg(F.max(F.col("row").isNotNull()).alias("in_table"), F.max(F.when(F.col("i"), F.col("s"))).alias("marked"), F.count_if(F.col("row").isNotNull()).alias("table_cells"))
 
 
+def _known_packages(spark, sf_dir):
+    return build_packages(_known_markdown(spark, sf_dir), "id", "text").select("doc", "content")
+
+
+_PARTS_SQL = "(VALUES ('[Content_Types].xml', NULL, 0), ('_rels/.rels', NULL, 1), ('word/_rels/document.xml.rels', NULL, 2), ('word/document.xml', 'document', 3), ('word/document.xml', 'text', 3), ('word/styles.xml', 'styles', 4), ('word/settings.xml', 'settings', 5)) AS p(name, role, ord)"
+
+
+@query(f"SELECT name, CAST(ord AS INTEGER) AS ord, count(DISTINCT c_custkey) AS packages FROM customer, {_PARTS_SQL} GROUP BY 1, 2")
+def package_entries(spark, sf_dir):
+    """The entries of the packages built from those documents, with their places, read back from the containers."""
+    return package_parts(_known_packages(spark, sf_dir)).groupBy("name", "ord").agg(F.count("*").alias("packages"))
+
+
+@query(f"SELECT role, name, count(*) AS packages FROM customer, {_PARTS_SQL} WHERE role IS NOT NULL GROUP BY 1, 2")
+def package_roles(spark, sf_dir):
+    """Which part plays which role, by the packages' relationships."""
+    return check_packages(_known_packages(spark, sf_dir), keep=False).roles.groupBy("role", "name").agg(F.count("*").alias("packages"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS doc, 3 + c_custkey % 3 + 2 * (c_custkey % 5) + 5 * (c_custkey % 2) + c_custkey % 4 + 1 AS paragraphs, c_custkey % 2 AS tables, 0 AS exit_code FROM customer""")
+def package_counts(spark, sf_dir):
+    """Paragraphs and tables of each of those packages, and that nothing is wrong with it."""
+    checked = check_packages(_known_packages(spark, sf_dir))
+    return checked.counts.join(verdicts(checked), "doc").select("doc", "paragraphs", "tables", "exit_code")
+
+
+@query("SELECT CAST(c_custkey % 6 + 1 AS INTEGER) AS depth, count(*) AS headings FROM customer GROUP BY 1")
+def package_headings(spark, sf_dir):
+    """Heading levels by the styles in the node tables of those packages."""
+    nodes = xml_nodes(package_parts(_known_packages(spark, sf_dir)).filter("name = 'word/document.xml'"))
+    style = F.regexp_extract(F.element_at("attrs", f"{{{V.W}}}val"), "^Heading([1-6])$", 1)
+    return nodes.filter((F.col("local") == "pStyle") & (style != "")).groupBy(style.cast("int").alias("depth")).agg(F.count("*").alias("headings"))
+
+
 _WARNED = {
     0: ("![](a.png)\n\nText.", 1, "the image 'a.png' has no text between the brackets of ![]; a reader who cannot see it is told nothing"),
     1: ("# One\n\n### Three", 3, "a heading of level 3 follows one of level 1; the contents and a screen reader read the levels in order"),
