@@ -800,6 +800,38 @@ def settings_resolved(spark, sf_dir):
     return C.resolve(L.frame(spark, *_ARGV), "argv", "profile").select("doc", F.array_join("flags", " ").alias("flags"), "refused")
 
 
+_GIVEN_SQL = """WITH g AS (SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 12 + o_orderkey % 6 END AS size_flag, CASE WHEN o_orderkey % 3 = 0 THEN 'thai' WHEN o_orderkey % 3 = 1 THEN 'left' END AS align_flag,
+  CASE WHEN o_orderkey % 5 < 3 THEN 13 + o_orderkey % 5 END AS size_profile, CASE WHEN o_orderkey % 5 < 3 THEN 'thai' END AS align_profile, o_orderkey % 7 = 0 AS reset, o_orderkey % 4 = 1 AS toc, o_orderkey % 11 = 0 AS wrong FROM orders),
+v AS (SELECT *, coalesce(size_flag, CASE WHEN NOT reset THEN size_profile END, 16) AS size, coalesce(align_flag, align_profile, 'left') AS align FROM g)"""
+
+
+def _given(spark, sf_dir):
+    """Flags and profiles by the order's number."""
+    n = F.col("o_orderkey")
+    flags = F.flatten(F.array(
+        F.when(n % 2 == 0, F.array(F.lit("--size"), (n % 6 + 12).cast("string"))).otherwise(F.array().cast("array<string>")),
+        F.when(n % 3 == 0, F.array(F.lit("--align=thai"))).when(n % 3 == 1, F.array(F.lit("--align"), F.lit("left"))).otherwise(F.array().cast("array<string>")),
+        F.when(n % 7 == 0, F.array(F.lit("--default"), F.lit("size"))).otherwise(F.array().cast("array<string>")), F.when(n % 4 == 1, F.array(F.lit("--toc"))).otherwise(F.array().cast("array<string>")),
+        F.when(n % 11 == 0, F.array(F.lit("--size"), F.lit("0"))).otherwise(F.array().cast("array<string>")),
+    ))
+    profile = F.when(n % 5 < 3, F.format_string('{"schema": 1, "settings": {"size": %d, "align": "thai"}}', n % 5 + 13))
+    return table(spark, sf_dir, "orders").select(n.alias("doc"), flags.alias("argv"), profile.alias("profile"))
+
+
+@query(_GIVEN_SQL + """ SELECT doc, CASE WHEN NOT wrong THEN concat_ws(' ', CASE WHEN size <> 16 THEN '--size ' || size END, CASE WHEN align <> 'left' THEN '--align ' || align END, CASE WHEN toc THEN '--toc' END) END AS flags,
+  CASE WHEN wrong THEN '--size takes a number of points from 1 to 400' END AS refused FROM v""")
+def settings_by_rule(spark, sf_dir):
+    """Flags over profiles, but for what is reset, over defaults: the shortest flags that say the same, or the refusal."""
+    return C.resolve(_given(spark, sf_dir), "argv", "profile").select("doc", F.array_join("flags", " ").alias("flags"), "refused")
+
+
+@query(_GIVEN_SQL + ", l AS (SELECT * FROM (VALUES ('a', 16), ('b', 14), ('c', 15)) AS c(letter, points)) SELECT doc, coalesce(max(letter) FILTER (points = size), 'd') AS letter FROM v, l WHERE NOT wrong GROUP BY doc")
+def interview_by_rule(spark, sf_dir):
+    """The choice of the question about the size that holds for those settings."""
+    asked = C.questions(C.resolve(_given(spark, sf_dir), "argv", "profile")).filter("question = 'size' and current")
+    return asked.select("doc", "letter")
+
+
 @query()
 def interview_choices(spark, sf_dir):
     """The choice of every question that holds for the settings in force."""
