@@ -9,8 +9,8 @@ indexes: fingerprints that :func:`simhash.links` joins, and ``BANDS`` keys of
 probability 1 - (1 - s**ROWS)**BANDS: 0.9993 at 0.8.  Every candidate is verified
 on the whole shingle sets, so no text goes that isn't similar enough to another.
 
-Large groups: texts with equal sets are one node from the start.  In every group that
-shares a band key some nodes, the pivots (one at first), are compared with all that they aren't connected
+Large groups: texts with equal sets are one node from the start, and each node is first
+compared with one node of the largest group it is in.  Then in every group that shares a band key some nodes, the pivots (one at first), are compared with all that they aren't connected
 with yet, and closed; then the components are formed again, and so on until every node
 outside of a group's largest component is closed.  Of any two similar nodes one is closed
 first, when the other was compared or already connected: no link is lost, near copies of one
@@ -137,9 +137,9 @@ def _within_groups(edges: DataFrame, groups: DataFrame, sets: DataFrame, similar
         roots = components(edges)
         named = materialise(state.join(small(roots), "node", "left").select("key", "node", "size", "closed", F.coalesce("root", "node").alias("label")))
         labels = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-        main = materialise(labels.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("main.label").alias("main")))
+        main = labels.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("main.label").alias("main"))
         order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
-        left = named.join(small(main), "key").filter("not closed and label != main")
+        left = named.filter("not closed").join(main, "key").filter("label != main")
         pivots = materialise(left.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= pivots_each).select("key", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"), F.col("size").alias("pivot_size")))
         if pivots.isEmpty():
             return edges
@@ -150,28 +150,32 @@ def _within_groups(edges: DataFrame, groups: DataFrame, sets: DataFrame, similar
         edges = materialise(stars.unionByName(_verified(pairs, sets, similarity)))
         done = pivots.select("key", F.col("pivot").alias("node"), F.lit(True).alias("done"))
         # A group without a pivot is done for good: what was closed has met all that could come to lie outside later.
-        going = named.join(small(materialise(pivots.select("key").distinct())), "key", "left_semi")
+        going = named.join(pivots, "key", "left_semi")
         after = materialise(going.join(small(done), ["key", "node"], "left").select("key", "node", "size", (F.col("closed") | F.col("done").isNotNull()).alias("closed")))
-        release(state, roots, named, main, pivots)
+        release(state, roots, named, pivots)
         state, pivots_each = after, min(pivots_each * growth, 4096)
 
 
 def similar_edges(nodes: DataFrame, rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) that connect what is similar; ``nodes`` has node, size, fp, bands and row, ``rows`` has row, node and text.  Materialised."""
     banded = nodes.select("node", "size", F.explode("bands").alias("key"))
-    shared = materialise(banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"))
+    shared = materialise(banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"))
     met = materialise(banded.join(small(shared), "key"))
+    # Each node with one node of the largest group it is in: a family of near copies is mostly joined by as many pairs as it has nodes.
+    best = met.groupBy("node", "size").agg(F.max(F.struct("members", "key")).alias("m")).select("node", "size", F.col("m.key").alias("key"))
+    heads = materialise(met.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size")).alias("p")).select("key", F.col("p.node").alias("head"), F.col("p.size").alias("head_size")))
+    first = best.join(small(heads), "key").filter((F.col("node") != F.col("head")) & (F.least("size", "head_size") >= F.greatest("size", "head_size") * similarity)).select(F.col("node").alias("a"), F.col("head").alias("b"))
     prints = materialise(nodes.groupBy("fp").agg(F.min("node").alias("of")))
     ends = [prints.select(F.col("fp").alias(x), F.col("of").alias(f"of_{x}")) for x in ("a", "b")]
     linked = simhash.links(prints).join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     same = nodes.join(prints, "fp").filter(F.col("node") != F.col("of")).select(F.col("of").alias("a"), F.col("node").alias("b"))
-    pairs = materialise(linked.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = materialise(linked.union(same).union(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(met.select("node")).distinct()
     # One row of each node that is to be compared gives its set.
     wanted = materialise(nodes.join(ids, "node", "left_semi").select("row"))
     sets = materialise(_sets(rows.join(small(wanted), "row").select("node", "text"), words))
     edges = materialise(_verified(pairs, sets, similarity))
-    release(shared, prints, pairs, wanted)
+    release(shared, heads, prints, pairs, wanted)
     out = _within_groups(edges, met, sets, similarity)
     release(met, sets)
     return out
