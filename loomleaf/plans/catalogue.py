@@ -607,7 +607,7 @@ _PROFILES_SQL = "SELECT p_size % 3 AS place, replace(lower(p_name), ' ', '-') AS
 
 
 @query(f"""WITH v AS (SELECT DISTINCT place, name FROM ({_PROFILES_SQL}) WHERE regexp_matches(name, '^[\\p{{L}}\\p{{M}}\\p{{N}}_][\\p{{L}}\\p{{M}}\\p{{N}}_-]{{0,63}}$')),
-r AS (SELECT *, place > min(place) OVER (PARTITION BY name) AS shadowed, row_number() OVER (PARTITION BY place ORDER BY name) AS nth FROM v) SELECT place, name, shadowed, nth FROM r WHERE nth <= 100""")
+r AS (SELECT *, place > min(place) OVER (PARTITION BY name) AS shadowed, row_number() OVER (PARTITION BY place ORDER BY name) AS nth FROM v) SELECT place, name, shadowed, CAST(nth AS INTEGER) AS nth FROM r WHERE nth <= 100""")
 def profile_listing(spark, sf_dir):
     """Profiles along a search path of three places: the first hundred of each, and which of them an earlier place hides."""
     return P.profile_listing(table(spark, sf_dir, "part").select((F.col("p_size") % 3).alias("place"), F.replace(F.lower("p_name"), F.lit(" "), F.lit("-")).alias("name")))
