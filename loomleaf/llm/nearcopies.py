@@ -4,14 +4,14 @@ Two texts are near copies if the sets of their shingles, ``words`` words long an
 hashed as in :mod:`simhash`, have a Jaccard similarity of ``similarity`` or more.
 SimHash at three bits finds few of these below 0.9 (ten of 64 bits differ at 0.8
 on average, too many for segments with a wildcard), so candidates come from two
-indexes: fingerprints that :func:`simhash.links` joins, and ``BANDS`` keys of
+indexes: groups of fingerprints that :func:`simhash.links` joins, and ``BANDS`` keys of
 ``ROWS`` MinHash values each.  A pair of similarity s shares a band key with
 probability 1 - (1 - s**ROWS)**BANDS: 0.9993 at 0.8.  Every candidate is verified
 on the whole shingle sets, so no text goes that isn't similar enough to another.
 
 Large groups: texts with equal sets are one node from the start, and each node is first
-compared with one node of the largest group it is in.  Then in every group that shares a band key some nodes, the pivots (one at first), are compared with all that they aren't connected
-with yet, and closed; then the components are formed again, and so on until every node
+compared with one node of the largest group it is in.  Then in every group some nodes, the
+pivots (one at first), are compared with all that they aren't connected with yet, and closed; then the components are formed again, and so on until every node
 outside of a group's largest component is closed.  Of any two similar nodes one is closed
 first, when the other was compared or already connected: no link is lost, near copies of one
 text cost one pass, and every pass is a join over tables.  No group is capped or gathered in a
@@ -160,22 +160,22 @@ def similar_edges(nodes: DataFrame, rows: DataFrame, words: int = WORDS, similar
     """Edges (a, b) that connect what is similar; ``nodes`` has node, size, fp, bands and row, ``rows`` has row, node and text.  Materialised."""
     banded = nodes.select("node", "size", F.explode("bands").alias("key"))
     shared = materialise(banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"))
-    met = materialise(banded.join(small(shared), "key"))
+    # What SimHash links, directly or through others, is one more group.
+    prints = materialise(nodes.select("fp").distinct())
+    roots = components(simhash.links(prints))
+    of = nodes.join(small(roots.select(F.col("node").alias("fp"), "root")), "fp", "left").select("node", "size", F.xxhash64(F.lit("print"), F.coalesce("root", "fp")).alias("key"))
+    linked = materialise(of.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"))
+    met = materialise(banded.join(small(shared), "key").unionByName(of.join(small(linked), "key")))
     # Each node with one node of the largest group it is in: a family of near copies is mostly joined by as many pairs as it has nodes.
     best = met.groupBy("node", "size").agg(F.max(F.struct("members", "key")).alias("m")).select("node", "size", F.col("m.key").alias("key"))
     heads = materialise(met.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size")).alias("p")).select("key", F.col("p.node").alias("head"), F.col("p.size").alias("head_size")))
     first = best.join(small(heads), "key").filter((F.col("node") != F.col("head")) & (F.least("size", "head_size") >= F.greatest("size", "head_size") * similarity)).select(F.col("node").alias("a"), F.col("head").alias("b"))
-    prints = materialise(nodes.groupBy("fp").agg(F.min("node").alias("of")))
-    ends = [prints.select(F.col("fp").alias(x), F.col("of").alias(f"of_{x}")) for x in ("a", "b")]
-    linked = simhash.links(prints).join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-    same = nodes.join(prints, "fp").filter(F.col("node") != F.col("of")).select(F.col("of").alias("a"), F.col("node").alias("b"))
-    pairs = materialise(linked.union(same).union(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(met.select("node")).distinct()
+    pairs = materialise(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # One row of each node that is to be compared gives its set.
-    wanted = materialise(nodes.join(ids, "node", "left_semi").select("row"))
+    wanted = materialise(nodes.join(met.select("node").distinct(), "node", "left_semi").select("row"))
     sets = materialise(_sets(rows.join(small(wanted), "row").select("node", "text"), words))
     edges = materialise(_verified(pairs, sets, similarity))
-    release(shared, heads, prints, pairs, wanted)
+    release(shared, linked, roots, heads, prints, pairs, wanted)
     out = _within_groups(edges, met, sets, similarity)
     release(met, sets)
     return out
