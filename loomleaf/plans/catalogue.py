@@ -17,12 +17,12 @@ from ..operators import places as P
 from ..operators import sets as S
 from ..operators import settings as C
 from ..operators.build import build_packages, build_warnings
-from ..operators.checks import check_packages, verdicts
+from ..operators.checks import check_packages, package_summaries
 from ..operators.repair import repair_packages
 from ..sources.markdown import markdown_blocks, markdown_inlines
 from ..sources.packages import admit, package_parts, rewrite_package
 from ..sources.xmlnodes import xml_nodes
-from ..workspace import spread
+from ..workspace import dealt, spread
 from . import fixtures as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -719,7 +719,7 @@ def _known_markdown(spark, sf_dir):
         F.repeat(F.lit("#"), (id_ % 6 + 1).cast("int")), F.lit(" Heading *"), F.col("c_name"), F.lit("*\n\nA paragraph\nof two lines.\n\n"), times("> quoted text\n\n", id_ % 3),
         F.lit("***\n\n"), times("```\n# no heading\n- no item\n```\n\n", id_ % 5), times("| a | b |\n|---|--:|\n| 1 | `x` |\n\n", id_ % 2), times("- item\n", id_ % 4 + 1),
     ]
-    return table(spark, sf_dir, "customer").select(id_.cast("string").alias("id"), F.concat(*parts).alias("text"))
+    return dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select(id_.cast("string").alias("id"), F.concat(*parts).alias("text"))
 
 
 @query(_KNOWN_SQL)
@@ -737,7 +737,7 @@ def md_inlines_known(spark, sf_dir):
 
 
 def _known_packages(spark, sf_dir):
-    return build_packages(_known_markdown(spark, sf_dir), "id", "text").select("doc", "content")
+    return build_packages(_known_markdown(spark, sf_dir), "id", "text", read_back=False).select("doc", "content")
 
 
 _PARTS_SQL = "(VALUES ('[Content_Types].xml', NULL, 0), ('_rels/.rels', NULL, 1), ('word/_rels/document.xml.rels', NULL, 2), ('word/document.xml', 'document', 3), ('word/document.xml', 'text', 3), ('word/styles.xml', 'styles', 4), ('word/settings.xml', 'settings', 5)) AS p(name, role, ord)"
@@ -758,8 +758,7 @@ def package_roles(spark, sf_dir):
 @query("""SELECT c_custkey::VARCHAR AS doc, 3 + c_custkey % 3 + 2 * (c_custkey % 5) + 5 * (c_custkey % 2) + c_custkey % 4 + 1 AS paragraphs, c_custkey % 2 AS tables, 0 AS exit_code FROM customer""")
 def package_counts(spark, sf_dir):
     """Paragraphs and tables of each of those packages, and that nothing is wrong with it."""
-    checked = check_packages(_known_packages(spark, sf_dir))
-    return checked.counts.join(verdicts(checked), "doc").select("doc", "paragraphs", "tables", "exit_code")
+    return package_summaries(_known_packages(spark, sf_dir)).select("doc", "paragraphs", "tables", "exit_code")
 
 
 @query("SELECT CAST(c_custkey % 6 + 1 AS INTEGER) AS depth, count(*) AS headings FROM customer GROUP BY 1")

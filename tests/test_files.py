@@ -5,7 +5,9 @@ import os
 import random
 import time
 import zlib
+from xml.parsers import expat
 
+import pyarrow as pa
 import pytest
 from loomleaf.functions import text as X
 from loomleaf.operators.build import package_paragraphs
@@ -14,7 +16,8 @@ from loomleaf.operators.examine import examine
 from loomleaf.sources import files
 from loomleaf.sources.deflating import deflate
 from loomleaf.sources.packages import admit, package_parts, read_packages, rewrite_package
-from loomleaf.sources.xmlnodes import shred, xml_nodes
+from loomleaf.sources.xmlnodes import ended_nodes, shred, xml_nodes
+from loomleaf.workspace import gathered
 from packages import clean, packed, planted
 
 
@@ -43,6 +46,24 @@ def test_tables_of_packages(spark, tmp_path):
     assert nodes.filter("local = 'body'").select("depth", "part").first()["depth"] == 1
 
 
+def test_small_batches_become_few():
+    batches = list(gathered(((str(i), bytes(10)) for i in range(1000)), {"a": pa.string(), "b": pa.binary()}, lambda r: len(r[1]), most=400, most_bytes=3000))
+    assert [b.num_rows for b in batches] == [300, 300, 300, 100] and [v for b in batches for v in b.column(0).to_pylist()] == [str(i) for i in range(1000)]
+    assert list(gathered(iter(()), {"a": pa.string()})) == []
+
+
+def test_small_parts_are_read_as_large_ones():
+    rng, pieces = random.Random(3), ["<p>", "</p>", "<r>", "</r>", "<rPr>", "</rPr>", "<b/>", "<i x='1' rsidR='2'/>", "<rPrChange>", "</rPrChange>", "t", "<!--c-->", "<?i x?>", "<![CDATA[ <y ]]>", "&amp;", "&no;", "<q xmlns='v}w' xmlns:k='k' k:z='1'/>", "\r\n"]
+    for _ in range(5000):
+        data, got = f"<a>{''.join(rng.choice(pieces) for _ in range(rng.randrange(7)))}</a>".encode(), []
+        for read in (shred, lambda d: sorted((n for some in ended_nodes(d) for n in some), key=lambda n: n[0])):
+            try:
+                got.append(read(data))
+            except expat.ExpatError:
+                got.append(None)
+        assert got[0] == got[1], data
+
+
 def test_a_part_by_another_name_is_refused(spark):
     parts = clean()
     parts["word/styles.dat"] = parts.pop("word/styles.xml")
