@@ -17,7 +17,7 @@ from ..operators import places as P
 from ..operators import sets as S
 from ..operators import settings as C
 from ..operators.build import build_packages, build_warnings
-from ..operators.checks import check_packages, package_summaries
+from ..operators.checks import check_packages, package_summaries, part_roles
 from ..operators.repair import repair_packages
 from ..sources.markdown import markdown_blocks, markdown_inlines
 from ..sources.packages import admit, package_parts, rewrite_package
@@ -752,7 +752,7 @@ def package_entries(spark, sf_dir):
 @query(f"SELECT role, name, count(*) AS packages FROM customer, {_PARTS_SQL} WHERE role IS NOT NULL GROUP BY 1, 2")
 def package_roles(spark, sf_dir):
     """Which part plays which role, by the packages' relationships."""
-    return check_packages(_known_packages(spark, sf_dir), keep=False).roles.groupBy("role", "name").agg(F.count("*").alias("packages"))
+    return part_roles(_known_packages(spark, sf_dir)).groupBy("role", "name").agg(F.count("*").alias("packages"))
 
 
 @query("""SELECT c_custkey::VARCHAR AS doc, 3 + c_custkey % 3 + 2 * (c_custkey % 5) + 5 * (c_custkey % 2) + c_custkey % 4 + 1 AS paragraphs, c_custkey % 2 AS tables, 0 AS exit_code FROM customer""")
