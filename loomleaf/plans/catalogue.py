@@ -764,7 +764,7 @@ def package_counts(spark, sf_dir):
 @query("SELECT CAST(c_custkey % 6 + 1 AS INTEGER) AS depth, count(*) AS headings FROM customer GROUP BY 1")
 def package_headings(spark, sf_dir):
     """Heading levels by the styles in the node tables of those packages."""
-    nodes = xml_nodes(package_parts(_known_packages(spark, sf_dir)).filter("name = 'word/document.xml'"))
+    nodes = xml_nodes(package_parts(_known_packages(spark, sf_dir), named=("word/document.xml",)), only=("pStyle",))
     style = F.regexp_extract(F.element_at("attrs", f"{{{V.W}}}val"), "^Heading([1-6])$", 1)
     return nodes.filter((F.col("local") == "pStyle") & (style != "")).groupBy(style.cast("int").alias("depth")).agg(F.count("*").alias("headings"))
 

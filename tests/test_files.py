@@ -46,6 +46,17 @@ def test_tables_of_packages(spark, tmp_path):
     assert nodes.filter("local = 'body'").select("depth", "part").first()["depth"] == 1
 
 
+def test_nodes_of_some_elements_are_as_among_all(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(packed(clean()))
+    (tmp_path / "b.docx").write_bytes(planted("word/document.xml", "</w:body>", ""))
+    packages = read_packages(spark, str(tmp_path))
+    shown = lambda df: sorted(map(repr, df.collect()))
+    nodes = xml_nodes(package_parts(packages))
+    assert shown(xml_nodes(package_parts(packages), only=("pStyle", "r"))) == shown(nodes.filter("local in ('pStyle', 'r') or fault is not null"))
+    main = package_parts(packages, named=("word/document.xml",))
+    assert shown(main) == shown(package_parts(packages).filter("name = 'word/document.xml' or code is not null")) and main.count() == 2
+
+
 def test_small_batches_become_few():
     batches = list(gathered(((str(i), bytes(10)) for i in range(1000)), {"a": pa.string(), "b": pa.binary()}, lambda r: len(r[1]), most=400, most_bytes=3000))
     assert [b.num_rows for b in batches] == [300, 300, 300, 100] and [v for b in batches for v in b.column(0).to_pylist()] == [str(i) for i in range(1000)]
