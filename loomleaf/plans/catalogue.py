@@ -746,7 +746,7 @@ _PARTS_SQL = "(VALUES ('[Content_Types].xml', NULL, 0), ('_rels/.rels', NULL, 1)
 @query(f"SELECT name, CAST(ord AS INTEGER) AS ord, count(DISTINCT c_custkey) AS packages FROM customer, {_PARTS_SQL} GROUP BY 1, 2")
 def package_entries(spark, sf_dir):
     """The entries of the packages built from those documents, with their places, read back from the containers."""
-    return package_parts(_known_packages(spark, sf_dir)).groupBy("name", "ord").agg(F.count("*").alias("packages"))
+    return package_parts(_known_packages(spark, sf_dir), data=False).groupBy("name", "ord").agg(F.count("*").alias("packages"))
 
 
 @query(f"SELECT role, name, count(*) AS packages FROM customer, {_PARTS_SQL} WHERE role IS NOT NULL GROUP BY 1, 2")

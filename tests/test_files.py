@@ -57,6 +57,15 @@ def test_nodes_of_some_elements_are_as_among_all(spark, tmp_path):
     assert shown(main) == shown(package_parts(packages).filter("name = 'word/document.xml' or code is not null")) and main.count() == 2
 
 
+def test_entries_without_their_contents(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(packed(clean()))
+    (tmp_path / "b.docx").write_bytes(b"x")
+    packages = read_packages(spark, str(tmp_path))
+    whole, bare = package_parts(packages), package_parts(packages, data=False)
+    assert bare.filter("data is not null").count() == 0 and whole.filter("data is not null").count() == 7
+    assert sorted(map(repr, bare.drop("data").collect())) == sorted(map(repr, whole.drop("data").collect()))
+
+
 def test_small_batches_become_few():
     batches = list(gathered(((str(i), bytes(10)) for i in range(1000)), {"a": pa.string(), "b": pa.binary()}, lambda r: len(r[1]), most=400, most_bytes=3000))
     assert [b.num_rows for b in batches] == [300, 300, 300, 100] and [v for b in batches for v in b.column(0).to_pylist()] == [str(i) for i in range(1000)]
